@@ -215,3 +215,28 @@ SELECT f.page_id, f.url, f.text, CAST(strlen(f.text) AS BIGINT) AS chars,
        {detect_type_sql('f.url', 'f.page_title', 'f.html')} AS detected_type
 FROM facts f LEFT JOIN official_agg o USING (page_id) LEFT JOIN counts c USING (page_id)
 WHERE strlen(f.text) >= {rules.TEXT_MIN_BYTES}"""
+
+
+# ---------------------------------------------------------------- per-operator oracles on pages_ext
+
+def ext_links_sql(select: str, stage: str, site: SiteConfig = DEFAULT_SITE, tail: str = "") -> str:
+    from gazette.oracle.fixtures_sql import pages_ext_cte
+    return f"""WITH {pages_ext_cte()}
+gated AS ({gated_pages_sql('pages_ext')}),
+ok AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL),
+{links_ctes('ok', site)}
+SELECT {select} FROM {stage} {tail}"""
+
+
+def ext_pages_sql(select: str) -> str:
+    from gazette.oracle.fixtures_sql import pages_ext_cte
+    return f"""WITH {pages_ext_cte()}
+gated AS ({gated_pages_sql('pages_ext')}),
+ok AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL)
+SELECT {select} FROM ok"""
+
+
+def text_capped_sql(html: str) -> str:
+    t0 = html_to_text_sql(html)
+    return (f"(SELECT CASE WHEN length(t0) > {rules.TEXT_MAX_CHARS} THEN substring(t0, 1, {rules.TEXT_MAX_CHARS})"
+            f" || ' [truncated]' ELSE t0 END FROM (SELECT {t0} AS t0))")

@@ -23,3 +23,192 @@ def q_scrape_batch(spark, sf_dir):
                          L.links_text(F.col("official_links")).alias("official_links"),
                          F.col("skipped_count").cast("long").alias("skipped_count"),
                          "featured_image", "page_title", "detected_type"))
+
+
+# ---------------------------------------------------------------- on derived pages_ext (B1)
+from gazette.operators import pages as P  # noqa: E402
+from gazette.oracle.fixtures_sql import pages_ext_cte, pages_url_variants_cte  # noqa: E402
+from gazette.plans.fixtures import pages_ext, pages_url_variants  # noqa: E402
+from gazette.sources.pages import gate_pages, split_rejects  # noqa: E402
+
+
+def _ext_ok(spark, sf_dir):
+    ok, _ = split_rejects(gate_pages(pages_ext(_pages(spark, sf_dir))))
+    return L.with_page_context(ok)
+
+
+def _ext_links(spark, sf_dir, upto: str):
+    df = L.extract_links(_ext_ok(spark, sf_dir))
+    if upto == "l1":
+        return df
+    df = L.clean_anchor_text(df)
+    df = L.drop_non_web(df)
+    df = L.resolve_links(df)
+    df = L.filter_valid_urls(df)
+    if upto == "l5":
+        return df
+    df = L.dedupe_links(df)
+    if upto == "l6":
+        return df
+    return L.classify_links(df)
+
+
+def _long(df, fields):
+    return df.select("page_id", F.explode("links").alias("l")).select(
+        "page_id", *[F.col("l")[f].alias(a) for f, a in fields])
+
+
+@register("s1_read_pages", f"""WITH {pages_url_variants_cte()}
+gated AS ({PS.gated_pages_sql('pages_urls')})
+SELECT page_id, url, reject_reason FROM gated""")
+def q_read_pages(spark, sf_dir):
+    return gate_pages(pages_url_variants(_pages(spark, sf_dir))).select("page_id", "url", "reject_reason")
+
+
+@register("l1_extract_links", PS.ext_links_sql(
+    "page_id, CAST(pos AS BIGINT) AS pos, raw_href, raw_title", "raw_links"))
+def q_extract_links(spark, sf_dir):
+    return _long(_ext_links(spark, sf_dir, "l1"), [("pos", "pos"), ("raw_href", "raw_href"),
+                                                   ("raw_title", "raw_title")]).withColumn(
+        "pos", F.col("pos").cast("long"))
+
+
+@register("l2_l5_clean_resolve_links", PS.ext_links_sql(
+    "page_id, CAST(pos AS BIGINT) AS pos, href, title, link_url AS url", "clean_links"))
+def q_clean_links(spark, sf_dir):
+    return _long(_ext_links(spark, sf_dir, "l5"), [("pos", "pos"), ("href", "href"), ("title", "title"),
+                                                   ("url", "url")]).withColumn("pos", F.col("pos").cast("long"))
+
+
+@register("l6_dedupe_links", PS.ext_links_sql(
+    "page_id, CAST(pos AS BIGINT) AS pos, link_url AS url", "uniq_links"))
+def q_dedupe_links(spark, sf_dir):
+    return _long(_ext_links(spark, sf_dir, "l6"), [("pos", "pos"), ("url", "url")]).withColumn(
+        "pos", F.col("pos").cast("long"))
+
+
+@register("l7_registrable_domain", PS.ext_links_sql(
+    f"page_id, CAST(pos AS BIGINT) AS pos, {PS.q.registrable_domain('link_url')} AS domain, "
+    f"{PS.q.registrable_domain('page_url')} AS page_domain", "uniq_links"))
+def q_registrable_domain(spark, sf_dir):
+    from gazette.functions.urls import registrable_domain
+    df = _ext_links(spark, sf_dir, "l6")
+    return (df.select("page_id", "url", F.explode("links").alias("l"))
+              .select("page_id", F.col("l.pos").cast("long").alias("pos"),
+                      registrable_domain(F.col("l.url")).alias("domain"),
+                      registrable_domain(F.col("url")).alias("page_domain")))
+
+
+@register("l8_classify_links", PS.ext_links_sql(
+    "page_id, CAST(pos AS BIGINT) AS pos, link_url AS url, link_class", "uniq_links"))
+def q_classify_links(spark, sf_dir):
+    return _long(_ext_links(spark, sf_dir, "l8"), [("pos", "pos"), ("url", "url"),
+                                                   ("link_class", "link_class")]).withColumn(
+        "pos", F.col("pos").cast("long"))
+
+
+@register("l9_split_by_class", PS.ext_links_sql(
+    "page_id, CAST(count(*) FILTER (WHERE link_class = 'official') AS BIGINT) AS n_official, "
+    "CAST(count(*) FILTER (WHERE link_class <> 'official') AS BIGINT) AS skipped_count",
+    "uniq_links", tail="GROUP BY page_id"))
+def q_split_by_class(spark, sf_dir):
+    df = L.split_by_class(_ext_links(spark, sf_dir, "l8"))
+    return (df.filter(F.size("links") > 0)
+              .select("page_id", F.size("official_links").cast("long").alias("n_official"),
+                      F.col("skipped_count").cast("long")))
+
+
+_N_ALL = "row_number() OVER (PARTITION BY page_id ORDER BY pos)"
+
+
+@register("l10_title_links_server", PS.ext_links_sql(
+    f"page_id, CAST({_N_ALL} AS BIGINT) AS n, link_url AS url, "
+    f"{PS.title_server_sql('title', 'link_url', _N_ALL)} AS title", "uniq_links",
+    tail="WHERE link_class = 'official'"))
+def q_title_server(spark, sf_dir):
+    df = L.title_links(L.split_by_class(_ext_links(spark, sf_dir, "l8")), "official_links", "server")
+    return L.explode_links(df, "official_links", ["page_id"], ["url", "title"]).withColumn(
+        "n", F.col("n").cast("long"))
+
+
+@register("l11_title_links_client", PS.ext_links_sql(
+    f"page_id, CAST({_N_ALL} AS BIGINT) AS n, link_url AS url, "
+    f"{PS.title_client_sql('title', 'link_url', _N_ALL)} AS title, "
+    f"{PS.link_kind_client_sql(PS.title_client_sql('title', 'link_url', _N_ALL))} AS kind", "uniq_links"))
+def q_title_client(spark, sf_dir):
+    df = L.title_links(_ext_links(spark, sf_dir, "l6"), "links", "client")
+    out = L.explode_links(df, "links", ["page_id"], ["url", "title"])
+    return out.select("page_id", F.col("n").cast("long").alias("n"), "url", "title",
+                      L.link_kind_client(F.lower("title")).alias("kind"))
+
+
+@register("l12_l13_title_kind_table", PS.ext_links_sql(
+    f"page_id, CAST({_N_ALL} AS BIGINT) AS n, link_url AS url, "
+    f"{PS.title_table_sql('raw_title', 'link_url', _N_ALL)} AS title, "
+    f"{PS.link_kind_sql(PS.title_table_sql('raw_title', 'link_url', _N_ALL))} AS kind",
+    "(SELECT u.*, c.raw_title FROM uniq_links u JOIN raw_links c USING (page_id, pos))"))
+def q_title_table(spark, sf_dir):
+    df = _ext_links(spark, sf_dir, "l6")
+    df = df.withColumn("links", F.transform("links", lambda x: x.withField("title", x["raw_title"])))
+    df = L.title_links(df, "links", "table")
+    out = L.explode_links(df, "links", ["page_id"], ["url", "title"])
+    return out.select("page_id", F.col("n").cast("long").alias("n"), "url", "title",
+                      L.link_kind(F.lower("title")).alias("kind"))
+
+
+@register("p1_extract_text", PS.ext_pages_sql(f"page_id, {PS.text_capped_sql('html')} AS text"))
+def q_extract_text(spark, sf_dir):
+    return P.extract_text(_ext_ok(spark, sf_dir)).select("page_id", "text")
+
+
+@register("p2_reject_short", f"""WITH {pages_ext_cte()}
+cut AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN substring(html, 1, 300) ELSE html END AS html
+        FROM pages_ext)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS chars, strlen(t) >= 100 AS accepted
+FROM (SELECT page_id, {PS.text_capped_sql('html')} AS t FROM cut)""")
+def q_reject_short(spark, sf_dir):
+    df = pages_ext(_pages(spark, sf_dir))
+    df = df.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.substring("html", 1, 300))
+                       .otherwise(F.col("html")))
+    ok, bad = P.reject_short(P.extract_text(df))
+    return (ok.withColumn("accepted", F.lit(True)).unionByName(bad.drop("reason").withColumn("accepted", F.lit(False)))
+              .select("page_id", F.col("chars").cast("long").alias("chars"), "accepted"))
+
+
+@register("p3_featured_image", PS.ext_pages_sql(
+    f"page_id, {PS.featured_image_sql('html', 'url')} AS featured_image"))
+def q_featured_image(spark, sf_dir):
+    return P.with_featured_image(_ext_ok(spark, sf_dir)).select("page_id", "featured_image")
+
+
+@register("p4_p5_title_type", PS.ext_pages_sql(
+    f"page_id, {PS.page_title_sql('html')} AS page_title, "
+    f"{PS.detect_type_sql('url', PS.page_title_sql('html'), 'html')} AS detected_type"))
+def q_title_type(spark, sf_dir):
+    df = P.with_detected_type(P.with_page_title(_ext_ok(spark, sf_dir)))
+    return df.select("page_id", "page_title", "detected_type")
+
+
+@register("p6_scrape_batch_ext", PS.page_facts_sql("pages_ext", prelude=pages_ext_cte()))
+def q_scrape_batch_ext(spark, sf_dir):
+    facts = page_facts_all(pages_ext(_pages(spark, sf_dir)))
+    return (facts.filter(F.col("reject_reason").isNull())
+                 .select("page_id", "url", "text", F.col("chars").cast("long").alias("chars"),
+                         L.links_text(F.col("official_links")).alias("official_links"),
+                         F.col("skipped_count").cast("long").alias("skipped_count"),
+                         "featured_image", "page_title", "detected_type"))
+
+
+@register("v8_link_class_counts", PS.ext_links_sql(
+    f"{PS.q.registrable_domain('page_url')} AS source_domain, "
+    "CAST(count(*) FILTER (WHERE link_class = 'official') AS BIGINT) AS n_official, "
+    "CAST(count(*) FILTER (WHERE link_class = 'aggregator') AS BIGINT) AS n_aggregator, "
+    "CAST(count(*) FILTER (WHERE link_class = 'unknown') AS BIGINT) AS n_unknown, "
+    "CAST(count(DISTINCT page_id) AS BIGINT) AS n_pages",
+    "uniq_links", tail=f"GROUP BY ROLLUP ({PS.q.registrable_domain('page_url')})"))
+def q_link_class_counts(spark, sf_dir):
+    from gazette.operators.validate import link_class_counts
+    links = L.explode_links(_ext_links(spark, sf_dir, "l8"), "links", ["page_id", "_src_domain"],
+                            ["link_class"])
+    return link_class_counts(links.withColumnRenamed("_src_domain", "source_domain"), ["source_domain"],
+                             rollup=True)
