@@ -72,3 +72,15 @@ def byte_cut(c, max_bytes: int) -> Column:
 
 def octets(c) -> Column:
     return F.octet_length(col(c))
+
+
+def empty_strs() -> Column:
+    return F.array().cast("array<string>")
+
+
+def empty_links() -> Column:
+    return F.array().cast("array<struct<title:string,url:string>>")
+
+
+def empty_faq() -> Column:
+    return F.array().cast("array<struct<question:string,answer:string>>")

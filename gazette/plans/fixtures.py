@@ -76,3 +76,203 @@ def pages_url_variants(pages: DataFrame) -> DataFrame:
            .when(k == 5, F.concat(u, F.lit("/caf\xe9")))
            .otherwise(u))
     return pages.select("page_id", url.alias("url"), "html")
+
+
+# ---------------------------------------------------------------- B2 postings_raw
+# One row per order; every field is a string as a language model would return it.
+
+POSTING_TYPES = ["job", "admit_card", "result", "answer_key", "syllabus", "blog", "scholarship"]
+ORGANIZATIONS = ["SSC", "RRB", "Staff Selection Commission", "Kerala Water Authority",
+                 "Delhi University", "NTPC Limited", "Ministry of Defence", "{nation} Public Service Commission", ""]
+TITLE_SUFFIXES = ["Recruitment", "Apprentice", "Contract", "Part Time", "Temporary", "Postal"]
+SUMMARIES = [
+    "Online form started for the posts; apply online before the last date.",
+    "Last date extended till next month for all candidates.",
+    "Application reopen notice issued; re-registration allowed.",
+    "Admit card and hall ticket download link active now.",
+    "Final result and merit list published with cut off marks.",
+    "Provisional answer key released; objection window open.",
+    "Exam date and CBT date schedule announced; exam city intimation soon.",
+    "Syllabus and exam pattern PDF available.",
+    "Government job vacancies for graduates; sarkari naukri bharti 2025.",
+    "Scorecard and marks released for the written test.",
+]
+CONTENT_EXTRAS = [
+    "<h3>Important Links</h3><p>See the table.</p>",
+    "<h3>Frequently Asked Questions</h3><p>Q and A here.</p>",
+    "<script>var x = 1;</script>",
+    "<p>See <a href=\"https://jobs.example.org/jobs\">jobs</a>, <a href=\"https://jobs.example.org/results\">results</a>,"
+    " <a href=\"https://jobs.example.org/admit-cards\">admit cards</a>, <a href=\"https://jobs.example.org/syllabus\">syllabus</a>"
+    " and <a href=\"https://jobs.example.org/category/ssc\">SSC</a>.</p>",
+    "<h3>Stay Updated</h3><p>Follow our channels.</p>",
+]
+CATEGORY_NAMES = ["State Govt Jobs", "Central Govt Jobs", "Banking", "PSU Jobs", "Teaching Jobs", ""]
+TOTAL_POSTS = ["120", "1,234", "-5", "-5 posts", "12.7", "1e3", "As per rules", "", "0"]
+SALARIES = ["Pay Level 7 (Rs. 44,900 - 1,42,400)", "Rs. 35,400", "Stipend 9000", ""]
+SALARY_TYPES = ["salary", "stipend", "consolidated", "pay_scale", None]
+ONLINE_FORMS = ["https://ssc.nic.in/apply?post=1", "https://ssc.nic.in/", "upsc.gov.in/apply/form",
+                "https://bad_host.in/x", ""]
+APPLY_URLS = ["", "https://ibps.in/register?x=1", "ibps.in", "https://ibps.in/"]
+NOTIFICATION_PDFS = ["https://ssc.nic.in/notice.pdf", "", "not a url", "https://SSC.nic.in/Notice.PDF"]
+STAGES = ["Written Exam", "Interview", "Document Verification"]
+QUALIFICATIONS = [
+    "PhD or doctorate in any discipline; MBA or PGDM",
+    "LLM or Master of Law; LLB",
+    "MBBS degree; M.Tech or M.E. in CSE",
+    "M.Pharm; B.Pharm",
+    "M.Sc or Master of Science; M.Com",
+    "M.A. in English; Chartered Accountant (CA)",
+    "Company Secretary (CS); CMA or Cost Accountant",
+    "Post Graduate degree; B.Tech or B.E. in ECE",
+    "B.Sc in Physics; B.Com",
+    "B.A. pass; B.Ed",
+    "Nursing (GNM); Graduate in any stream",
+    "Diploma in Engineering; ITI certificate",
+    "12th pass (10+2) or Intermediate; 10th pass matriculation",
+]
+LINK_POOL = [
+    ("Apply Online", "https://ssc.nic.in/apply"), ("Notification", "https://ssc.nic.in/notice.pdf"),
+    ("FJA", "https://www.freejobalert.com/ssc"), ("Apply Online", "https://SSC.nic.in/APPLY"),
+    ("", "https://upsc.gov.in/results"), ("Admit Card", ""), ("123", "https://ibps.in/admit"),
+    ("Official Website", "ibps.in"), ("Syllabus", "https://rbi.org.in/syllabus.pdf"),
+    ("Click here", "https://drdo.gov.in/register"), ("Telegram", "https://t.me/examplejobs"),
+    ("WhatsApp", "https://whatsapp.com/channel/example"),
+]
+META_KEYWORDS = ["", "ssc, jobs, , 2024 ,apply", "a,b,c"]
+SOURCE_URLS = ["", "https://www.sarkariresult.com/ssc-cgl", "https://news.example.net/jobs/1"]
+DATE_OFFSETS = [("notification_date", 0), ("start_date", 5), ("last_date", 30),
+                ("interview_date_from", 45), ("waitlist_date", 60), ("age_as_on_date", -10)]
+FAQ_EXTRAS = [("", "Answer without a question"), ("Question without an answer?", ""),
+              ("<b>Is it free?</b>", "<p>Yes &amp; no</p>")]
+
+
+def _lits(values):
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _k_pick(values, m_col: Column) -> Column:
+    return F.element_at(_lits(values), m_col + 1)
+
+
+def faq_pairs(conversations: DataFrame) -> DataFrame:
+    """User turn = question, the next turn's text = answer when that turn is the assistant's.
+    One row per conversation with its ordered FAQ list (a conversation is a bounded group)."""
+    from pyspark.sql import Window as W
+    w = W.partitionBy("conv_id").orderBy("turn")
+    pairs = (conversations
+             .withColumn("next_role", F.lead("role").over(w))
+             .withColumn("next_text", F.lead("text").over(w))
+             .filter(F.col("role") == "user")
+             .select("conv_id", "turn", F.col("text").alias("question"),
+                     F.when(F.col("next_role") == "assistant", F.col("next_text")).otherwise(F.lit(""))
+                     .alias("answer")))
+    return (pairs.groupBy("conv_id")
+                 .agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("qa"))
+                 .select("conv_id", F.transform("qa", lambda x: F.struct(x["question"].alias("question"),
+                                                                          x["answer"].alias("answer"))).alias("faq")))
+
+
+def postings_raw(orders, customer, nation, part, documents, conversations,
+                 n_parts: int, n_docs: int, n_convs: int) -> DataFrame:
+    """B2: one model-shaped posting per order (see FIXTURES.md §B2)."""
+    k = F.col("o_orderkey")
+    o = orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("od"))
+    cust = customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    nat = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    prt = part.select(F.col("p_partkey").alias("_pk"), "p_name")
+    docs = documents.select(F.col("doc_id").alias("_dk"), F.col("text").alias("doc_text"))
+    faqs = faq_pairs(conversations).withColumnRenamed("conv_id", "_ck")
+    df = (o.join(cust, "o_custkey", "left").join(nat, "c_nationkey", "left")
+           .withColumn("_pk", k % n_parts).withColumn("_dk", k % n_docs).withColumn("_ck", k % n_convs)
+           .join(prt, "_pk", "left").join(docs, "_dk", "left").join(faqs, "_ck", "left"))
+
+    def m(n):
+        return (k % n).cast("int")
+
+    shifted = F.add_months("od", 336)
+
+    def date_field(offset):
+        real = F.date_format(F.date_add(F.when(k % 19 == 0, F.col("od")).otherwise(shifted), offset), "yyyy-MM-dd")
+        return (F.when(k % 13 == 0, F.lit("")).when(k % 17 == 0, F.lit("As per notice")).otherwise(real))
+
+    org = F.replace(_k_pick(ORGANIZATIONS, m(9)), F.lit("{nation}"), F.coalesce(F.col("n_name"), F.lit("")))
+    year = (F.lit(2020) + k % 7).cast("string")
+    title = F.concat_ws(" ", F.col("p_name"), _k_pick(TITLE_SUFFIXES, m(6)), year,
+                        F.when(k % 4 == 0, F.concat(F.lit("- "), (k % 500).cast("string"), F.lit(" Posts"))))
+    content = F.concat(F.lit("<h3>Overview</h3><p>"), F.coalesce(F.col("doc_text"), F.lit("")), F.lit("</p>"),
+                       _k_pick(CONTENT_EXTRAS, m(5)))
+    pool = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(u).alias("url")) for t, u in LINK_POOL * 2])
+    links = F.slice(pool, m(12) + 1, m(5))
+    extra_faq = F.array(*[F.struct(F.lit(qq).alias("question"), F.lit(a).alias("answer")) for qq, a in FAQ_EXTRAS])
+    faq = F.concat(F.coalesce(F.col("faq"), F.array().cast("array<struct<question:string,answer:string>>")),
+                   F.when(m(7) < 3, F.slice(extra_faq, m(7) + 1, 1))
+                   .otherwise(F.array().cast("array<struct<question:string,answer:string>>")))
+    state = F.when(m(3) == 0, F.col("n_name")).when(m(3) == 1, F.lit("All India")).otherwise(F.lit(""))
+
+    cols = [
+        k.alias("post_id"),
+        _k_pick(POSTING_TYPES, m(7)).alias("type"),
+        org.alias("organization"),
+        title.alias("title"),
+        F.when(m(3) == 0, F.col("p_name")).alias("post_name"),
+        _k_pick(SUMMARIES, m(10)).alias("short_description"),
+        content.alias("content"),
+        _k_pick(CATEGORY_NAMES, m(6)).alias("category_name"),
+        state.alias("state_name"),
+        *[date_field(off).alias(name) for name, off in DATE_OFFSETS],
+        F.lit("").alias("end_date"), F.lit("").alias("interview_date_to"),
+        F.when(m(2) == 0, F.lit("")).otherwise(F.lit("4:00 PM")).alias("deadline_time"),
+        _k_pick(TOTAL_POSTS, m(9)).alias("total_posts"),
+        F.when(k % 11 == 0, F.lit("12abc")).otherwise((k % 50).cast("string")).alias("vacancy_gen"),
+        (k % 20).cast("string").alias("vacancy_obc"), (k % 10).cast("string").alias("vacancy_sc"),
+        (k % 5).cast("string").alias("vacancy_st"), (k % 7).cast("string").alias("vacancy_ews"),
+        (k % 3).cast("string").alias("vacancy_ph"),
+        F.when(k % 4 == 0, F.lit("0")).otherwise((k % 5 * 100).cast("string")).alias("fee_general"),
+        F.when(k % 4 == 0, F.lit("0")).otherwise((k % 5 * 50).cast("string")).alias("fee_obc"),
+        F.when(k % 3 == 0, F.lit("0")).otherwise(F.lit("25")).alias("fee_sc_st"),
+        F.when(k % 2 == 0, F.lit("0")).otherwise(F.lit("50")).alias("fee_women"),
+        F.lit("0").alias("fee_ph"),
+        F.when(k % 5 == 0, F.lit("0")).otherwise((18 + k % 3).cast("string")).alias("age_min"),
+        F.when(k % 6 == 0, F.lit("")).otherwise((27 + k % 10).cast("string")).alias("age_max_gen"),
+        (30 + k % 3).cast("string").alias("age_max_obc"), (32 + k % 3).cast("string").alias("age_max_sc"),
+        F.when(k % 4 == 0, F.lit("0")).otherwise((37 + k % 3).cast("string")).alias("age_max_ph"),
+        F.lit("0").alias("age_max_ex_serviceman"),
+        F.when(k % 3 == 0, F.lit("0")).otherwise((20000 + k % 10 * 1000).cast("string")).alias("salary_min"),
+        F.when(k % 3 == 0, F.lit("0")).otherwise((60000 + k % 10 * 1000).cast("string")).alias("salary_max"),
+        _k_pick(SALARIES, m(4)).alias("salary"),
+        _k_pick(SALARY_TYPES, m(5)).alias("salary_type"),
+        _k_pick(ONLINE_FORMS, m(5)).alias("online_form"),
+        _k_pick(APPLY_URLS, m(4)).alias("apply_url"),
+        _k_pick(NOTIFICATION_PDFS, m(4)).alias("notification_pdf"),
+        F.lit("").alias("final_result"),
+        F.slice(_lits(STAGES), 1, m(4)).alias("selection_stages"),
+        F.when(m(4) == 0, _lits(["graduate", "btech", "xyz_unknown"])).otherwise(F.array().cast("array<string>"))
+        .alias("education"),
+        F.when(m(4) == 0, _lits(["govt_job", "bogus_tag"])).otherwise(F.array().cast("array<string>")).alias("tags"),
+        _k_pick(QUALIFICATIONS, m(13)).alias("qualifications"),
+        links.alias("important_links"),
+        faq.alias("faq"),
+        _k_pick(META_KEYWORDS, m(3)).alias("meta_keywords"),
+        F.when(m(5) == 0, F.lit("")).otherwise((k % 18).cast("string")).alias("category_id"),
+        F.when(m(4) == 0, F.lit("")).otherwise((k % 32).cast("string")).alias("state_id"),
+        _k_pick(SOURCE_URLS, m(3)).alias("source_url"),
+        (k % 10 == 0).alias("is_date_extended"),
+        F.when(m(8) == 0, F.lit("GATE score used for shortlisting only")).otherwise(F.lit("")).alias("gate_note"),
+        F.when(m(2) == 0, F.lit("Typing")).otherwise(F.lit("")).alias("skills"),
+        F.lit("").alias("responsibilities"),
+        F.lit("").alias("featured_image"),
+        F.lit("").alias("meta_title"), F.lit("").alias("meta_description"),
+        F.lit(None).cast("string").alias("exam_date"), F.lit(None).cast("string").alias("result_date"),
+    ]
+    return df.select(*cols)
+
+
+def load_postings_raw(spark, sf_dir: str) -> DataFrame:
+    from gazette.session import read_table
+    t = {n: read_table(spark, sf_dir, n) for n in
+         ["orders", "customer", "nation", "part", "documents", "conversations"]}
+    # dense 0..n-1 keys: the counts are parquet-footer cheap scalars
+    n_parts, n_docs = t["part"].count(), t["documents"].count()
+    n_convs = t["conversations"].select("conv_id").distinct().count()
+    return postings_raw(t["orders"], t["customer"], t["nation"], t["part"], t["documents"],
+                        t["conversations"], n_parts, n_docs, n_convs)

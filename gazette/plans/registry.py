@@ -24,4 +24,5 @@ def register(name: str, sql: str | None):
 def load_all() -> dict:
     # importing the modules fills REGISTRY
     from gazette.plans import queries_pages  # noqa: F401
+    from gazette.plans import queries_postings  # noqa: F401
     return REGISTRY
