@@ -16,9 +16,136 @@ _W = "A-Za-z0-9_"
 ASCII_BOUNDARY = f"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
 
 
+_WORD = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+_QUANT = set("?*{")
+
+
+def _literal_at(p: str, i: int):
+    """(is_word, length) of a literal, unquantified character starting at p[i]; None if unknown."""
+    if i >= len(p):
+        return None
+    if p[i] == "\\":
+        if i + 1 < len(p) and not p[i + 1].isalnum():
+            n = 2
+            word = False
+        else:
+            return None
+    elif p[i] in "()[]|.^$+*?{}":
+        return None
+    else:
+        n = 1
+        word = p[i] in _WORD
+    if i + n < len(p) and p[i + n] in _QUANT:
+        return None
+    return word, n
+
+
+def _boundary(p: str, i: int) -> str:
+    """ASCII replacement for the \\b at p[i:i+2], as narrow as the neighbours allow."""
+    nxt = _literal_at(p, i + 2)
+    if nxt is not None:
+        return f"(?<![{_W}])" if nxt[0] else f"(?<=[{_W}])"
+    prev = None
+    if i >= 1 and p[i - 1] in _WORD and not (i >= 2 and p[i - 2] == "\\"):
+        prev = True
+    elif i >= 2 and p[i - 2] == "\\" and not p[i - 1].isalnum():
+        prev = False
+    elif i >= 1 and p[i - 1] not in _WORD and p[i - 1] not in "()[]|.^$+*?{}\\":
+        prev = False
+    if prev is True:
+        return f"(?![{_W}])"
+    if prev is False:
+        return f"(?=[{_W}])"
+    return ASCII_BOUNDARY
+
+
 def java(pattern: str, ci: bool = False, dotall: bool = False) -> str:
     flags = "d" + ("i" if ci else "") + ("s" if dotall else "")
-    return f"(?{flags})" + pattern.replace(r"\b", ASCII_BOUNDARY)
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern.startswith("\\b", i):
+            out.append(_boundary(pattern, i))
+            i += 2
+        elif pattern[i] == "\\" and i + 1 < len(pattern):
+            out.append(pattern[i:i + 2])
+            i += 2
+        else:
+            out.append(pattern[i])
+            i += 1
+    return f"(?{flags})" + "".join(out)
+
+
+def _top_level_branches(p: str) -> list[str]:
+    parts, depth, cur, i = [], 0, [], 0
+    while i < len(p):
+        ch = p[i]
+        if ch == "\\" and i + 1 < len(p):
+            cur.append(p[i:i + 2])
+            i += 2
+            continue
+        if ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        if ch == "|" and depth == 0:
+            parts.append("".join(cur))
+            cur = []
+        else:
+            cur.append(ch)
+        i += 1
+    parts.append("".join(cur))
+    return parts
+
+
+def _branch_literal(b: str) -> str | None:
+    """Longest run of literal characters that every match of the branch contains."""
+    runs, cur, depth, i = [], [], 0, 0
+    while i < len(b):
+        ch = b[i]
+        if ch == "\\" and i + 1 < len(b):
+            nxt = b[i + 1]
+            if nxt.isalnum():  # class escape (\\b, \\d, \\s, ...)
+                runs.append("".join(cur))
+                cur = []
+                i += 2
+                continue
+            lit, i = nxt, i + 2
+        elif ch in "()[]|.^$+*?{}":
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "[":
+                j = b.find("]", i + 1)
+                i = j if j > 0 else i
+            runs.append("".join(cur))
+            cur = []
+            i += 1
+            continue
+        else:
+            lit, i = ch, i + 1
+        if depth > 0:
+            continue
+        if i < len(b) and b[i] in _QUANT:  # optional character ends the run
+            runs.append("".join(cur))
+            cur = []
+            continue
+        cur.append(lit)
+    runs.append("".join(cur))
+    best = max(runs, key=len)
+    return best or None
+
+
+def required_literals(pattern: str) -> list[str] | None:
+    """Literals of which at least one occurs in any text the pattern matches (case as written);
+    None when some branch has no such literal."""
+    out = []
+    for b in _top_level_branches(pattern):
+        lit = _branch_literal(b)
+        if not lit:
+            return None
+        out.append(lit)
+    return sorted(set(out))
 
 
 def re2(pattern: str, ci: bool = False, dotall: bool = False) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gazette.config import DEFAULT_SITE, SiteConfig
 from gazette.functions import rules
-from gazette.functions.regex import java, literal
+from gazette.functions.regex import java, literal, required_literals
 from gazette.functions.text import col, empty_strs, is_blank_str, leading_int, nz, strip_tags
 
 
@@ -22,9 +22,23 @@ def _arr(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def rule_match(text: Column, rx: str) -> Column:
+    """``text rlike rx`` for lower-cased text, behind a cheap substring prefilter: the regex
+    only runs when the text holds one of the literals every match must contain."""
+    m = text.rlike(java(rx))
+    lits = required_literals(rx)
+    if not lits:
+        return m
+    pre = None
+    for lit in lits:
+        c = text.contains(lit)
+        pre = c if pre is None else (pre | c)
+    return F.when(pre, m).otherwise(F.lit(False))
+
+
 def _codes(text: Column, rule_list) -> Column:
     """Codes whose pattern matches ``text`` (already lower-cased), in rule order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(java(rx)), F.lit(code)) for code, rx in rule_list]))
+    return F.array_compact(F.array(*[F.when(rule_match(text, rx), F.lit(code)) for code, rx in rule_list]))
 
 
 # ---------------------------------------------------------------- E1
@@ -77,7 +91,7 @@ def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
                                             _arr(["govt_job", "new_vacancy"])).otherwise(_arr(["govt_job"])))
                  .otherwise(empty_strs()))
     cur = F.coalesce(F.col("tags"), empty_strs())
-    ext = F.col("_lt").rlike(java(rules.SIGNAL_RULES[0][1]))
+    ext = rule_match(F.col("_lt"), rules.SIGNAL_RULES[0][1])
     return (df.withColumn("tags", F.array_distinct(F.concat(cur, sig, type_tags)))
               .withColumn("is_date_extended", ext | F.coalesce(F.col("is_date_extended").cast("boolean"), F.lit(False)))
               .drop("_lt"))

@@ -388,3 +388,270 @@ def _e11_sql():
 def q_e11(spark, sf_dir):
     p = _p(spark, sf_dir)
     return p.select("post_id", F.array_join(E.type_zero_fields(p), ",").alias("violations"))
+
+
+# ---------------------------------------------------------------- reshape
+
+def _rows_sql(items, keep="post_id", label="label", value="value", drop_null=False, src="postings_raw",
+              extra_keep=""):
+    arr = "[" + ", ".join(f"{{'l': {S.s(lbl)}, 'v': CAST({v} AS VARCHAR)}}" for lbl, v in items) + "]"
+    where = "WHERE r.v IS NOT NULL" if drop_null else ""
+    return (f"WITH {S.postings_raw_cte()}\nbase AS (SELECT *, {arr} AS arr FROM {src})\n"
+            f"SELECT {keep}{extra_keep}, CAST(row_no AS INTEGER) AS row_no, r.l AS {label}, r.v AS {value} FROM "
+            f"(SELECT {keep}{extra_keep}, unnest(range(1, len(arr) + 1)) AS row_no, unnest(arr) AS r FROM base) {where}")
+
+
+def _int_sql(c):
+    return f"coalesce({S.lint(c)}, 0)"
+
+
+@register("r1_fee_rows", _rows_sql([(lbl, f"CASE WHEN {_int_sql(c)} > 0 THEN '₹' || CAST({_int_sql(c)} AS VARCHAR) "
+                                          f"ELSE 'Nil / Exempted' END")
+                                    for lbl, c in [("General / OBC", "fee_general"), ("SC / ST", "fee_sc_st"),
+                                                   ("PH / PWD", "fee_ph"), ("Female Candidates", "fee_women")]]))
+def q_r1(spark, sf_dir):
+    return R.fee_rows(_p(spark, sf_dir)).withColumn("row_no", F.col("row_no").cast("int"))
+
+
+def _r2_sql():
+    parts = " + ".join(_int_sql(c) for _, c in R.VACANCY_COLS)
+    items = [(lbl, f"coalesce({c}, '0')") for lbl, c in R.VACANCY_COLS]
+    items.append(("Total Posts", f"coalesce(CAST(total_posts AS VARCHAR), CAST({parts} AS VARCHAR))"))
+    return _rows_sql(items, extra_keep=", parts_sum", src=f"(SELECT *, CAST({parts} AS BIGINT) AS parts_sum FROM postings_raw)")
+
+
+@register("r2_vacancy_rows", _r2_sql())
+def q_r2(spark, sf_dir):
+    return R.vacancy_rows(_p(spark, sf_dir)).withColumn("row_no", F.col("row_no").cast("int"))
+
+
+def _r3_sql():
+    nd = S.NO_DATE
+    wait = f"(CASE WHEN {S.blank('waitlist_date')} THEN '{nd}' ELSE {S.safe_date('waitlist_date')} END)"
+    items = [("Notification Released", S.safe_date("notification_date")),
+             ("Online Apply Start", S.safe_date("start_date")),
+             ("Apply Last Date", S.deadline_text_table("last_date", "deadline_time")),
+             ("Fee Payment Deadline", S.safe_date("last_date")),
+             ("Interview Date", S.safe_date("interview_date_from")),
+             ("Exam Date", S.safe_date("exam_date")), ("Result Date", S.safe_date("result_date")),
+             ("Waitlist Valid Until", wait)]
+    skip = {"Exam Date", "Result Date", "Interview Date", "Waitlist Valid Until"}
+    items = [(lbl, f"(CASE WHEN {v} = '{nd}' THEN NULL ELSE {v} END)" if lbl in skip else v) for lbl, v in items]
+    return _rows_sql(items, drop_null=True)
+
+
+@register("r3_date_rows", _r3_sql())
+def q_r3(spark, sf_dir):
+    return R.date_rows(_p(spark, sf_dir)).withColumn("row_no", F.col("row_no").cast("int"))
+
+
+def _r4_sql():
+    tp = _int_sql("total_posts")
+    items = [
+        ("\U0001F3E2 Organization", "coalesce(organization, 'Government Body')"),
+        ("\U0001F4CB Post Name", "coalesce(post_name, title, 'Various')"),
+        ("\U0001F4E2 Total Vacancies", f"CASE WHEN {tp} > 0 THEN total_posts ELSE 'As per requirement' END"),
+        ("\U0001F4C1 Category", "coalesce(category_name, 'Govt Jobs')"),
+        ("\U0001F4CD Location", "coalesce(state_name, 'All India')"),
+        ("\U0001F393 Education", f"CASE WHEN len(coalesce(education, [])) > 0 THEN array_to_string(education, ', ') "
+                                 f"ELSE '{S.NO_DATE}' END"),
+        ("\U0001F382 Age Limit", S.age_display()),
+        ("\U0001F4B0 Salary", S.salary_text("salary", "salary_min")),
+        ("\U0001F4B3 App Fee", f"CASE WHEN {_int_sql('fee_general')} > 0 THEN '₹' || fee_general || "
+                               f"' (Gen) | SC/ST/Women: Free' ELSE 'No Fee' END"),
+        ("\U0001F4DD Apply Mode", f"CASE WHEN {S.blank('online_form')} THEN 'Offline' ELSE 'Online' END"),
+        ("\U0001F4C5 Last Date", S.deadline_text("last_date", "deadline_time")),
+        ("\U0001F3AF GATE Note", f"CASE WHEN NOT {S.blank('gate_note')} THEN {S.html_escape('gate_note')} END"),
+    ]
+    return _rows_sql(items, drop_null=True)
+
+
+@register("r4_quick_info_rows", _r4_sql())
+def q_r4(spark, sf_dir):
+    return R.quick_info_rows(_p(spark, sf_dir)).withColumn("row_no", F.col("row_no").cast("int"))
+
+
+@register("r5_selection_stage_rows", f"""WITH {S.postings_raw_cte()}
+x AS (SELECT post_id, unnest(range(1, len(selection_stages) + 1)) AS stage_no, unnest(selection_stages) AS s
+      FROM postings_raw)
+SELECT post_id, CAST(stage_no AS INTEGER) AS stage_no, {S.html_escape('s')} AS stage FROM x""")
+def q_r5(spark, sf_dir):
+    return R.selection_stage_rows(_p(spark, sf_dir)).withColumn("stage_no", F.col("stage_no").cast("int"))
+
+
+def _r6_sql():
+    from gazette.oracle.pages_sql import link_kind_sql, title_table_sql
+    t = title_table_sql("raw", "url", "n")
+    return f"""WITH {S.postings_raw_cte()}
+v AS (SELECT post_id, list_filter(important_links, lambda x: NOT {S.blank('x.url')}) AS l FROM postings_raw),
+x AS (SELECT post_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS lk FROM v),
+y AS (SELECT post_id, n, lk.title AS raw, lk.url AS url FROM x)
+SELECT post_id, CAST(n AS INTEGER) AS n, {t} AS title, url, {link_kind_sql(t)} AS kind,
+       (contains(lower(url), 't.me/') OR contains(lower(url), 'whatsapp.com/channel')) AS social FROM y"""
+
+
+@register("r6_link_rows", _r6_sql())
+def q_r6(spark, sf_dir):
+    return R.link_rows(_p(spark, sf_dir)).withColumn("n", F.col("n").cast("int"))
+
+
+def _r7_sql():
+    qq, aa = q.php_trim(S.nz("f.question")), q.php_trim(S.nz("f.answer"))
+    return f"""WITH {S.postings_raw_cte()}
+x AS (SELECT post_id, unnest(range(1, len(faq) + 1)) AS q_no, unnest(faq) AS f FROM postings_raw)
+SELECT post_id, CAST(q_no AS INTEGER) AS q_no, {q.decode_entities(q.strip_tags(qq))} AS question,
+       {q.decode_entities(q.strip_tags(aa))} AS answer, ({qq} <> '' AND {aa} <> '') AS for_export,
+       NOT {S.blank('f.question')} AS for_display FROM x"""
+
+
+@register("r7_faq_rows", _r7_sql())
+def q_r7(spark, sf_dir):
+    return R.faq_rows(_p(spark, sf_dir)).withColumn("q_no", F.col("q_no").cast("int"))
+
+
+def _r11_sql():
+    slug_src = f"(SELECT *, {_SLUG_SQL} AS slug FROM postings_raw)"
+    t, d = S.html_escape(S.nz("title")), S.html_escape(S.nz("short_description"))
+    u = S.html_escape(S.derive_url("slug", "type"))
+    img = S.html_escape(f"CASE WHEN {S.blank('featured_image')} THEN '{SITE.image_fallback}' ELSE featured_image END")
+    items = [("og:type", "'website'"), ("og:site_name", S.html_escape(S.s(SITE.name))), ("og:title", t),
+             ("og:description", d), ("og:url", u), ("og:image", img), ("og:locale", "'en_IN'"),
+             ("twitter:card", "'summary_large_image'"), ("twitter:title", t), ("twitter:description", d),
+             ("twitter:image", img), ("hreflang:en-IN", u), ("hreflang:hi", u), ("canonical", u)]
+    return _rows_sql(items, label="name", value="content", src=slug_src)
+
+
+@register("r11_social_meta_rows", _r11_sql())
+def q_r11(spark, sf_dir):
+    return R.social_meta_rows(N.derive_slug(_p(spark, sf_dir))).withColumn("row_no", F.col("row_no").cast("int"))
+
+
+def _r12_sql():
+    typ = f"regexp_replace(lower(coalesce(type, 'job')), '^([^ ]*) ', {S.s(chr(92) + '1_')})"
+    known = "[" + ", ".join(S.s(t) for t, _ in rules.CARD_LAYOUTS) + "]"
+    ctype = f"(CASE WHEN list_contains({known}, {typ}) THEN {typ} ELSE 'job' END)"
+    fields = {"education_label": S.education_label("education"),
+              "age_label": S.age_label_short("age_min", "age_max_gen")}
+    cases = []
+    for t, layout in rules.CARD_LAYOUTS:
+        items = []
+        for label, field, default in layout:
+            v = fields.get(field, f"CAST({field} AS VARCHAR)")
+            if default is not None:
+                v = f"(CASE WHEN {S.blank(v)} THEN {S.s(default)} ELSE {v} END)"
+            items.append(f"{{'label': {S.s(label)}, 'value': {v}}}")
+        cases.append(f"WHEN ctype = {S.s(t)} THEN [{', '.join(items)}]")
+    arr = "CASE " + " ".join(cases) + " END"
+    return f"""WITH {S.postings_raw_cte()}
+b AS (SELECT *, {ctype} AS ctype FROM postings_raw),
+c AS (SELECT post_id, ctype, {arr} AS arr FROM b),
+x AS (SELECT post_id, ctype, unnest(range(1, len(arr) + 1)) AS row_no, unnest(arr) AS r FROM c)
+SELECT post_id, ctype AS card_type, CAST(row_no AS INTEGER) AS row_no, r.label AS label, r.value AS value FROM x"""
+
+
+@register("r12_card_rows", _r12_sql())
+def q_r12(spark, sf_dir):
+    return R.card_rows(_p(spark, sf_dir)).withColumn("row_no", F.col("row_no").cast("int"))
+
+
+# ---------------------------------------------------------------- posting links
+
+@register("l18_l20_l21_pdf_complete_official", W(
+    f"post_id, {_links_text_sql('l18')} AS with_pdf, {_links_text_sql('l20')} AS complete, "
+    f"l21 AS official_site",
+    src=f"""(SELECT post_id,
+    CASE WHEN NOT {S.blank('notification_pdf')} AND {q.is_valid_url('notification_pdf')}
+          AND len(list_filter(important_links, lambda x: NOT {S.blank('x.url')} AND lower(x.url) = lower(notification_pdf))) = 0
+         THEN list_prepend({{'title': 'Official Notification PDF', 'url': notification_pdf}}, important_links)
+         ELSE important_links END AS l18,
+    list_filter(important_links, lambda x: NOT {S.blank('x.title')} AND NOT {S.blank('x.url')}) AS l20,
+    list_filter(important_links, lambda x: NOT {S.blank('x.url')} AND
+                {q.rlike(S.nz('x.title'), 'official.?website|official.?site', ci=True)})[1].url AS l21
+  FROM postings_raw)"""))
+def q_l18(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return p.select("post_id", _links_text(PL.inject_pdf_link("important_links", "notification_pdf")).alias("with_pdf"),
+                    _links_text(PL.complete_links("important_links")).alias("complete"),
+                    PL.pick_official_site("important_links").alias("official_site"))
+
+
+def _hosted(col_sql=False):
+    # the hosted copy of a notification PDF: <site>/pdfs/<md5 of its url>.pdf (null without a valid url)
+    if col_sql:
+        return (f"CASE WHEN {q.is_valid_url('notification_pdf')} THEN '{SITE.url}/pdfs/' || md5(notification_pdf) "
+                f"|| '.pdf' END")
+    from gazette.functions.urls import is_valid_url
+    return F.when(is_valid_url("notification_pdf"),
+                  F.concat(F.lit(SITE.url + "/pdfs/"), F.md5("notification_pdf"), F.lit(".pdf")))
+
+
+def _l19_sql():
+    hit = (f"list_transform(important_links, lambda x: {q.rlike(S.nz('x.url'), chr(92) + '.pdf', ci=True)} OR "
+           f"{q.rlike(S.nz('x.title'), 'notification|advt', ci=True)})")
+    new = "{'title': 'Official Notification PDF', 'url': h}"
+    return W(f"post_id, {_links_text_sql('res')} AS links", src=f"""(SELECT post_id,
+      CASE WHEN h IS NULL THEN important_links
+           WHEN idx > 0 THEN list_transform(important_links, lambda x, i: CASE WHEN i = idx THEN {new} ELSE x END)
+           ELSE list_prepend({new}, important_links) END AS res
+    FROM (SELECT *, {_hosted(True)} AS h, coalesce(list_position({hit}, true), 0) AS idx FROM postings_raw))""")
+
+
+@register("l19_replace_pdf_link", _l19_sql())
+def q_l19(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return p.select("post_id", _links_text(PL.replace_pdf_link("important_links", _hosted())).alias("links"))
+
+
+@register("l22_related_links", f"""WITH {S.postings_raw_cte()}
+dim AS (SELECT * FROM (VALUES {", ".join(f"({S.s(t)}, {i + 1}, {S.s(SITE.url + pth)}, {S.s(lbl)})"
+                                          for t, items in rules.RELATED_LINKS for i, (pth, lbl) in enumerate(items))})
+        AS d(type, ordinal, url, label))
+SELECT p.post_id, d.ordinal, d.url, d.label
+FROM postings_raw p JOIN dim d ON d.type = CASE WHEN p.type IN
+  ({", ".join(S.s(t) for t, _ in rules.RELATED_LINKS if t != "default")}) THEN p.type ELSE 'default' END""")
+def q_l22(spark, sf_dir):
+    return PL.related_links(_p(spark, sf_dir), PL.dim_related(spark))
+
+
+# ---------------------------------------------------------------- validation
+
+def _v1_sql():
+    reason = "CASE " + " ".join(f"WHEN {S.blank(f)} THEN 'Required field missing: {f}'" for f in V.REQUIRED_FIELDS) + " END"
+    missing = ("array_to_string(list_filter([" + ", ".join(f"CASE WHEN {S.blank(f)} THEN {S.s(lbl)} END" for f, lbl in
+                                                        zip(V.REQUIRED_FIELDS, V.REQUIRED_LABELS)) +
+               "], lambda x: x IS NOT NULL), ', ')")
+    return W(f"post_id, {reason} AS reject_reason, {missing} AS missing")
+
+
+@register("v1_require_fields", _v1_sql())
+def q_v1(spark, sf_dir):
+    p = V.require_fields(_p(spark, sf_dir))
+    return p.select("post_id", "reject_reason", F.array_join("missing", ", ").alias("missing"))
+
+
+@register("v5_length_audit", W(", ".join(
+    [f"CAST(count(*) FILTER (WHERE length(coalesce({c}, '')) > {lim}) AS BIGINT) AS n_{c}_over"
+     for c, lim in V.LENGTH_LIMITS] + ["CAST(count(*) AS BIGINT) AS n_postings"])))
+def q_v5(spark, sf_dir):
+    return V.length_audit_summary(V.length_audit(_p(spark, sf_dir)))
+
+
+@register("v6_v7_keyword_faq_counts", W(
+    "post_id, CAST(len(list_filter(list_transform(string_split(coalesce(meta_keywords, ''), ','), "
+    f"lambda x: {q.php_trim('x')}), lambda x: x <> '' AND x <> '0')) AS BIGINT) AS kw_count, "
+    "CAST(len(faq) AS BIGINT) AS faq_count, "
+    f"CAST(len(regexp_extract_all(coalesce(content, ''), {q.rx(chr(34) + '@type' + chr(34) + r'[ \t\n\r\f]*:[ \t\n\r\f]*' + chr(34) + 'Question' + chr(34))})) AS BIGINT) AS content_questions"))
+def q_v6(spark, sf_dir):
+    p = V.faq_count(_p(spark, sf_dir), keep=[V.keyword_count("meta_keywords").cast("long").alias("kw_count")])
+    return p.select("post_id", "kw_count", "faq_count", "content_questions")
+
+
+@register("v9_vocab_audit", f"""WITH {S.postings_raw_cte()}
+t AS (SELECT post_id, 'tag' AS kind, unnest(tags) AS code FROM postings_raw),
+e AS (SELECT post_id, 'education' AS kind, unnest(education) AS code FROM postings_raw)
+SELECT post_id, kind, code FROM t WHERE code NOT IN ({", ".join(S.s(v) for v in rules.VOCAB_TAGS)})
+UNION ALL
+SELECT post_id, kind, code FROM e WHERE code NOT IN ({", ".join(S.s(v) for v in rules.VOCAB_EDUCATION)})""")
+def q_v9(spark, sf_dir):
+    from gazette.sources.dims import vocab
+    return V.vocab_audit(_p(spark, sf_dir), vocab(spark, "tag"), vocab(spark, "education"))
