@@ -126,3 +126,40 @@ faq_by_conv AS (
   LEFT JOIN part p ON p.p_partkey = {k} % (SELECT count(*) FROM part)
   LEFT JOIN documents d ON d.doc_id = {k} % (SELECT count(*) FROM documents)
   LEFT JOIN faq_by_conv f ON f.conv_id = {k} % (SELECT count(DISTINCT conv_id) FROM conversations)),"""
+
+
+def responses_cte(name: str = "responses") -> str:
+    """B3 twin (needs postings_raw_cte before it)."""
+    parts = []
+    for c in FX.RESPONSE_BODY_FIELDS:
+        v = c if c in ("tags", "education", "important_links", "faq") else f"coalesce({c}, '')"
+        parts.append(f"{q.s(c)}: {v}")
+    body = "CAST(to_json({" + ", ".join(parts) + "}) AS VARCHAR)"
+    return f"""resp_full AS (SELECT post_id, {body} AS full_body FROM postings_raw),
+{name} AS (
+  SELECT post_id AS response_id, post_id % (SELECT count(*) FROM pages) AS page_id,
+    CASE WHEN post_id % 50 = 49 THEN {q.s(FX.NOT_JSON)}
+         WHEN post_id % 5 = 0 THEN '```json' || chr(10) || full_body || chr(10) || '```'
+         WHEN post_id % 5 = 1 THEN substring(full_body, 1, CAST((length(full_body) * 3) // 5 AS INTEGER))
+         WHEN post_id % 5 = 2 THEN substring(full_body, 1, strpos(full_body, '"title":"') + 11)
+         WHEN post_id % 5 = 3 AND comma > 0 THEN substring(full_body, 1, comma)
+         ELSE full_body END AS body
+  FROM (SELECT *, CASE WHEN strpos(substring(full_body, CAST(trunc(length(full_body) / 2) AS INTEGER) + 1), ',') > 0
+                       THEN strpos(substring(full_body, CAST(trunc(length(full_body) / 2) AS INTEGER) + 1), ',')
+                            + CAST(trunc(length(full_body) / 2) AS INTEGER) ELSE 0 END AS comma
+        FROM resp_full)),"""
+
+
+def repair_sql(s: str) -> str:
+    """S4 twin: a list_reduce over the characters with (in string, escaped, closers) state."""
+    t = q.rrep(s, "[, ]+$", "")
+    step = ("lambda a, c: CASE WHEN a.e THEN {'i': a.i, 'e': false, 'st': a.st} "
+            "WHEN c = chr(92) AND a.i THEN {'i': a.i, 'e': true, 'st': a.st} "
+            "WHEN c = '\"' THEN {'i': NOT a.i, 'e': false, 'st': a.st} "
+            "WHEN a.i THEN a "
+            "WHEN c = '{' THEN {'i': false, 'e': false, 'st': a.st || '}'} "
+            "WHEN c = '[' THEN {'i': false, 'e': false, 'st': a.st || ']'} "
+            "WHEN c = '}' OR c = ']' THEN {'i': false, 'e': false, 'st': substring(a.st, 1, greatest(length(a.st) - 1, 0))} "
+            "ELSE a END")
+    acc = f"list_reduce(string_split({t}, ''), {step}, {{'i': false, 'e': false, 'st': ''}})"
+    return f"(SELECT tt || CASE WHEN a.i THEN '\"' ELSE '' END || reverse(a.st) FROM (SELECT {t} AS tt, {acc} AS a))"

@@ -276,3 +276,38 @@ def load_postings_raw(spark, sf_dir: str) -> DataFrame:
     n_convs = t["conversations"].select("conv_id").distinct().count()
     return postings_raw(t["orders"], t["customer"], t["nation"], t["part"], t["documents"],
                         t["conversations"], n_parts, n_docs, n_convs)
+
+
+# ---------------------------------------------------------------- B3 responses
+RESPONSE_BODY_FIELDS = ["type", "title", "organization", "short_description", "total_posts", "last_date",
+                        "category_name", "state_name", "online_form", "salary", "tags", "education",
+                        "important_links", "faq"]
+NOT_JSON = "Sorry, I cannot help with that request."
+
+
+def responses(postings: DataFrame, n_pages: int) -> DataFrame:
+    """One model answer per posting: k % 5 = 0 fenced; 1 cut at 60 %; 2 cut inside the title
+    string; 3 cut after a comma past the middle; 4 whole; k % 50 = 49 not JSON."""
+    k = F.col("post_id")
+    body = F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c not in
+                                ("tags", "education", "important_links", "faq") else F.col(c)
+                                for c in RESPONSE_BODY_FIELDS]))
+    df = postings.select("post_id", body.alias("full_body"))
+    n = F.length("full_body")
+    half = F.floor(n / 2).cast("int")
+    rel = F.instr(F.substring(F.col("full_body"), half + 1, 1 << 30), ",")
+    comma = F.when(rel > 0, rel + half).otherwise(F.lit(0))
+    m = (k % 5).cast("int")
+    cut = (F.when(m == 0, F.concat(F.lit("```json\n"), F.col("full_body"), F.lit("\n```")))
+           .when(m == 1, F.substring("full_body", 1, F.floor(n * 3 / 5).cast("int")))
+           .when(m == 2, F.substring("full_body", 1, F.locate('"title":"', F.col("full_body")) + 11))
+           .when((m == 3) & (comma > 0), F.substring("full_body", 1, comma))
+           .otherwise(F.col("full_body")))
+    body = F.when(k % 50 == 49, F.lit(NOT_JSON)).otherwise(cut)
+    return df.select(k.alias("response_id"), (k % n_pages).alias("page_id"), body.alias("body"))
+
+
+def load_responses(spark, sf_dir: str) -> DataFrame:
+    from gazette.session import read_table
+    n_pages = read_table(spark, sf_dir, "pages").count()
+    return responses(load_postings_raw(spark, sf_dir), n_pages)

@@ -25,4 +25,5 @@ def load_all() -> dict:
     # importing the modules fills REGISTRY
     from gazette.plans import queries_pages  # noqa: F401
     from gazette.plans import queries_postings  # noqa: F401
+    from gazette.plans import queries_responses  # noqa: F401
     return REGISTRY
