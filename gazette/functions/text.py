@@ -64,10 +64,33 @@ def leading_int(c) -> Column:
 
 
 def byte_cut(c, max_bytes: int) -> Column:
-    """First ``max_bytes`` UTF-8 bytes; a character split by the cut is dropped."""
-    b = F.substring(F.encode(col(c), "UTF-8"), 1, max_bytes)
-    s = F.decode(b, "UTF-8")
-    return F.regexp_replace(s, "�$", "")
+    """The longest prefix of at most ``max_bytes`` UTF-8 bytes (a character split by the cut is
+    dropped).  Texts that fit are returned as they are; otherwise one fold over the first
+    ``max_bytes`` characters finds how many fit."""
+    s = col(c)
+    head = F.substring(s, 1, max_bytes)
+
+    def step(acc, ch):
+        nb = acc["b"] + F.octet_length(ch)
+        fits = ~acc["stop"] & (nb <= max_bytes)
+        return F.struct(F.when(fits, nb).otherwise(acc["b"]).alias("b"),
+                        F.when(fits, acc["k"] + 1).otherwise(acc["k"]).alias("k"),
+                        (~fits).alias("stop"))
+
+    init = F.struct(F.lit(0).alias("b"), F.lit(0).alias("k"), F.lit(False).alias("stop"))
+    k = F.aggregate(F.split(head, ""), init, step, lambda a: a["k"])
+    return (F.when(F.octet_length(s) <= max_bytes, s)
+            .when(F.octet_length(head) <= max_bytes, head)
+            .otherwise(F.substring(head, F.lit(1), k)))
+
+
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(c) -> Column:
+    """Lower-case A-Z only (byte-length preserving, like the source's strtolower)."""
+    return F.translate(col(c), ASCII_UPPER, ASCII_LOWER)
 
 
 def octets(c) -> Column:

@@ -144,9 +144,10 @@ def category_id_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in rules.CATEGORY_IDS for x in kv])
 
 
-def resolve_category_id(df: DataFrame, dim_category: DataFrame | None = None) -> DataFrame:
-    """A blank id comes from the name through the alias dimension (else 14); when the
-    (corrected) name is in the dimension its id wins.
+def resolve_category_id(df: DataFrame, dim_category: DataFrame | None = None,
+                        prefer_name: bool = True) -> DataFrame:
+    """A blank id comes from the name through the alias dimension (else 14); with
+    ``prefer_name`` (the step after category correction) a name found in the dimension wins.
 
     With ``dim_category`` (name, category_id) the lookup is a broadcast left join on the name;
     the dimension is a fixed alias list, so its size is bounded by construction."""
@@ -161,7 +162,8 @@ def resolve_category_id(df: DataFrame, dim_category: DataFrame | None = None) ->
     base = (F.when(~is_blank_str(cid), leading_int(cid))
             .when(~is_blank_str("category_name"), F.coalesce(F.col("_dim_id"), F.lit(rules.CATEGORY_DEFAULT_ID)))
             .otherwise(F.lit(rules.CATEGORY_DEFAULT_ID)).cast("long"))
-    return df.withColumn("category_id", F.coalesce(F.col("_dim_id"), base)).drop("_dim_id")
+    out = F.coalesce(F.col("_dim_id"), base) if prefer_name else base
+    return df.withColumn("category_id", out).drop("_dim_id")
 
 
 def override_category_by_type(df: DataFrame) -> DataFrame:

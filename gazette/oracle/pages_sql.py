@@ -150,7 +150,8 @@ def page_title_sql(html: str) -> str:
 
 
 def detect_type_sql(url: str, title: str, html: str) -> str:
-    hay = (f"(lower({title} || ' ' || {q.byte_cut(html, rules.TYPE_WINDOW_BYTES)}) || ' ' || "
+    low = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    hay = (f"(translate({title} || ' ' || {q.byte_cut(html, rules.TYPE_WINDOW_BYTES)}, {low}) || ' ' || "
            f"lower({q.url_path(url)}))")
     parts = []
     for typ, words in rules.TYPE_KEYWORDS:

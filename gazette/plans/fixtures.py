@@ -104,7 +104,7 @@ CONTENT_EXTRAS = [
     "<p>See <a href=\"https://jobs.example.org/jobs\">jobs</a>, <a href=\"https://jobs.example.org/results\">results</a>,"
     " <a href=\"https://jobs.example.org/admit-cards\">admit cards</a>, <a href=\"https://jobs.example.org/syllabus\">syllabus</a>"
     " and <a href=\"https://jobs.example.org/category/ssc\">SSC</a>.</p>",
-    "<h3>Stay Updated</h3><p>Follow our channels.</p>",
+    "<h3>\U0001F4E2 Stay Updated</h3><p>Follow our channels.</p>",
 ]
 CATEGORY_NAMES = ["State Govt Jobs", "Central Govt Jobs", "Banking", "PSU Jobs", "Teaching Jobs", ""]
 TOTAL_POSTS = ["120", "1,234", "-5", "-5 posts", "12.7", "1e3", "As per rules", "", "0"]

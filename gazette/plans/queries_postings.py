@@ -655,3 +655,146 @@ SELECT post_id, kind, code FROM e WHERE code NOT IN ({", ".join(S.s(v) for v in
 def q_v9(spark, sf_dir):
     from gazette.sources.dims import vocab
     return V.vocab_audit(_p(spark, sf_dir), vocab(spark, "tag"), vocab(spark, "education"))
+
+
+# ---------------------------------------------------------------- content
+
+def _p7_sql():
+    parts = "string_split(coalesce(content, ''), '<h3')"
+    link_rx = q.rx(r"^<h3[^>]*>\s*important\s+links.*?</h3>", ci=True, dotall=True)
+    faq_rx = q.rx(r"^<h3[^>]*>\s*frequently\s+asked.*?</h3>", ci=True, dotall=True)
+    kept = (f"list_filter(list_transform({parts}, lambda p, i: CASE WHEN i = 1 THEN p ELSE '<h3' || p END), "
+            f"lambda p, i: i = 1 OR NOT (regexp_matches(p, {link_rx}) OR regexp_matches(p, {faq_rx})))")
+    joined = f"array_to_string({kept}, '')"
+    return W(f"post_id, {q.rrep(joined, r'<script\b[^>]*>.*?</script>', '', ci=True, dotall=True)} AS content")
+
+
+@register("p7_strip_sections", _p7_sql())
+def q_p7(spark, sf_dir):
+    from gazette.operators.pages import strip_sections
+    return _p(spark, sf_dir).select("post_id", strip_sections("content").alias("content"))
+
+
+def _p8_sql():
+    from gazette.operators.pages import HEADER_BLOCKS, STAY_UPDATED_MARKER
+    has_sel = "len(coalesce(selection_stages, [])) > 0"
+    has_faq = f"len(list_filter(coalesce(faq, []), lambda x: NOT {S.blank('x.question')})) > 0"
+    has_links = f"len(list_filter(coalesce(important_links, []), lambda x: NOT {S.blank('x.url')})) > 0"
+    body = q.rrep("coalesce(content, '')", "[ \t\n\r\x00\x0b]+$", "")
+    head = ", ".join(f"{{'kind': '{k}', 'chars': NULL::INTEGER, 'keep': {has_sel if k == 'selection' else 'true'}}}"
+                     for k in HEADER_BLOCKS)
+    faq_b = f"{{'kind': 'faq', 'chars': NULL::INTEGER, 'keep': {has_faq}}}"
+    links_b = f"{{'kind': 'links', 'chars': NULL::INTEGER, 'keep': {has_links}}}"
+    tail = (f"CASE WHEN len(parts) > 1 THEN flatten(list_transform(parts[2:], lambda p: [{faq_b}, {links_b}, "
+            f"{{'kind': 'stay_updated', 'chars': CAST(length({S.s(STAY_UPDATED_MARKER)} || p) AS INTEGER), 'keep': true}}]))"
+            f" ELSE [{faq_b}, {links_b}] END")
+    blocks = (f"list_filter(list_concat([{head}], [{{'kind': 'content', 'chars': CAST(length(parts[1]) AS INTEGER), "
+              f"'keep': true}}], {tail}), lambda b: b.keep)")
+    return f"""WITH {S.postings_raw_cte()}
+a AS (SELECT *, string_split({body}, {S.s(STAY_UPDATED_MARKER)}) AS parts FROM postings_raw),
+b AS (SELECT post_id, {blocks} AS blocks FROM a),
+x AS (SELECT post_id, unnest(range(1, len(blocks) + 1)) AS block_no, unnest(blocks) AS bk FROM b)
+SELECT post_id, CAST(block_no AS INTEGER) AS block_no, bk.kind AS kind, bk.chars AS chars FROM x"""
+
+
+@register("p8_assemble_content", _p8_sql())
+def q_p8(spark, sf_dir):
+    from gazette.operators.pages import assemble_content
+    return assemble_content(_p(spark, sf_dir)).withColumn("block_no", F.col("block_no").cast("int"))
+
+
+# ---------------------------------------------------------------- L14 .. L17 (response links + page links)
+
+def _l14_src():
+    # the model's link list as JSON text; every third posting sends it as an object keyed by position
+    return F.when(F.col("post_id") % 3 == 0, F.to_json(F.map_from_arrays(
+        F.transform(F.col("important_links"), lambda x, i: (i + 1).cast("string")),
+        F.transform(F.col("important_links"), lambda x: F.create_map(
+            F.lit("name"), x["title"], F.lit("href"), x["url"]))))).otherwise(F.to_json("important_links"))
+
+
+@register("l14_coerce_link_objects", None)
+def q_l14(spark, sf_dir):
+    p = _p(spark, sf_dir).withColumn("raw", _l14_src())
+    return p.select("post_id", _links_text(PL.coerce_link_objects(F.col("raw"))).alias("links"))
+
+
+def _merge_sql():
+    from gazette.oracle.fixtures_sql import pages_ext_cte
+    from gazette.oracle.pages_sql import gated_pages_sql, links_ctes, title_server_sql
+    cand_url = q.with_scheme("lk.url")
+    n = "row_number() OVER (PARTITION BY post_id ORDER BY src, ord)"
+    chan = []
+    for marker, title, url in SITE.channels:
+        chan.append(f"SELECT p.post_id, 9 AS src, {len(chan)} AS ord, {S.s(title)} AS title, {S.s(url)} AS url "
+                    f"FROM posts p LEFT JOIN titled t USING (post_id) "
+                    f"GROUP BY p.post_id HAVING count(*) FILTER (WHERE contains(t.url, {S.s(marker)})) = 0")
+    return f"""WITH {pages_ext_cte()}
+gated AS ({gated_pages_sql('pages_ext')}),
+ok AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL),
+{links_ctes('ok')},
+official AS (SELECT page_id, pos, link_url AS url,
+    {title_server_sql('title', 'link_url', 'row_number() OVER (PARTITION BY page_id ORDER BY pos)')} AS title
+  FROM uniq_links WHERE link_class = 'official'),
+{S.postings_raw_cte()}
+posts AS (SELECT post_id, source_url, important_links, post_id % (SELECT count(*) FROM pages) AS page_id FROM postings_raw),
+cand0 AS (SELECT post_id, source_url, unnest(range(1, len(important_links) + 1)) AS ord, unnest(important_links) AS lk FROM posts),
+cand1 AS (SELECT post_id, source_url, ord, coalesce(lk.title, '') AS title, {cand_url} AS url FROM cand0 WHERE NOT {S.blank('lk.url')}),
+cand AS (SELECT post_id, 1 AS src, ord, title, url FROM cand1 WHERE {q.is_valid_url('url')} AND
+    {__import__('gazette.oracle.pages_sql', fromlist=['x']).link_class_sql('url', f"CASE WHEN {S.blank('source_url')} THEN '' ELSE {q.registrable_domain('source_url')} END")} <> 'aggregator'),
+offi AS (SELECT p.post_id, 0 AS src, o.pos AS ord, o.title, o.url FROM posts p JOIN official o ON o.page_id = p.page_id),
+allk AS (SELECT * FROM offi UNION ALL SELECT * FROM cand),
+kept AS (SELECT * FROM allk QUALIFY src = 0 OR (row_number() OVER (PARTITION BY post_id, lower(url) ORDER BY src, ord) = 1
+         AND NOT EXISTS (SELECT 1 FROM offi o2 WHERE o2.post_id = allk.post_id AND lower(o2.url) = lower(allk.url)))),
+titled AS (SELECT post_id, src, ord, {title_server_sql('title', 'url', n)} AS title, url FROM kept),
+withchan AS (SELECT * FROM titled UNION ALL {' UNION ALL '.join(chan)})
+SELECT p.post_id, coalesce(string_agg(w.title || ' <' || w.url || '>', ' | ' ORDER BY w.src, w.ord), '') AS links
+FROM posts p LEFT JOIN withchan w USING (post_id) GROUP BY p.post_id"""
+
+
+@register("l15_l16_l17_merge_links", _merge_sql())
+def q_merge(spark, sf_dir):
+    from gazette.plans.fixtures import pages_ext
+    from gazette.plans.scrape import page_facts_all
+    from gazette.session import read_table
+    pages = read_table(spark, sf_dir, "pages")
+    facts = page_facts_all(pages_ext(pages)).filter(F.col("reject_reason").isNull()).select(
+        "page_id", "official_links")
+    p = _p(spark, sf_dir).withColumn("page_id", F.col("post_id") % pages.count())
+    p = p.join(facts, "page_id", "left")
+    cand = PL.sanitize_candidate_links("important_links", "source_url", SITE)
+    merged = PL.ensure_channel_links(PL.merge_links("official_links", cand), SITE)
+    return p.select("post_id", _links_text(merged).alias("links"))
+
+
+# ---------------------------------------------------------------- compositions (V3, V4)
+
+@register("v3_prepare_publish", None)
+def q_v3(spark, sf_dir):
+    from gazette.plans.publish import prepare_publish
+    from gazette.sources.dims import dim_category
+    ok, bad = prepare_publish(_p(spark, sf_dir), SITE, dim_category(spark))
+    out = ok.select("post_id", F.lit(None).cast("string").alias("reject_reason"), "slug", "organization",
+                    F.col("category_id").cast("long").alias("category_id"), F.array_join("tags", "|").alias("tags"),
+                    F.array_join("education", "|").alias("education"), "meta_keywords",
+                    _links_text(F.col("important_links")).alias("links"))
+    rej = bad.select("post_id", "reject_reason", *[F.lit(None).cast(t).alias(c) for c, t in
+                                                   [("slug", "string"), ("organization", "string"),
+                                                    ("category_id", "long"), ("tags", "string"),
+                                                    ("education", "string"), ("meta_keywords", "string"),
+                                                    ("links", "string")]])
+    return out.unionByName(rej)
+
+
+@register("v4_enrich_batch", None)
+def q_v4(spark, sf_dir):
+    from gazette.plans.enrich import enrich_batch
+    from gazette.plans.fixtures import load_responses, pages_ext
+    from gazette.plans.scrape import scrape_batch
+    from gazette.session import read_table
+    facts, _ = scrape_batch(pages_ext(read_table(spark, sf_dir, "pages")))
+    posts, rejects = enrich_batch(load_responses(spark, sf_dir), facts, SITE)
+    return posts.select("post_id", "type", "title", "total_posts", "category_name", "is_date_extended",
+                        F.array_join("tags", "|").alias("tags"), F.array_join("education", "|").alias("education"),
+                        "meta_title", "meta_description", _links_text(F.col("important_links")).alias("links"),
+                        F.md5("content").alias("content_md5"))
