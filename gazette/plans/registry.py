@@ -26,4 +26,5 @@ def load_all() -> dict:
     from gazette.plans import queries_pages  # noqa: F401
     from gazette.plans import queries_postings  # noqa: F401
     from gazette.plans import queries_responses  # noqa: F401
+    from gazette.plans import queries_streaming  # noqa: F401
     return REGISTRY
