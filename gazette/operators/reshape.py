@@ -192,7 +192,8 @@ def posting_jsonld(df: DataFrame, site: SiteConfig = DEFAULT_SITE, links: str =
         F.when(~is_blank_str("notification_date"), F.col("notification_date")).otherwise(F.lit(site.as_of))
         .alias("datePosted"),
         N.employment_type("title", "salary_type", "type").alias("employmentType"),
-        N.direct_apply_flag("direct_apply", "apply_url", "online_form").alias("directApply"),
+        N.direct_apply_flag(F.col("direct_apply") if "direct_apply" in df.columns else F.lit(None),
+                            "apply_url", "online_form").alias("directApply"),
         org.alias("hiringOrganization"),
         F.when(remote, F.lit("TELECOMMUTE")).alias("jobLocationType"),
         F.when(remote, F.struct(F.lit("Country").alias("@type"), F.lit("India").alias("name")))
@@ -254,3 +255,57 @@ def card_rows(df: DataFrame) -> DataFrame:
         arr = F.when(F.col("_ctype") == t, a) if arr is None else arr.when(F.col("_ctype") == t, a)
     return (df.select("post_id", F.col("_ctype").alias("card_type"), F.posexplode(arr).alias("_i", "r"))
               .select("post_id", "card_type", (F.col("_i") + 1).alias("row_no"), "r.label", "r.value"))
+
+
+def posting_summary(df: DataFrame, dim_categories: DataFrame, dim_states: DataFrame) -> DataFrame:
+    """The result panel: id, vacancies (en-IN grouping), type in title case, last date,
+    category / state names looked up by id (broadcast joins with the fixed fallback lists)."""
+    cats = F.broadcast(dim_categories.select(F.col("id").cast("string").alias("_cid"),
+                                             F.col("name").alias("category")))
+    sts = F.broadcast(dim_states.select(F.col("id").cast("string").alias("_sid"), F.col("name").alias("state")))
+    tp = F.coalesce(leading_int(F.col("total_posts").cast("string")), F.lit(0))
+    typ = N.ucwords(F.replace(F.coalesce(F.col("type"), F.lit("")), F.lit("_"), F.lit(" ")))
+    out = (df.withColumn("_cid", F.col("category_id").cast("string"))
+             .withColumn("_sid", F.col("state_id").cast("string"))
+             .join(cats, "_cid", "left").join(sts, "_sid", "left"))
+    dash = F.lit("—")
+    return out.select(
+        "post_id",
+        F.when(tp > 0, N.indian_grouping(tp)).otherwise(dash).alias("vacancies"),
+        F.when(F.coalesce(F.col("type"), F.lit("")) == "", dash).otherwise(typ).alias("type_label"),
+        F.when(is_blank_str("last_date"), dash).otherwise(F.col("last_date")).alias("last_date"),
+        F.coalesce(F.col("category"), dash).alias("category"),
+        F.coalesce(F.col("state"), F.lit("All India")).alias("state"),
+        F.when(is_blank_str("salary"), dash).otherwise(F.col("salary")).alias("salary"))
+
+
+def client_jsonld(df: DataFrame, site: SiteConfig = DEFAULT_SITE, state_name: str = "state_name") -> Column:
+    """The minimal JobPosting the form builds when the server document is absent."""
+    job_url = N.derive_url("slug", "type", site)
+    doc = F.struct(
+        F.lit("https://schema.org/").alias("@context"), F.lit("JobPosting").alias("@type"),
+        F.coalesce(F.col("title"), F.lit("")).alias("title"),
+        F.coalesce(F.col("short_description"), F.lit("")).alias("description"),
+        F.when(is_blank_str("notification_date"), F.lit(site.as_of)).otherwise(F.col("notification_date"))
+        .alias("datePosted"),
+        F.lit(site.as_of + "T00:00:00.000Z").alias("dateModified"),
+        F.lit("FULL_TIME").alias("employmentType"),
+        (~is_blank_str("online_form")).alias("directApply"),
+        F.struct(F.lit("Organization").alias("@type"),
+                 F.when(is_blank_str("organization"), F.lit("Government of India")).otherwise(F.col("organization"))
+                 .alias("name"), F.lit(site.url).alias("sameAs")).alias("hiringOrganization"),
+        F.struct(F.lit("Place").alias("@type"), F.struct(
+            F.lit("PostalAddress").alias("@type"), F.lit("IN").alias("addressCountry"),
+            F.when(is_blank_str(state_name), F.lit("All India")).otherwise(F.col(state_name)).alias("addressRegion"))
+            .alias("address")).alias("jobLocation"),
+        job_url.alias("url"),
+        F.when(~is_blank_str("last_date"), F.concat(F.col("last_date"), F.lit("T23:59:59+05:30"))).alias("validThrough"),
+        F.when(~is_blank_str("salary"), F.struct(
+            F.lit("MonetaryAmount").alias("@type"), F.lit("INR").alias("currency"),
+            F.struct(F.lit("QuantitativeValue").alias("@type"), F.col("salary").alias("description"),
+                     F.lit("YEAR").alias("unitText")).alias("value"))).alias("baseSalary"),
+        F.when(_int("total_posts") != 0, _int("total_posts")).alias("totalJobOpenings"),
+        F.when(~is_blank_str("online_form"), F.struct(
+            F.lit("ContactPoint").alias("@type"), F.lit("Apply Online").alias("contactType"),
+            F.col("online_form").alias("url"))).alias("applicationContact"))
+    return F.to_json(doc, {"ignoreNullFields": "true"})

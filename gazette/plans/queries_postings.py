@@ -798,3 +798,122 @@ def q_v4(spark, sf_dir):
                         F.array_join("tags", "|").alias("tags"), F.array_join("education", "|").alias("education"),
                         "meta_title", "meta_description", _links_text(F.col("important_links")).alias("links"),
                         F.md5("content").alias("content_md5"))
+
+
+# ---------------------------------------------------------------- JSON-LD and summary (R8 .. R14, S7)
+
+def _r8_sql():
+    qq, aa = q.php_trim(S.nz("x.question")), q.php_trim(S.nz("x.answer"))
+    items = f"list_filter(coalesce(faq, []), lambda x: {qq} <> '' AND {aa} <> '')"
+    ents = (f"list_transform({items}, lambda x: {{'@type': 'Question', 'name': {q.decode_entities(q.strip_tags(qq))}, "
+            f"'acceptedAnswer': {{'@type': 'Answer', 'text': {q.decode_entities(q.strip_tags(aa))}}}}})")
+    doc = f"CAST(to_json({{'@context': 'https://schema.org', '@type': 'FAQPage', 'mainEntity': {ents}}}) AS VARCHAR)"
+    return W(f"post_id, CASE WHEN len({items}) > 0 THEN {doc} END AS faq_jsonld")
+
+
+@register("r8_faq_jsonld", _r8_sql())
+def q_r8(spark, sf_dir):
+    return _p(spark, sf_dir).select("post_id", R.faq_jsonld("faq").alias("faq_jsonld"))
+
+
+def _r10_sql():
+    cat = "coalesce(category_name, 'Jobs')"
+    cat_slug = "lower(replace(coalesce(category_name, 'jobs'), ' ', '-'))"
+    url = S.derive_url("slug", "type")
+    doc = (f"CAST(to_json({{'@context': 'https://schema.org', '@type': 'BreadcrumbList', 'itemListElement': ["
+           f"{{'@type': 'ListItem', 'position': 1, 'name': 'Home', 'item': '{SITE.url}'}}, "
+           f"{{'@type': 'ListItem', 'position': 2, 'name': {cat}, 'item': '{SITE.url}/category/' || {cat_slug}}}, "
+           f"{{'@type': 'ListItem', 'position': 3, 'name': coalesce(title, 'Job Post'), 'item': {url}}}]}}) AS VARCHAR)")
+    return W(f"post_id, {doc} AS breadcrumb_jsonld", src=f"(SELECT *, {_SLUG_SQL} AS slug FROM postings_raw)")
+
+
+@register("r10_breadcrumb_jsonld", _r10_sql())
+def q_r10(spark, sf_dir):
+    p = N.derive_slug(_p(spark, sf_dir))
+    return p.select("post_id", R.breadcrumb_jsonld(p, SITE).alias("breadcrumb_jsonld"))
+
+
+def _jget(doc_col, paths):
+    return [F.get_json_object(doc_col, f"$.{p}").alias(a) for p, a in paths]
+
+
+_R9_PATHS = [("title", "title"), ("url", "url"), ("employmentType", "employment_type"),
+             ("directApply", "direct_apply"), ("hiringOrganization.name", "org_name"),
+             ("hiringOrganization.url", "org_url"), ("jobLocationType", "location_type"),
+             ("jobLocation.address.addressRegion", "region"), ("validThrough", "valid_through"),
+             ("baseSalary.value.minValue", "min_value"), ("baseSalary.value.maxValue", "max_value"),
+             ("totalJobOpenings", "openings"), ("identifier.value", "identifier")]
+
+
+@register("r9_posting_jsonld", None)
+def q_r9(spark, sf_dir):
+    p = R.posting_jsonld(N.derive_slug(_p(spark, sf_dir)), SITE)
+    return p.select("post_id", *_jget(F.col("posting_jsonld"), _R9_PATHS),
+                    F.get_json_object("posting_jsonld", "$.educationRequirements").alias("education_requirements"))
+
+
+@register("r13_posting_summary", f"""WITH {S.postings_raw_cte()}
+cats AS (SELECT * FROM (VALUES {", ".join(f"('{i}', {S.s(n)})" for i, n in rules.FALLBACK_CATEGORIES)}) AS c(cid, category)),
+sts AS (SELECT * FROM (VALUES {", ".join(f"('{i}', {S.s(n)})" for i, n in rules.FALLBACK_STATES)}) AS s(sid, state))
+SELECT post_id,
+  CASE WHEN {_int_sql('total_posts')} > 0 THEN {S.indian_grouping(_int_sql('total_posts'))} ELSE '—' END AS vacancies,
+  CASE WHEN coalesce(type, '') = '' THEN '—' ELSE {S.ucwords("replace(coalesce(type, ''), '_', ' ')")} END AS type_label,
+  CASE WHEN {S.blank('last_date')} THEN '—' ELSE last_date END AS last_date,
+  coalesce(c.category, '—') AS category, coalesce(s.state, 'All India') AS state,
+  CASE WHEN {S.blank('salary')} THEN '—' ELSE salary END AS salary
+FROM postings_raw p LEFT JOIN cats c ON c.cid = p.category_id LEFT JOIN sts s ON s.sid = p.state_id""")
+def q_r13(spark, sf_dir):
+    from gazette.sources.dims import dim_category_fallback, dim_state
+    return R.posting_summary(_p(spark, sf_dir), dim_category_fallback(spark), dim_state(spark))
+
+
+_R14_PATHS = [("title", "title"), ("datePosted", "date_posted"), ("directApply", "direct_apply"),
+              ("hiringOrganization.name", "org_name"), ("jobLocation.address.addressRegion", "region"),
+              ("validThrough", "valid_through"), ("baseSalary.value.description", "salary"),
+              ("totalJobOpenings", "openings"), ("applicationContact.url", "apply_url")]
+
+
+def _r14_sql():
+    tp = _int_sql("total_posts")
+    cols = {
+        "title": "coalesce(title, '')",
+        "date_posted": f"CASE WHEN {S.blank('notification_date')} THEN '{SITE.as_of}' ELSE notification_date END",
+        "direct_apply": f"CASE WHEN NOT {S.blank('online_form')} THEN 'true' ELSE 'false' END",
+        "org_name": f"CASE WHEN {S.blank('organization')} THEN 'Government of India' ELSE organization END",
+        "region": f"CASE WHEN {S.blank('state_name')} THEN 'All India' ELSE state_name END",
+        "valid_through": f"CASE WHEN NOT {S.blank('last_date')} THEN last_date || 'T23:59:59+05:30' END",
+        "salary": f"CASE WHEN NOT {S.blank('salary')} THEN salary END",
+        "openings": f"CASE WHEN {tp} <> 0 THEN CAST({tp} AS VARCHAR) END",
+        "apply_url": f"CASE WHEN NOT {S.blank('online_form')} THEN online_form END",
+    }
+    return W("post_id, " + ", ".join(f"{v} AS {k}" for k, v in cols.items()))
+
+
+@register("r14_client_jsonld", _r14_sql())
+def q_r14(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    doc = R.client_jsonld(N.derive_slug(p), SITE)
+    return N.derive_slug(p).select("post_id", *_jget(doc, _R14_PATHS))
+
+
+@register("s7_jsonld_documents", None)
+def q_s7(spark, sf_dir):
+    from gazette.sources.sinks import jsonld_documents
+    return jsonld_documents(N.derive_slug(_p(spark, sf_dir)), SITE).select(
+        "post_id", "kind", F.md5("json").alias("json_md5"), F.length("json").alias("json_len"))
+
+
+# ---------------------------------------------------------------- E1 + E2 on the supplied documents (text mode, S2)
+
+@register("e1_e2_documents", f"""WITH docs AS (SELECT doc_id, {q.php_trim('coalesce(text, chr(0))')} AS text FROM documents),
+ok AS (SELECT doc_id, text, CAST([] AS VARCHAR[]) AS none FROM docs WHERE text <> '')
+SELECT doc_id, array_to_string({S.detect_education('text', 'none')}, '|') AS education,
+       array_to_string({S.detect_tags('text', 'none')}, '|') AS tags FROM ok""".replace("chr(0)", "''"))
+def q_docs(spark, sf_dir):
+    from gazette.sources.pages import gate_raw_text, split_rejects
+    from gazette.session import read_table
+    docs, _ = split_rejects(gate_raw_text(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = docs.withColumn("none", F.array().cast("array<string>"))
+    docs = E.detect_tags(E.detect_education(docs, "text", current="none"), "text", current="none")
+    return docs.select("doc_id", F.array_join("education", "|").alias("education"),
+                       F.array_join("tags", "|").alias("tags"))
