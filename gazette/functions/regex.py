@@ -40,11 +40,56 @@ def _literal_at(p: str, i: int):
     return word, n
 
 
+def _group_alternatives(p: str, open_i: int):
+    """Top-level alternatives of the group opening at p[open_i] and the index of its ')'."""
+    depth, j = 0, open_i
+    while j < len(p):
+        if p[j] == "\\":
+            j += 2
+            continue
+        if p[j] == "(":
+            depth += 1
+        elif p[j] == ")":
+            depth -= 1
+            if depth == 0:
+                inner = p[open_i + 1:j]
+                if inner.startswith("?:"):
+                    inner = inner[2:]
+                return _top_level_branches(inner), j
+        j += 1
+    return None, -1
+
+
+def _starts_with_word(alt: str) -> bool:
+    return bool(alt) and alt[0] in _WORD and not (len(alt) > 1 and alt[1] in _QUANT)
+
+
+def _ends_with_word(alt: str) -> bool:
+    return bool(alt) and alt[-1] in _WORD and not (len(alt) > 1 and alt[-2] == "\\")
+
+
 def _boundary(p: str, i: int) -> str:
     """ASCII replacement for the \\b at p[i:i+2], as narrow as the neighbours allow."""
     nxt = _literal_at(p, i + 2)
     if nxt is not None:
         return f"(?<![{_W}])" if nxt[0] else f"(?<=[{_W}])"
+    if i + 2 < len(p) and p[i + 2] == "(":
+        alts, _ = _group_alternatives(p, i + 2)
+        if alts and all(_starts_with_word(a) for a in alts):
+            return f"(?<![{_W}])"
+    if i >= 1 and p[i - 1] == ")":
+        depth, j = 0, i - 1
+        while j >= 0:
+            if p[j] == ")" and (j == 0 or p[j - 1] != "\\"):
+                depth += 1
+            elif p[j] == "(" and (j == 0 or p[j - 1] != "\\"):
+                depth -= 1
+                if depth == 0:
+                    break
+            j -= 1
+        alts, close = _group_alternatives(p, j) if j >= 0 else (None, -1)
+        if alts and close == i - 1 and all(_ends_with_word(a) for a in alts):
+            return f"(?![{_W}])"
     prev = None
     if i >= 1 and p[i - 1] in _WORD and not (i >= 2 and p[i - 2] == "\\"):
         prev = True
@@ -59,11 +104,28 @@ def _boundary(p: str, i: int) -> str:
     return ASCII_BOUNDARY
 
 
+def _word_run(p: str, i: int) -> str:
+    """The literal word-character run starting at p[i] (its last character is dropped when a
+    quantifier follows it)."""
+    j = i
+    while j < len(p) and p[j] in _WORD:
+        j += 1
+    if j < len(p) and p[j] in _QUANT:
+        j -= 1
+    return p[i:j] if j > i else ""
+
+
 def java(pattern: str, ci: bool = False, dotall: bool = False) -> str:
     flags = "d" + ("i" if ci else "") + ("s" if dotall else "")
     out, i = [], 0
     while i < len(pattern):
         if pattern.startswith("\\b", i):
+            run = _word_run(pattern, i + 2)
+            if run:
+                # literal first, then look back: lets the matcher scan for the literal
+                out.append(f"{run}(?<![{_W}]{run})")
+                i += 2 + len(run)
+                continue
             out.append(_boundary(pattern, i))
             i += 2
         elif pattern[i] == "\\" and i + 1 < len(pattern):
@@ -169,3 +231,89 @@ def literal(text: str) -> str:
 def sql_str(text: str) -> str:
     """DuckDB string literal (backslashes are literal in standard strings)."""
     return "'" + text.replace("'", "''") + "'"
+
+
+def top_level_branches(pattern: str) -> list[str]:
+    return _top_level_branches(pattern)
+
+
+def expand_branch(branch: str, limit: int = 8):
+    """The finite set of literal strings a simple branch can match, ignoring ``\\b`` (which only
+    narrows): literal characters, escaped punctuation and single optional characters (``x?``,
+    ``\\.?``).  Returns (strings, has_boundary) or None when the branch uses anything else."""
+    outs, i, has_b = [""], 0, False
+    while i < len(branch):
+        ch = branch[i]
+        if ch == "\\" and i + 1 < len(branch):
+            nxt = branch[i + 1]
+            if nxt == "b":
+                has_b, i = True, i + 2
+                continue
+            if nxt.isalnum():
+                return None
+            lit, i = nxt, i + 2
+        elif ch in "()[]|.^$+*?{}":
+            return None
+        else:
+            lit, i = ch, i + 1
+        if i < len(branch) and branch[i] == "?":
+            outs = [o + lit for o in outs] + outs
+            i += 1
+        elif i < len(branch) and branch[i] in "*{+":
+            return None
+        else:
+            outs = [o + lit for o in outs]
+        if len(outs) > limit:
+            return None
+    return outs, has_b
+
+
+def branch_runs(branch: str) -> list[str]:
+    """Every literal run that each match of the branch must contain (outside groups and
+    optional characters)."""
+    runs, cur, depth, i = [], [], 0, 0
+
+    def cut():
+        if cur:
+            runs.append("".join(cur))
+        cur.clear()
+
+    while i < len(branch):
+        ch = branch[i]
+        if ch == "\\" and i + 1 < len(branch):
+            nxt = branch[i + 1]
+            if nxt.isalnum():
+                cut()
+                i += 2
+                continue
+            lit, i = nxt, i + 2
+        elif ch in "()[]|.^$+*?{}":
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "[":
+                j = branch.find("]", i + 1)
+                i = j if j > 0 else i
+            cut()
+            i += 1
+            continue
+        else:
+            lit, i = ch, i + 1
+        if depth > 0:
+            continue
+        if i < len(branch) and branch[i] in _QUANT:
+            cut()
+            continue
+        cur.append(lit)
+    cut()
+    return runs
+
+
+def whole_word(branch: str) -> str | None:
+    """'abc' for a branch that is exactly \\babc\\b over word characters, else None."""
+    if branch.startswith("\\b") and branch.endswith("\\b"):
+        core = branch[2:-2]
+        if core and all(c in _WORD for c in core):
+            return core
+    return None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gazette.config import DEFAULT_SITE, SiteConfig
 from gazette.functions import rules
-from gazette.functions.regex import java, literal, required_literals
+from gazette.functions.regex import branch_runs, expand_branch, java, literal, top_level_branches
 from gazette.functions.text import col, empty_strs, is_blank_str, leading_int, nz, strip_tags
 
 
@@ -22,18 +22,37 @@ def _arr(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _any(conds):
+    out = None
+    for c in conds:
+        out = c if out is None else (out | c)
+    return out
+
+
 def rule_match(text: Column, rx: str) -> Column:
-    """``text rlike rx`` for lower-cased text, behind a cheap substring prefilter: the regex
-    only runs when the text holds one of the literals every match must contain."""
-    m = text.rlike(java(rx))
-    lits = required_literals(rx)
-    if not lits:
-        return m
-    pre = None
-    for lit in lits:
-        c = text.contains(lit)
-        pre = c if pre is None else (pre | c)
-    return F.when(pre, m).otherwise(F.lit(False))
+    """``text rlike rx`` for lower-cased text, evaluated branch by branch (a pattern matches
+    exactly when one of its top-level branches does):
+
+    * a branch that can only match a few fixed strings -> substring tests;
+    * any other branch -> its regex, run only when the text holds every literal run that each
+      match of the branch must contain."""
+    parts = []
+    for b in top_level_branches(rx):
+        exp = expand_branch(b)
+        if exp is not None and not exp[1]:
+            parts.append(_any([text.contains(s) for s in exp[0]]))
+            continue
+        m = text.rlike(java(b))
+        if exp is not None:
+            pre = _any([text.contains(s) for s in exp[0]])
+        else:
+            runs = branch_runs(b)
+            pre = None
+            for r in runs:
+                c = text.contains(r)
+                pre = c if pre is None else (pre & c)
+        parts.append(F.when(pre, m).otherwise(F.lit(False)) if pre is not None else m)
+    return _any(parts)
 
 
 def _codes(text: Column, rule_list) -> Column:
@@ -47,23 +66,25 @@ def detect_education(df: DataFrame, text: str, current: str = "education", out:
     """Keep a non-empty current list; else the 26 ordered rules, post_graduate added for any
     master's, graduate for any bachelor's or degree word, graduate dropped for master's only;
     default ['graduate']."""
-    df = df.withColumn("_lt", F.lower(nz(text)))
+    cur = F.coalesce(F.col(current), empty_strs())
+    df = df.withColumn("_need", F.size(cur) == 0)
+    df = df.withColumn("_lt", F.when(F.col("_need"), F.lower(nz(text))))
     det = _codes(F.col("_lt"), rules.EDUCATION_RULES)
-    df = df.withColumn("_det", det)
+    df = df.withColumn("_det", F.when(F.col("_need"), det))
     d = F.col("_det")
     masters = F.arrays_overlap(d, _arr(rules.EDUCATION_MASTERS))
-    bachelors = (F.arrays_overlap(d, _arr(rules.EDUCATION_BACHELORS))
-                 | nz(text).rlike(java(rules.EDUCATION_DEGREE_WORDS, ci=True)))
-    df = df.withColumn("_m", masters).withColumn("_b", bachelors)
+    degree = F.when(rule_match(F.col("_lt"), r"bachelor|graduat|degree"),
+                    nz(text).rlike(java(rules.EDUCATION_DEGREE_WORDS, ci=True))).otherwise(F.lit(False))
+    bachelors = F.arrays_overlap(d, _arr(rules.EDUCATION_BACHELORS)) | degree
+    df = df.withColumn("_m", F.when(F.col("_need"), masters)).withColumn("_b", F.when(F.col("_need"), bachelors))
     d = F.when(F.col("_m") & ~F.array_contains(d, "post_graduate"),
                F.concat(d, F.array(F.lit("post_graduate")))).otherwise(d)
     d = F.when(F.col("_b") & ~F.array_contains(d, "graduate"), F.concat(d, F.array(F.lit("graduate")))).otherwise(d)
     d = F.when(F.col("_m") & ~F.col("_b"), F.array_remove(d, "graduate")).otherwise(d)
     d = F.array_distinct(d)
     d = F.when(F.size(d) == 0, F.array(F.lit(rules.EDUCATION_DEFAULT))).otherwise(d)
-    cur = F.coalesce(F.col(current), empty_strs())
-    return (df.withColumn(out, F.when(F.size(cur) > 0, cur).otherwise(d))
-              .drop("_lt", "_det", "_m", "_b"))
+    return (df.withColumn(out, F.when(~F.col("_need"), cur).otherwise(d))
+              .drop("_lt", "_det", "_m", "_b", "_need"))
 
 
 # ---------------------------------------------------------------- E2 .. E4
@@ -100,7 +121,8 @@ def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
 def default_tags(df: DataFrame) -> DataFrame:
     """Blank tags at publish -> type defaults + E2 over title + summary + stripped content."""
     src = F.concat(nz("title"), F.lit(" "), nz("short_description"), F.lit(" "), strip_tags(nz("content")))
-    df = df.withColumn("_src", src).withColumn("_none", empty_strs())
+    blank = F.size(F.coalesce(F.col("tags"), empty_strs())) == 0
+    df = df.withColumn("_src", F.when(blank, src)).withColumn("_none", empty_strs())
     df = detect_tags(df, "_src", current="_none", out="_det")
     typ = F.coalesce(F.col("type"), F.lit("job"))
     dflt = _arr(rules.DEFAULT_TAGS_OTHER)
