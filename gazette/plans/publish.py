@@ -22,7 +22,7 @@ from gazette.operators import validate as V
 def prepare_publish(postings: DataFrame, site: SiteConfig = DEFAULT_SITE,
                     dim_category: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     df = E.resolve_category_id(postings, dim_category, prefer_name=False)  # E6 (name -> id when blank)
-    df = V.require_fields(df)                                    # V1
+    df = V.require_fields(df).checkpoint(eager=True)             # V1 (gated once, split twice)
     rejects = df.filter(F.col("reject_reason").isNotNull()).select("post_id", "reject_reason")
     df = df.filter(F.col("reject_reason").isNull()).drop("reject_reason", "missing")
     df = N.null_blank_fields(df)                                 # N3

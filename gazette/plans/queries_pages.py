@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gazette.oracle import pages_sql as PS
 from gazette.operators import links as L
 from gazette.plans.registry import register
-from gazette.plans.scrape import page_facts_all
+from gazette.plans.scrape import scrape_batch
 from gazette.session import read_table
 
 
@@ -17,9 +17,8 @@ def _pages(spark, sf_dir):
 
 @register("p6_scrape_batch", PS.page_facts_sql("pages"))
 def q_scrape_batch(spark, sf_dir):
-    facts = page_facts_all(_pages(spark, sf_dir))
-    return (facts.filter(F.col("reject_reason").isNull())
-                 .select("page_id", "url", "text", F.col("chars").cast("long").alias("chars"),
+    facts, _ = scrape_batch(_pages(spark, sf_dir))
+    return (facts.select("page_id", "url", "text", F.col("chars").cast("long").alias("chars"),
                          L.links_text(F.col("official_links")).alias("official_links"),
                          F.col("skipped_count").cast("long").alias("skipped_count"),
                          "featured_image", "page_title", "detected_type"))
@@ -158,7 +157,7 @@ def q_title_table(spark, sf_dir):
 
 @register("p1_extract_text", PS.ext_pages_sql(f"page_id, {PS.text_capped_sql('html')} AS text"))
 def q_extract_text(spark, sf_dir):
-    return P.extract_text(_ext_ok(spark, sf_dir)).select("page_id", "text")
+    return P.extract_text(_ext_ok(spark, sf_dir)).select("page_id", "text")  # noqa: E501
 
 
 @register("p2_reject_short", f"""WITH {pages_ext_cte()}
@@ -191,9 +190,8 @@ def q_title_type(spark, sf_dir):
 
 @register("p6_scrape_batch_ext", PS.page_facts_sql("pages_ext", prelude=pages_ext_cte()))
 def q_scrape_batch_ext(spark, sf_dir):
-    facts = page_facts_all(pages_ext(_pages(spark, sf_dir)))
-    return (facts.filter(F.col("reject_reason").isNull())
-                 .select("page_id", "url", "text", F.col("chars").cast("long").alias("chars"),
+    facts, _ = scrape_batch(pages_ext(_pages(spark, sf_dir)))
+    return (facts.select("page_id", "url", "text", F.col("chars").cast("long").alias("chars"),
                          L.links_text(F.col("official_links")).alias("official_links"),
                          F.col("skipped_count").cast("long").alias("skipped_count"),
                          "featured_image", "page_title", "detected_type"))

@@ -755,11 +755,10 @@ FROM posts p LEFT JOIN withchan w USING (post_id) GROUP BY p.post_id"""
 @register("l15_l16_l17_merge_links", _merge_sql())
 def q_merge(spark, sf_dir):
     from gazette.plans.fixtures import pages_ext
-    from gazette.plans.scrape import page_facts_all
+    from gazette.plans.scrape import scrape_batch
     from gazette.session import read_table
     pages = read_table(spark, sf_dir, "pages")
-    facts = page_facts_all(pages_ext(pages)).filter(F.col("reject_reason").isNull()).select(
-        "page_id", "official_links")
+    facts = scrape_batch(pages_ext(pages))[0].select("page_id", "official_links")
     p = _p(spark, sf_dir).withColumn("page_id", F.col("post_id") % pages.count())
     p = p.join(facts, "page_id", "left")
     cand = PL.sanitize_candidate_links("important_links", "source_url", SITE)
