@@ -28,6 +28,24 @@ def _rows(df: DataFrame, keep: list[str], items: list[tuple[str, Column]], label
     return out.filter(F.col(value).isNotNull()) if drop_null else out
 
 
+OPTIONAL_POSTING_FIELDS = {
+    "state_name": "string", "category_name": "string", "post_name": "string", "direct_apply": "boolean",
+    "qualifications": "string", "skills": "string", "responsibilities": "string", "exam_date": "string",
+    "result_date": "string", "featured_image": "string", "slug": "string", "faq":
+        "array<struct<question:string,answer:string>>", "important_links": "array<struct<title:string,url:string>>",
+    "education": "array<string>", "start_date": "string", "notification_date": "string", "last_date": "string",
+    "apply_url": "string", "online_form": "string", "salary": "string", "salary_type": "string",
+}
+
+
+def with_optional_fields(df: DataFrame) -> DataFrame:
+    """Fields a posting may lack (dropped before publishing or never produced) as typed nulls."""
+    for c, t in OPTIONAL_POSTING_FIELDS.items():
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(t))
+    return df
+
+
 def _int(c) -> Column:
     return F.coalesce(leading_int(F.col(c).cast("string")), F.lit(0))
 
@@ -138,8 +156,9 @@ def faq_jsonld(faq) -> Column:
 
 def breadcrumb_jsonld(df: DataFrame, site: SiteConfig = DEFAULT_SITE) -> Column:
     """Three-level BreadcrumbList."""
-    cat = F.coalesce(F.col("category_name"), F.lit("Jobs"))
-    cat_slug = F.lower(F.replace(F.coalesce(F.col("category_name"), F.lit("jobs")), F.lit(" "), F.lit("-")))
+    name = F.col("category_name") if "category_name" in df.columns else F.lit(None).cast("string")
+    cat = F.coalesce(name, F.lit("Jobs"))
+    cat_slug = F.lower(F.replace(F.coalesce(name, F.lit("jobs")), F.lit(" "), F.lit("-")))
     job_url = N.derive_url("slug", "type", site)
 
     def item(pos, name, url):
@@ -156,7 +175,8 @@ def posting_jsonld(df: DataFrame, site: SiteConfig = DEFAULT_SITE, links: str =
                    out: str = "posting_jsonld") -> DataFrame:
     """The JobPosting document (organisation, location, salary, education, dates, contact).
     ``educationRequirements`` is one object for one level and a list for several, as in the source."""
-    df = N.description_text(df, "_desc")
+    added = [c for c in OPTIONAL_POSTING_FIELDS if c not in df.columns]
+    df = N.description_text(with_optional_fields(df), "_desc")
     lo, hi = N.salary_range("salary_min", "salary_max", "salary")
     df = df.withColumn("_lo", lo).withColumn("_hi", hi)
     loc_type, region = N.location_kind("state_name")
@@ -219,7 +239,7 @@ def posting_jsonld(df: DataFrame, site: SiteConfig = DEFAULT_SITE, links: str =
     many = F.to_json(F.struct(*head, cred.alias("educationRequirements"), *tail), opts)
     none = F.to_json(F.struct(*head, *tail), opts)
     doc = F.when(F.size("_cred") == 1, one).when(F.size("_cred") > 1, many).otherwise(none)
-    return df.withColumn(out, doc).drop("_desc", "_lo", "_hi", "_loc", "_region", "_site", "_cred", "_quals")
+    return df.withColumn(out, doc).drop("_desc", "_lo", "_hi", "_loc", "_region", "_site", "_cred", "_quals", *added)
 
 
 def social_meta_rows(df: DataFrame, site: SiteConfig = DEFAULT_SITE, image: str = "featured_image") -> DataFrame:

@@ -721,7 +721,7 @@ def q_l14(spark, sf_dir):
 
 def _merge_sql():
     from gazette.oracle.fixtures_sql import pages_ext_cte
-    from gazette.oracle.pages_sql import gated_pages_sql, links_ctes, title_server_sql
+    from gazette.oracle.pages_sql import gated_pages_sql, links_ctes, text_capped_sql, title_server_sql
     cand_url = q.with_scheme("lk.url")
     n = "row_number() OVER (PARTITION BY post_id ORDER BY src, ord)"
     chan = []
@@ -731,7 +731,8 @@ def _merge_sql():
                     f"GROUP BY p.post_id HAVING count(*) FILTER (WHERE contains(t.url, {S.s(marker)})) = 0")
     return f"""WITH {pages_ext_cte()}
 gated AS ({gated_pages_sql('pages_ext')}),
-ok AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL),
+ok0 AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL),
+ok AS (SELECT * FROM ok0 WHERE strlen({text_capped_sql('html')}) >= 100),
 {links_ctes('ok')},
 official AS (SELECT page_id, pos, link_url AS url,
     {title_server_sql('title', 'link_url', 'row_number() OVER (PARTITION BY page_id ORDER BY pos)')} AS title
