@@ -8,6 +8,7 @@ join of a dimension whose size is fixed by its definition.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,51 +30,108 @@ def _any(conds):
     return out
 
 
-def rule_match(text: Column, rx: str) -> Column:
+def rule_literals(rule_list) -> list[str]:
+    """Every literal the prefilters of a rule list test."""
+    out = set()
+    for _, rx in rule_list:
+        for b in top_level_branches(rx):
+            exp = expand_branch(b)
+            out.update(exp[0] if exp is not None else branch_runs(b))
+    return sorted(out)
+
+
+_AUTOMATA: dict = {}
+
+
+def _automaton(words: tuple):
+    a = _AUTOMATA.get(words)
+    if a is None:
+        import ahocorasick
+        a = ahocorasick.Automaton()
+        for w in words:
+            a.add_word(w, w)
+        a.make_automaton()
+        _AUTOMATA[words] = a
+    return a
+
+
+def literal_hits(text: Column, words: list[str]) -> Column | None:
+    """The subset of ``words`` occurring in each text, found by one Aho-Corasick pass per text
+    (Arrow-batched pandas UDF, overlapping occurrences included, so the set is exact).  None
+    when the automaton library is unavailable; callers then test each literal on the JVM."""
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:  # pragma: no cover
+        return None
+    key = tuple(sorted(set(words)))
+
+    @F.pandas_udf("array<string>")
+    def hits(s: pd.Series) -> pd.Series:
+        a = _automaton(key)
+        return s.map(lambda x: None if x is None else sorted({w for _, w in a.iter(x)}))
+
+    return hits(text)
+
+
+def _has(text: Column, lit: str, hits: Column | None) -> Column:
+    return F.array_contains(hits, lit) if hits is not None else text.contains(lit)
+
+
+def rule_match(text: Column, rx: str, hits: Column | None = None) -> Column:
     """``text rlike rx`` for lower-cased text, evaluated branch by branch (a pattern matches
     exactly when one of its top-level branches does):
 
     * a branch that can only match a few fixed strings -> substring tests;
     * any other branch -> its regex, run only when the text holds every literal run that each
-      match of the branch must contain."""
+      match of the branch must contain.
+
+    Substring tests read ``hits`` (the literals present, from ``literal_hits``) when given."""
     parts = []
     for b in top_level_branches(rx):
         exp = expand_branch(b)
         if exp is not None and not exp[1]:
-            parts.append(_any([text.contains(s) for s in exp[0]]))
+            parts.append(_any([_has(text, s, hits) for s in exp[0]]))
             continue
         m = text.rlike(java(b))
         if exp is not None:
-            pre = _any([text.contains(s) for s in exp[0]])
+            pre = _any([_has(text, s, hits) for s in exp[0]])
         else:
-            runs = branch_runs(b)
             pre = None
-            for r in runs:
-                c = text.contains(r)
+            for r in branch_runs(b):
+                c = _has(text, r, hits)
                 pre = c if pre is None else (pre & c)
         parts.append(F.when(pre, m).otherwise(F.lit(False)) if pre is not None else m)
     return _any(parts)
 
 
-def _codes(text: Column, rule_list) -> Column:
+def _codes(text: Column, rule_list, hits: Column | None = None) -> Column:
     """Codes whose pattern matches ``text`` (already lower-cased), in rule order."""
-    return F.array_compact(F.array(*[F.when(rule_match(text, rx), F.lit(code)) for code, rx in rule_list]))
+    return F.array_compact(F.array(*[F.when(rule_match(text, rx, hits), F.lit(code)) for code, rx in rule_list]))
+
+
+DEGREE_PREFILTER = r"bachelor|graduat|degree"
 
 
 # ---------------------------------------------------------------- E1
 
-def detect_education(df: DataFrame, text: str, current: str = "education", out: str = "education") -> DataFrame:
+def detect_education(df: DataFrame, text: str, current: str = "education", out: str = "education",
+                     lowered: str | None = None) -> DataFrame:
     """Keep a non-empty current list; else the 26 ordered rules, post_graduate added for any
     master's, graduate for any bachelor's or degree word, graduate dropped for master's only;
     default ['graduate']."""
     cur = F.coalesce(F.col(current), empty_strs())
     df = df.withColumn("_need", F.size(cur) == 0)
-    df = df.withColumn("_lt", F.when(F.col("_need"), F.lower(nz(text))))
-    det = _codes(F.col("_lt"), rules.EDUCATION_RULES)
+    low = F.col(lowered) if lowered else F.lower(nz(text))
+    df = df.withColumn("_lt", F.when(F.col("_need"), low))
+    hits = literal_hits(F.col("_lt"), rule_literals(rules.EDUCATION_RULES + [("", DEGREE_PREFILTER)]))
+    if hits is not None:
+        df = df.withColumn("_hits", hits)
+    h = F.col("_hits") if hits is not None else None
+    det = _codes(F.col("_lt"), rules.EDUCATION_RULES, h)
     df = df.withColumn("_det", F.when(F.col("_need"), det))
     d = F.col("_det")
     masters = F.arrays_overlap(d, _arr(rules.EDUCATION_MASTERS))
-    degree = F.when(rule_match(F.col("_lt"), r"bachelor|graduat|degree"),
+    degree = F.when(rule_match(F.col("_lt"), DEGREE_PREFILTER, h),
                     nz(text).rlike(java(rules.EDUCATION_DEGREE_WORDS, ci=True))).otherwise(F.lit(False))
     bachelors = F.arrays_overlap(d, _arr(rules.EDUCATION_BACHELORS)) | degree
     df = df.withColumn("_m", F.when(F.col("_need"), masters)).withColumn("_b", F.when(F.col("_need"), bachelors))
@@ -83,17 +141,23 @@ def detect_education(df: DataFrame, text: str, current: str = "education", out:
     d = F.when(F.col("_m") & ~F.col("_b"), F.array_remove(d, "graduate")).otherwise(d)
     d = F.array_distinct(d)
     d = F.when(F.size(d) == 0, F.array(F.lit(rules.EDUCATION_DEFAULT))).otherwise(d)
-    return (df.withColumn(out, F.when(~F.col("_need"), cur).otherwise(d))
-              .drop("_lt", "_det", "_m", "_b", "_need"))
+    out_df = df.withColumn(out, F.when(~F.col("_need"), cur).otherwise(d))
+    return out_df.drop(*[c for c in ("_lt", "_det", "_m", "_b", "_need", "_hits") if c in out_df.columns])
 
 
 # ---------------------------------------------------------------- E2 .. E4
 
-def detect_tags(df: DataFrame, text: str, current: str = "tags", out: str = "tags") -> DataFrame:
+def detect_tags(df: DataFrame, text: str, current: str = "tags", out: str = "tags",
+                lowered: str | None = None) -> DataFrame:
     """Current string tags, then the 18 rule tags in order, ordered-distinct."""
-    df = df.withColumn("_lt", F.lower(nz(text)))
+    df = df.withColumn("_lt", F.col(lowered) if lowered else F.lower(nz(text)))
+    hits = literal_hits(F.col("_lt"), rule_literals(rules.TAG_RULES))
+    if hits is not None:
+        df = df.withColumn("_hits", hits)
+    h = F.col("_hits") if hits is not None else None
     cur = F.filter(F.coalesce(F.col(current), empty_strs()), lambda x: x.isNotNull())
-    return df.withColumn(out, F.array_distinct(F.concat(cur, _codes(F.col("_lt"), rules.TAG_RULES)))).drop("_lt")
+    out_df = df.withColumn(out, F.array_distinct(F.concat(cur, _codes(F.col("_lt"), rules.TAG_RULES, h))))
+    return out_df.drop(*[c for c in ("_lt", "_hits") if c in out_df.columns])
 
 
 def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
@@ -102,7 +166,11 @@ def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
     combined = F.lower(F.btrim(F.concat_ws(" ", nz("title"), nz("short_description"), nz("content"),
                                            nz(source_text)), F.lit(" \t\n\r\x00\x0b")))
     df = df.withColumn("_lt", combined)
-    sig = _codes(F.col("_lt"), rules.SIGNAL_RULES)
+    hits = literal_hits(F.col("_lt"), rule_literals(rules.SIGNAL_RULES))
+    if hits is not None:
+        df = df.withColumn("_hits", hits)
+    h = F.col("_hits") if hits is not None else None
+    sig = _codes(F.col("_lt"), rules.SIGNAL_RULES, h)
     typ = nz("type")
     type_tags = (F.when(typ == "admit_card", F.array(F.lit("admit_card")))
                  .when(typ == "answer_key", F.array(F.lit("answer_key")))
@@ -112,18 +180,23 @@ def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
                                             _arr(["govt_job", "new_vacancy"])).otherwise(_arr(["govt_job"])))
                  .otherwise(empty_strs()))
     cur = F.coalesce(F.col("tags"), empty_strs())
-    ext = rule_match(F.col("_lt"), rules.SIGNAL_RULES[0][1])
+    ext = rule_match(F.col("_lt"), rules.SIGNAL_RULES[0][1], h)
     return (df.withColumn("tags", F.array_distinct(F.concat(cur, sig, type_tags)))
               .withColumn("is_date_extended", ext | F.coalesce(F.col("is_date_extended").cast("boolean"), F.lit(False)))
-              .drop("_lt"))
+              .drop(*[c for c in ("_lt", "_hits") if c in df.columns]))
 
 
-def default_tags(df: DataFrame) -> DataFrame:
-    """Blank tags at publish -> type defaults + E2 over title + summary + stripped content."""
-    src = F.concat(nz("title"), F.lit(" "), nz("short_description"), F.lit(" "), strip_tags(nz("content")))
+def default_tags(df: DataFrame, lowered_src: str | None = None) -> DataFrame:
+    """Blank tags at publish -> type defaults + E2 over title + summary + stripped content
+    (``lowered_src``: that text already lower-cased, when the caller has it)."""
     blank = F.size(F.coalesce(F.col("tags"), empty_strs())) == 0
-    df = df.withColumn("_src", F.when(blank, src)).withColumn("_none", empty_strs())
-    df = detect_tags(df, "_src", current="_none", out="_det")
+    if lowered_src:
+        df = df.withColumn("_src", F.when(blank, F.col(lowered_src)))
+    else:
+        src = F.concat(nz("title"), F.lit(" "), nz("short_description"), F.lit(" "), strip_tags(nz("content")))
+        df = df.withColumn("_src", F.when(blank, F.lower(src)))
+    df = df.withColumn("_none", empty_strs())
+    df = detect_tags(df, "_src", current="_none", out="_det", lowered="_src")
     typ = F.coalesce(F.col("type"), F.lit("job"))
     dflt = _arr(rules.DEFAULT_TAGS_OTHER)
     for t, tags in reversed(rules.DEFAULT_TAGS_BY_TYPE):

@@ -36,13 +36,14 @@ def prepare_publish(postings: DataFrame, site: SiteConfig = DEFAULT_SITE,
     df = N.resolve_organization(df)                              # N11
     df = df.withColumn("_src", F.concat(nz("title"), F.lit(" "), nz("short_description"), F.lit(" "),
                                         strip_tags(nz("content"))))
-    df = E.detect_education(df, "_src")                          # E1 (only when empty)
-    df = E.default_tags(df)                                      # E4
+    df = df.withColumn("_src_l", F.lower("_src"))              # one lower-cased text for E1 and E4
+    df = E.detect_education(df, "_src", lowered="_src_l")        # E1 (only when empty)
+    df = E.default_tags(df, lowered_src="_src_l")                # E4
     df = E.correct_category(df)                                  # E5
     df = E.resolve_category_id(df, dim_category)                # corrected name -> id
     df = E.override_category_by_type(df)                         # E7
     df = N.correct_salary_type(df)                               # N8
     df = N.default_keywords(df, site)                            # N19
     df = df.withColumn("important_links", PL.inject_pdf_link("important_links", "notification_pdf"))  # L18
-    df = V.drop_transient_fields(df.drop("_src"))                # V2
+    df = V.drop_transient_fields(df.drop("_src", "_src_l"))      # V2
     return df, rejects

@@ -42,31 +42,42 @@ def is_json_object(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull() & text.startswith("{")
 
 
+# the only tokens that can change the repair state: a backslash with the character after it,
+# and the quote / bracket characters (every other character is skipped by the scan)
+REPAIR_TOKENS_RX = r'(?s)\\.|["{}\[\]]'
+
+
 def repair_truncated_json(text) -> Column:
-    """Close a cut-off JSON text.  Trailing commas/blanks are dropped; one pass over the
-    characters tracks (inside a string, after a backslash, pending closers); an open string
-    is closed, then the pending closers are appended innermost first."""
+    """Close a cut-off JSON text.  Trailing commas/blanks are dropped; one pass tracks
+    (inside a string, pending closers); an open string is closed, then the pending closers are
+    appended innermost first.
+
+    The pass folds over the structural tokens only (one regex extraction), not over every
+    character: a backslash inside a string consumes the next character, outside a string it is
+    ignored and the next character counts on its own."""
     s = F.regexp_replace(F.col(text) if isinstance(text, str) else text, "[, ]+$", "")
-    init = F.struct(F.lit(False).alias("in_str"), F.lit(False).alias("esc"), F.lit("").alias("stack"))
+    toks = F.regexp_extract_all(s, F.lit(REPAIR_TOKENS_RX), 0)
+    init = F.struct(F.lit(False).alias("in_str"), F.lit("").alias("stack"))
+
+    def st(in_str, stack):
+        return F.struct(in_str.alias("in_str"), stack.alias("stack"))
 
-    def step(acc, ch):
-        def st(in_str, esc, stack):
-            return F.struct(in_str.alias("in_str"), esc.alias("esc"), stack.alias("stack"))
+    def step(acc, tok):
+        ch = F.when(F.length(tok) == 2, F.substring(tok, 2, 1)).otherwise(tok)
         stack = acc["stack"]
-        return (F.when(acc["esc"], st(acc["in_str"], F.lit(False), stack))
-                .when((ch == "\\") & acc["in_str"], st(acc["in_str"], F.lit(True), stack))
-                .when(ch == '"', st(~acc["in_str"], F.lit(False), stack))
+        return (F.when((F.length(tok) == 2) & acc["in_str"], acc)              # escape pair in a string
+                .when(ch == '"', st(~acc["in_str"], stack))
                 .when(acc["in_str"], acc)
-                .when(ch == "{", st(F.lit(False), F.lit(False), F.concat(stack, F.lit("}"))))
-                .when(ch == "[", st(F.lit(False), F.lit(False), F.concat(stack, F.lit("]"))))
+                .when(ch == "{", st(F.lit(False), F.concat(stack, F.lit("}"))))
+                .when(ch == "[", st(F.lit(False), F.concat(stack, F.lit("]"))))
                 .when((ch == "}") | (ch == "]"),
-                      st(F.lit(False), F.lit(False), F.substring(stack, F.lit(1), F.greatest(F.length(stack) - 1, F.lit(0)))))
+                      st(F.lit(False), F.substring(stack, F.lit(1), F.greatest(F.length(stack) - 1, F.lit(0)))))
                 .otherwise(acc))
 
     def finish(acc):
         return F.concat(s, F.when(acc["in_str"], F.lit('"')).otherwise(F.lit("")), F.reverse(acc["stack"]))
 
-    return F.aggregate(F.split(s, ""), init, step, finish)
+    return F.aggregate(toks, init, step, finish)
 
 
 def read_responses(responses: DataFrame, body: str = "body") -> DataFrame:
