@@ -112,10 +112,16 @@ def _codes(text: Column, rule_list, hits: Column | None = None) -> Column:
 DEGREE_PREFILTER = r"bachelor|graduat|degree"
 
 
+def detection_literals() -> list[str]:
+    """All literals the education and tag rules test (one automaton serves both)."""
+    return sorted(set(rule_literals(rules.EDUCATION_RULES + [("", DEGREE_PREFILTER)]))
+                  | set(rule_literals(rules.TAG_RULES)))
+
+
 # ---------------------------------------------------------------- E1
 
 def detect_education(df: DataFrame, text: str, current: str = "education", out: str = "education",
-                     lowered: str | None = None) -> DataFrame:
+                     lowered: str | None = None, hits: str | None = None) -> DataFrame:
     """Keep a non-empty current list; else the 26 ordered rules, post_graduate added for any
     master's, graduate for any bachelor's or degree word, graduate dropped for master's only;
     default ['graduate']."""
@@ -123,10 +129,12 @@ def detect_education(df: DataFrame, text: str, current: str = "education", out:
     df = df.withColumn("_need", F.size(cur) == 0)
     low = F.col(lowered) if lowered else F.lower(nz(text))
     df = df.withColumn("_lt", F.when(F.col("_need"), low))
-    hits = literal_hits(F.col("_lt"), rule_literals(rules.EDUCATION_RULES + [("", DEGREE_PREFILTER)]))
-    if hits is not None:
-        df = df.withColumn("_hits", hits)
-    h = F.col("_hits") if hits is not None else None
+    if hits is None:
+        made = literal_hits(F.col("_lt"), rule_literals(rules.EDUCATION_RULES + [("", DEGREE_PREFILTER)]))
+        if made is not None:
+            df = df.withColumn("_hits", made)
+            hits = "_hits"
+    h = F.col(hits) if hits is not None else None
     det = _codes(F.col("_lt"), rules.EDUCATION_RULES, h)
     df = df.withColumn("_det", F.when(F.col("_need"), det))
     d = F.col("_det")
@@ -142,22 +150,26 @@ def detect_education(df: DataFrame, text: str, current: str = "education", out:
     d = F.array_distinct(d)
     d = F.when(F.size(d) == 0, F.array(F.lit(rules.EDUCATION_DEFAULT))).otherwise(d)
     out_df = df.withColumn(out, F.when(~F.col("_need"), cur).otherwise(d))
-    return out_df.drop(*[c for c in ("_lt", "_det", "_m", "_b", "_need", "_hits") if c in out_df.columns])
+    tmp = ("_lt", "_det", "_m", "_b", "_need") + (("_hits",) if hits == "_hits" else ())
+    return out_df.drop(*[c for c in tmp if c in out_df.columns])
 
 
 # ---------------------------------------------------------------- E2 .. E4
 
 def detect_tags(df: DataFrame, text: str, current: str = "tags", out: str = "tags",
-                lowered: str | None = None) -> DataFrame:
+                lowered: str | None = None, hits: str | None = None) -> DataFrame:
     """Current string tags, then the 18 rule tags in order, ordered-distinct."""
     df = df.withColumn("_lt", F.col(lowered) if lowered else F.lower(nz(text)))
-    hits = literal_hits(F.col("_lt"), rule_literals(rules.TAG_RULES))
-    if hits is not None:
-        df = df.withColumn("_hits", hits)
-    h = F.col("_hits") if hits is not None else None
+    own = hits is None
+    if own:
+        made = literal_hits(F.col("_lt"), rule_literals(rules.TAG_RULES))
+        if made is not None:
+            df = df.withColumn("_thits", made)
+            hits = "_thits"
+    h = F.col(hits) if hits is not None else None
     cur = F.filter(F.coalesce(F.col(current), empty_strs()), lambda x: x.isNotNull())
     out_df = df.withColumn(out, F.array_distinct(F.concat(cur, _codes(F.col("_lt"), rules.TAG_RULES, h))))
-    return out_df.drop(*[c for c in ("_lt", "_hits") if c in out_df.columns])
+    return out_df.drop(*[c for c in ("_lt", "_thits") if c in out_df.columns])
 
 
 def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
@@ -186,7 +198,7 @@ def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
               .drop(*[c for c in ("_lt", "_hits") if c in df.columns]))
 
 
-def default_tags(df: DataFrame, lowered_src: str | None = None) -> DataFrame:
+def default_tags(df: DataFrame, lowered_src: str | None = None, hits: str | None = None) -> DataFrame:
     """Blank tags at publish -> type defaults + E2 over title + summary + stripped content
     (``lowered_src``: that text already lower-cased, when the caller has it)."""
     blank = F.size(F.coalesce(F.col("tags"), empty_strs())) == 0
@@ -196,7 +208,7 @@ def default_tags(df: DataFrame, lowered_src: str | None = None) -> DataFrame:
         src = F.concat(nz("title"), F.lit(" "), nz("short_description"), F.lit(" "), strip_tags(nz("content")))
         df = df.withColumn("_src", F.when(blank, F.lower(src)))
     df = df.withColumn("_none", empty_strs())
-    df = detect_tags(df, "_src", current="_none", out="_det", lowered="_src")
+    df = detect_tags(df, "_src", current="_none", out="_det", lowered="_src", hits=hits)
     typ = F.coalesce(F.col("type"), F.lit("job"))
     dflt = _arr(rules.DEFAULT_TAGS_OTHER)
     for t, tags in reversed(rules.DEFAULT_TAGS_BY_TYPE):

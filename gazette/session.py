@@ -57,3 +57,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder (eager).  Used where one
+    computed frame feeds two outputs or a filter on an expensive derived column."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.session import materialize
+
 from gazette.functions.regex import java
 from gazette.functions.text import php_trim
 
@@ -94,11 +96,11 @@ def read_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     return df.select(*responses.columns, "parse_status", "_rec.*")
 
 
-def split_responses(parsed: DataFrame, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+def split_responses(parsed: DataFrame, checkpointed: bool = True) -> tuple[DataFrame, DataFrame]:
     """(parsed, rejects).  The parse is checkpointed once (shared checkpoint folder): a filter on
     its status would otherwise be pushed under the projection and re-run parse and repair."""
-    if materialize:
-        parsed = parsed.checkpoint(eager=True)
+    if checkpointed:
+        parsed = materialize(parsed)
     ok = parsed.filter(F.col("parse_status") != "rejected")
     bad = (parsed.filter(F.col("parse_status") == "rejected")
                  .withColumn("reject_reason", F.lit("Failed to parse AI response")))
