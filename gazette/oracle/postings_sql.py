@@ -268,3 +268,47 @@ def indian_grouping(n):
     head = f"substring({sv}, 1, greatest(length({sv}) - 3, 0))"
     grouped = f"reverse({q.rrep(q.rrep(f'reverse({head})', '([0-9]{2})', PAIR_REPL), ',$', '')})"
     return f"(CASE WHEN length({sv}) <= 3 THEN {sv} ELSE {grouped} || ',' || right({sv}, 3) END)"
+
+
+def prepare_publish_sql(site: SiteConfig = DEFAULT_SITE) -> str:
+    """V3 twin: the publish steps in the same order as ``plans.publish.prepare_publish``."""
+    from gazette.oracle import sqlfn as q2
+    cmap = "MAP {" + ", ".join(f"{s(k)}: {v}" for k, v in rules.CATEGORY_IDS) + "}"
+    c = "CAST(category_id AS VARCHAR)"
+    cid0 = (f"(CASE WHEN NOT {blank(c)} THEN {q2.leading_int(c)} WHEN NOT {blank('category_name')} THEN "
+            f"coalesce({cmap}[category_name], {rules.CATEGORY_DEFAULT_ID}) ELSE {rules.CATEGORY_DEFAULT_ID} END)")
+    req = ["title", "type", "short_description", "content", "category_id"]
+    reason = "CASE " + " ".join(f"WHEN {blank(f'CAST({f} AS VARCHAR)')} THEN 'Required field missing: {f}'"
+                                for f in req) + " END"
+    links20 = f"list_filter(important_links, lambda x: NOT {blank('x.title')} AND NOT {blank('x.url')})"
+    tp = f"CASE WHEN {blank('total_posts')} THEN NULL ELSE {lint('total_posts')} END"
+    slug = derive_slug("organization", "title", "short_description", "total_posts", site)
+    src = f"{nz('title')} || ' ' || {nz('short_description')} || ' ' || {q2.strip_tags(nz('content'))}"
+    cat, st = correct_category()
+    tmap = "MAP {" + ", ".join(f"{s(k)}: {s(v)}" for k, v in rules.TYPE_CATEGORY) + "}"
+    y = site.as_of_year
+    items = (f"[{nz('organization')}, {nz('title')}, {nz('organization')} || ' recruitment {y}', "
+             f"{nz('title')} || ' {y}', 'sarkari naukri', 'govt jobs', coalesce(state_name, 'India') || ' govt jobs {y}', "
+             f"'apply online', 'last date', 'notification', 'vacancy', 'sarkari result', 'free job alert']")
+    kw = f"array_to_string(list_filter({items}, lambda x: NOT {blank('x')}), ', ')"
+    pdf = ("CASE WHEN NOT {b} AND {v} AND len(list_filter(important_links, lambda x: NOT {bu} AND "
+           "lower(x.url) = lower(notification_pdf))) = 0 THEN list_prepend({{'title': 'Official Notification PDF', "
+           "'url': notification_pdf}}, important_links) ELSE important_links END").format(
+        b=blank("notification_pdf"), v=q2.is_valid_url("notification_pdf"), bu=blank("x.url"))
+    links_text = "array_to_string(list_transform(important_links, lambda x: x.title || ' <' || x.url || '>'), ' | ')"
+    return f"""WITH {postings_raw_cte()}
+a AS (SELECT * REPLACE (CAST({cid0} AS BIGINT) AS category_id) FROM postings_raw),
+g AS (SELECT *, {reason} AS reject_reason FROM a),
+ok AS (SELECT * REPLACE ({links20} AS important_links, {tp} AS total_posts) FROM g WHERE reject_reason IS NULL),
+sl AS (SELECT *, {slug} AS slug FROM ok),
+org AS (SELECT * REPLACE ({resolve_organization('organization', 'title')} AS organization) FROM sl),
+ed AS (SELECT * REPLACE ({detect_education(src, 'education')} AS education, {default_tags()} AS tags) FROM org),
+cc AS (SELECT * REPLACE ({cat} AS category_name, {st} AS state_name) FROM ed),
+ci AS (SELECT * REPLACE (CAST(coalesce({cmap}[category_name], category_id) AS BIGINT) AS category_id) FROM cc),
+kw AS (SELECT * REPLACE (CASE WHEN {blank('meta_keywords')} THEN {kw} ELSE meta_keywords END AS meta_keywords,
+                         {pdf} AS important_links) FROM ci)
+SELECT post_id, NULL::VARCHAR AS reject_reason, slug, organization, category_id,
+       array_to_string(tags, '|') AS tags, array_to_string(education, '|') AS education, meta_keywords,
+       {links_text} AS links FROM kw
+UNION ALL
+SELECT post_id, reject_reason, NULL, NULL, NULL::BIGINT, NULL, NULL, NULL, NULL FROM g WHERE reject_reason IS NOT NULL"""

@@ -769,7 +769,7 @@ def q_merge(spark, sf_dir):
 
 # ---------------------------------------------------------------- compositions (V3, V4)
 
-@register("v3_prepare_publish", None)
+@register("v3_prepare_publish", S.prepare_publish_sql())
 def q_v3(spark, sf_dir):
     from gazette.plans.publish import prepare_publish
     from gazette.sources.dims import dim_category
