@@ -82,18 +82,35 @@ def repair_truncated_json(text) -> Column:
     return F.aggregate(toks, init, step, finish)
 
 
+LIST_FIELDS = [("selection_stages", "array<string>"), ("tags", "array<string>"), ("education", "array<string>"),
+               ("faq", "array<struct<question:string,answer:string>>")]
+
+
 def read_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     """S3: (all input columns, parse_status, parsed fields...).  ``parse_status`` is 'parsed',
-    'repaired' or 'rejected'; rejected rows keep null fields."""
+    'repaired' or 'rejected'; rejected rows keep null fields.
+
+    Each text is parsed once into a VARIANT (the repaired text only when the first parse
+    fails); fields are read from the variant, scalars as their text, lists typed."""
     df = responses.withColumn("_clean", strip_fences(body))
-    df = df.withColumn("_ok1", is_json_object(F.col("_clean")))
+    df = df.withColumn("_v1", F.try_parse_json(F.col("_clean")))
+    df = df.withColumn("_ok1", F.col("_v1").isNotNull() & F.col("_clean").startswith("{"))
     df = df.withColumn("_fixed", F.when(~F.col("_ok1"), repair_truncated_json(F.col("_clean"))))
-    df = df.withColumn("_ok2", F.coalesce(is_json_object(F.col("_fixed")), F.lit(False)))
+    df = df.withColumn("_v2", F.when(~F.col("_ok1"), F.try_parse_json(F.col("_fixed"))))
+    df = df.withColumn("_ok2", F.coalesce(F.col("_v2").isNotNull() & F.col("_fixed").startswith("{"), F.lit(False)))
     status = (F.when(F.col("_ok1"), F.lit("parsed")).when(F.col("_ok2"), F.lit("repaired"))
               .otherwise(F.lit("rejected")))
-    text = F.when(F.col("_ok1"), F.col("_clean")).when(F.col("_ok2"), F.col("_fixed"))
-    df = df.withColumn("parse_status", status).withColumn("_rec", F.from_json(text, RESPONSE_SCHEMA))
-    return df.select(*responses.columns, "parse_status", "_rec.*")
+    df = df.withColumn("parse_status", status).withColumn(
+        "_v", F.when(F.col("_ok1"), F.col("_v1")).when(F.col("_ok2"), F.col("_v2")))
+
+    def get(field, typ):
+        return F.try_variant_get(F.col("_v"), f"$.{field}", typ)
+
+    cols = [get(f, "string").alias(f) for f in RESPONSE_FIELDS]
+    cols += [get(f, t).alias(f) for f, t in LIST_FIELDS]
+    cols.append(F.when(F.col("_v").isNotNull(), F.to_json(get("important_links", "variant")))
+                .alias("important_links"))
+    return df.select(*responses.columns, "parse_status", *cols)
 
 
 def split_responses(parsed: DataFrame, checkpointed: bool = True) -> tuple[DataFrame, DataFrame]:
