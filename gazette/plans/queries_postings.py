@@ -342,13 +342,15 @@ def _e8_sql(name_col, entries, prefix):
 @register("e8_match_state", _e8_sql("state_name", rules.FALLBACK_STATES, "state"))
 def q_e8s(spark, sf_dir):
     p = E.match_dim_by_name(_p(spark, sf_dir), "state_name", rules.FALLBACK_STATES, "state")
-    return p.select("post_id", F.col("state_name").alias("name"), "state_id", "state_match", "state_score")
+    return p.select("post_id", F.col("state_name").alias("name"), "state_id", "state_match",
+                    F.col("state_score").cast("long").alias("state_score"))
 
 
 @register("e8_match_category", _e8_sql("category_name", rules.FALLBACK_CATEGORIES, "category"))
 def q_e8c(spark, sf_dir):
     p = E.match_dim_by_name(_p(spark, sf_dir), "category_name", rules.FALLBACK_CATEGORIES, "category")
-    return p.select("post_id", F.col("category_name").alias("name"), "category_id", "category_match", "category_score")
+    return p.select("post_id", F.col("category_name").alias("name"), "category_id", "category_match",
+                    F.col("category_score").cast("long").alias("category_score"))
 
 
 @register("e9_credential_levels", W(f"post_id, array_to_string({S.credential_levels('education')}, '|') AS levels",
