@@ -715,7 +715,19 @@ def _l14_src():
             F.lit("name"), x["title"], F.lit("href"), x["url"]))))).otherwise(F.to_json("important_links"))
 
 
-@register("l14_coerce_link_objects", None)
+def _l14_sql():
+    from gazette.oracle.pages_sql import title_client_sql
+    t = title_client_sql("t", "u", "n")
+    return f"""WITH {S.postings_raw_cte()}
+x AS (SELECT post_id, unnest(range(1, len(important_links) + 1)) AS n, unnest(important_links) AS lk FROM postings_raw),
+y AS (SELECT post_id, n, coalesce(lk.title, '') AS t, coalesce(lk.url, '') AS u FROM x),
+z AS (SELECT post_id, n, {t} AS title, u AS url FROM y),
+k AS (SELECT * FROM z WHERE title <> '' OR url <> '')
+SELECT p.post_id, coalesce(string_agg(k.title || ' <' || k.url || '>', ' | ' ORDER BY k.n), '') AS links
+FROM postings_raw p LEFT JOIN k USING (post_id) GROUP BY p.post_id"""
+
+
+@register("l14_coerce_link_objects", _l14_sql())
 def q_l14(spark, sf_dir):
     p = _p(spark, sf_dir).withColumn("raw", _l14_src())
     return p.select("post_id", _links_text(PL.coerce_link_objects(F.col("raw"))).alias("links"))
@@ -847,11 +859,41 @@ _R9_PATHS = [("title", "title"), ("url", "url"), ("employmentType", "employment_
              ("totalJobOpenings", "openings"), ("identifier.value", "identifier")]
 
 
-@register("r9_posting_jsonld", None)
+def _r9_sql():
+    lo, hi = S.salary_range("salary_min", "salary_max", "salary")
+    lt, reg = S.location_kind("state_name")
+    site_rx = q.rlike(S.nz("x.title"), "official.?website|official.?site", ci=True)
+    official = f"list_filter(important_links, lambda x: NOT {S.blank('x.url')} AND {site_rx})[1].url"
+    levels = S.credential_levels("education")
+    vt = (f"CASE WHEN NOT {S.blank('last_date')} THEN last_date ELSE "
+          f"strftime(DATE '{SITE.as_of}' + 90, '%Y-%m-%d') END || 'T23:59:59+05:30'")
+    cols = {
+        "title": "coalesce(title, '')",
+        "url": S.derive_url("slug", "type"),
+        "employment_type": S.employment_type("title", "salary_type", "type"),
+        "direct_apply": f"CASE WHEN {S.direct_apply_flag('NULL', 'apply_url', 'online_form')} THEN 'true' ELSE 'false' END",
+        "org_name": f"CASE WHEN {S.blank('organization')} THEN {S.s(SITE.name)} ELSE organization END",
+        "org_url": f"coalesce({official}, {S.s(SITE.url)})",
+        "location_type": f"CASE WHEN {lt} = 'TELECOMMUTE' THEN 'TELECOMMUTE' END",
+        "region": f"CASE WHEN {lt} <> 'TELECOMMUTE' THEN {reg} END",
+        "valid_through": vt,
+        "min_value": f"CAST({lo} AS VARCHAR)",
+        "max_value": f"CAST(CASE WHEN {hi} > 0 THEN {hi} ELSE greatest({lo}, 0) END AS VARCHAR)",
+        "openings": f"CASE WHEN NOT {S.blank('total_posts')} THEN CAST({_int_sql('total_posts')} AS VARCHAR) END",
+        "identifier": "CAST(post_id AS VARCHAR)",
+        "edu_kind": f"CASE len({levels}) WHEN 0 THEN NULL WHEN 1 THEN 'object' ELSE 'array' END",
+    }
+    return W("post_id, " + ", ".join(f"{v} AS {k}" for k, v in cols.items()),
+             src=f"(SELECT *, {_SLUG_SQL} AS slug FROM postings_raw)")
+
+
+@register("r9_posting_jsonld", _r9_sql())
 def q_r9(spark, sf_dir):
     p = R.posting_jsonld(N.derive_slug(_p(spark, sf_dir)), SITE)
+    edu = F.get_json_object("posting_jsonld", "$.educationRequirements")
     return p.select("post_id", *_jget(F.col("posting_jsonld"), _R9_PATHS),
-                    F.get_json_object("posting_jsonld", "$.educationRequirements").alias("education_requirements"))
+                    F.when(edu.startswith("{"), F.lit("object")).when(edu.startswith("["), F.lit("array"))
+                    .alias("edu_kind"))
 
 
 @register("r13_posting_summary", f"""WITH {S.postings_raw_cte()}
