@@ -940,11 +940,21 @@ def q_r14(spark, sf_dir):
     return N.derive_slug(p).select("post_id", *_jget(doc, _R14_PATHS))
 
 
-@register("s7_jsonld_documents", None)
+def _s7_sql():
+    qq, aa = q.php_trim(S.nz("x.question")), q.php_trim(S.nz("x.answer"))
+    has_faq = f"len(list_filter(coalesce(faq, []), lambda x: {qq} <> '' AND {aa} <> '')) > 0"
+    return f"""WITH {S.postings_raw_cte()}
+d AS (SELECT post_id, 'posting' AS kind, 'JobPosting' AS doc_type FROM postings_raw
+      UNION ALL SELECT post_id, 'breadcrumb', 'BreadcrumbList' FROM postings_raw
+      UNION ALL SELECT post_id, 'faq', 'FAQPage' FROM postings_raw WHERE {has_faq})
+SELECT post_id, kind, doc_type FROM d"""
+
+
+@register("s7_jsonld_documents", _s7_sql())
 def q_s7(spark, sf_dir):
     from gazette.sources.sinks import jsonld_documents
-    return jsonld_documents(N.derive_slug(_p(spark, sf_dir)), SITE).select(
-        "post_id", "kind", F.md5("json").alias("json_md5"), F.length("json").alias("json_len"))
+    docs = jsonld_documents(N.derive_slug(_p(spark, sf_dir)), SITE)
+    return docs.select("post_id", "kind", F.get_json_object("json", "$['@type']").alias("doc_type"))
 
 
 # ---------------------------------------------------------------- E1 + E2 on the supplied documents (text mode, S2)
