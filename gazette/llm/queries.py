@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.common import table
+from gazette.llm.url_filter import Rule
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -13,6 +14,8 @@ ORACLE_SQL: dict[str, str] = {}
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 
+RULES = [Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
+
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -29,6 +32,57 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_iblt_fingerprints")
+def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazette.llm.iblt import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def _op2_sql() -> str:
+    from gazette.llm.url_filter import SOFT, STRICT
+
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    hit = "regexp_matches(scanned, '(^|[^a-z0-9]){}($|[^a-z0-9])')::BIGINT"
+    count = lambda terms: " + ".join(hit.format(t) for t in terms)
+    weight = " + ".join(f"{hit.format(t)} * {w}" for t, w in (STRICT | SOFT).items())
+    fits = lambda r: (f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))")
+    longest = sorted(RULES, key=lambda r: -len(str(r)))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in longest)
+    action = " ".join(f"WHEN {fits(r)} THEN '{r.action}'" for r in longest)
+    return f"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, {lower.format("regexp_extract(coalesce(rest, ''), '^[^/?#]*')")} AS host,
+             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+             {lower.format("coalesce(rest, url, '')")} AS scanned FROM u),
+t AS (SELECT *, {count(STRICT)} AS strict_hits, {count(SOFT)} AS soft_hits, round({weight}, 6)::DOUBLE AS weight FROM h)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+       CASE {action} WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END AS verdict, strict_hits, soft_hits, weight
+FROM t"""
+
+
+
+
+@query("op2_url_vocabulary", _op2_sql())
+def op2_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazette.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), rules=RULES)
+
+
+@query("op3_warc_dictionary", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""")
+def op3_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazette.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op4_content_sort", """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
            FROM documents)
@@ -68,6 +122,13 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), end_id=END_ID)
 
 
+@query("op7_sentence_spans")
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazette.llm.sentence_spans import remove_spans
+
+    return remove_spans(table(spark, sf_dir, "documents"))
+
+
 @query("op8_language_crf")
 def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazette.llm.langid import identify, learn
@@ -79,6 +140,14 @@ def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+@query("op9_log_bilinear")
+def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazette.llm.lm import score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs, F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 != 2)
+
+
 @query("op10_gray_index")
 def op10_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazette.llm.simhash import near_dedup

@@ -181,16 +181,19 @@ def edges(fps: DataFrame, distance: int) -> DataFrame:
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node that it is connected with.
     Alternates large and small stars; each round is checkpointed to the shared folder."""
+    def pairs(*of: tuple[str, str]):
+        return F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in of])).alias("e")
+
     star = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(rounds):
-        both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.col("u"), F.min("b")).alias("m"))
-        large = (both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .filter("a <> b").distinct())
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = (large.join(least, F.col("a") == F.col("u")).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-                 .union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
+        both = star.select(pairs(("a", "b"), ("b", "a"))).select("e.*")
+        least = both.groupBy(F.col("u").alias("w")).agg(F.min(F.least("u", "v")).alias("m"))
+        large = (both.join(least, F.col("u") == F.col("w")).filter("v > u and v <> m")
+                 .select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy(F.col("a").alias("w")).agg(F.min("b").alias("m"))
+        small = (large.join(least, F.col("a") == F.col("w")).select(pairs(("b", "m"), ("a", "m")))
+                 .filter("e.u <> e.v").select(F.col("e.u").alias("a"), F.col("e.v").alias("b")).distinct())
         star = checkpointed(small)
         now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state:
