@@ -159,57 +159,6 @@ def _top_level_branches(p: str) -> list[str]:
     return parts
 
 
-def _branch_literal(b: str) -> str | None:
-    """Longest run of literal characters that every match of the branch contains."""
-    runs, cur, depth, i = [], [], 0, 0
-    while i < len(b):
-        ch = b[i]
-        if ch == "\\" and i + 1 < len(b):
-            nxt = b[i + 1]
-            if nxt.isalnum():  # class escape (\\b, \\d, \\s, ...)
-                runs.append("".join(cur))
-                cur = []
-                i += 2
-                continue
-            lit, i = nxt, i + 2
-        elif ch in "()[]|.^$+*?{}":
-            if ch == "(":
-                depth += 1
-            elif ch == ")":
-                depth -= 1
-            elif ch == "[":
-                j = b.find("]", i + 1)
-                i = j if j > 0 else i
-            runs.append("".join(cur))
-            cur = []
-            i += 1
-            continue
-        else:
-            lit, i = ch, i + 1
-        if depth > 0:
-            continue
-        if i < len(b) and b[i] in _QUANT:  # optional character ends the run
-            runs.append("".join(cur))
-            cur = []
-            continue
-        cur.append(lit)
-    runs.append("".join(cur))
-    best = max(runs, key=len)
-    return best or None
-
-
-def required_literals(pattern: str) -> list[str] | None:
-    """Literals of which at least one occurs in any text the pattern matches (case as written);
-    None when some branch has no such literal."""
-    out = []
-    for b in _top_level_branches(pattern):
-        lit = _branch_literal(b)
-        if not lit:
-            return None
-        out.append(lit)
-    return sorted(set(out))
-
-
 def re2(pattern: str, ci: bool = False, dotall: bool = False) -> str:
     flags = ("i" if ci else "") + ("s" if dotall else "")
     return (f"(?{flags})" if flags else "") + pattern
@@ -308,12 +257,3 @@ def branch_runs(branch: str) -> list[str]:
         cur.append(lit)
     cut()
     return runs
-
-
-def whole_word(branch: str) -> str | None:
-    """'abc' for a branch that is exactly \\babc\\b over word characters, else None."""
-    if branch.startswith("\\b") and branch.endswith("\\b"):
-        core = branch[2:-2]
-        if core and all(c in _WORD for c in core):
-            return core
-    return None

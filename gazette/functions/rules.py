@@ -55,7 +55,6 @@ TYPE_KEYWORDS = [
 ]
 # The last keyword group (recruitment, vacancy, ...) returns the default "job", so it is not listed.
 TYPE_DEFAULT = "job"
-TYPE_WINDOW_BYTES = 5000
 
 # --- link titles, server profile ---
 GENERIC_TITLE_SERVER = r"^(link|click here|here|view|open|download|visit|check|more|read|notification|important|official)$"
@@ -293,6 +292,25 @@ SLUG_FILLERS = [
 SLUG_ORG_DEFAULT = "govt"
 SLUG_MAX_BYTES = 70
 
+# Date spellings, tried in order against the trimmed lower-case text without a leading weekday:
+# (pattern, group of the year, of the month, of the day).  Dashes and dots put the day first when
+# the year is last, slashes the month.  A month group may hold a number or an English name.
+_MONTH = ("(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|"
+          "oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
+_TIME = (r"(?:(?:t| *,? *(?:at )?)[0-9]{1,2}(?::[0-9]{2}){0,2}(?:\.[0-9]+)? *(?:am|pm|a\.m\.|p\.m\.)?"
+         r" *(?:z|utc|gmt|ist|[+-][0-9]{2}:?[0-9]{2})?)?$")
+WEEKDAY_RX = r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? +"
+DATE_FORMS = [
+    (r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _TIME, 1, 2, 3),
+    (r"^([0-9]{1,2})[-.]([0-9]{1,2})[-.]([0-9]{4})" + _TIME, 3, 2, 1),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})" + _TIME, 3, 1, 2),
+    (r"^([0-9]{1,2})(?:st|nd|rd|th)?[ .-]*" + _MONTH + r"[ .,-]*([0-9]{4})" + _TIME, 3, 2, 1),
+    ("^" + _MONTH + r"[ .-]*([0-9]{1,2})(?:st|nd|rd|th)?(?:,| ) *([0-9]{4})" + _TIME, 3, 1, 2),
+    (r"^([0-9]{4})[ .-]*" + _MONTH + r"[ .-]*([0-9]{1,2})" + _TIME, 1, 2, 3),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})(?:t[0-9]{2}:?[0-9]{2}(?::?[0-9]{2})?)?$", 1, 2, 3),
+]
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
 # --- education code -> credential level ---
 CREDENTIAL_LEVELS = [
     ("10th_pass", "high school"), ("12th_pass", "high school"), ("graduate", "bachelor degree"),
@@ -394,12 +412,4 @@ CARD_HEADLINES = [
     ("scholarship", "AMOUNT", "salary", "Check Notification"), ("blog", "CATEGORY", "category_name", "General"),
 ]
 
-# --- entities decoded by the text helpers (named + the one numeric form seen) ---
-HTML_ENTITIES = [
-    ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-    ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&copy;", "©"),
-    ("&middot;", "·"), ("&amp;", "&"),
-]
-
-TEXT_MAX_CHARS = 9000
 TEXT_MIN_BYTES = 100

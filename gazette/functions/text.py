@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazette.functions import rules
-
 # the blank set of PHP trim(): space, tab, newline, carriage return, NUL, vertical tab
 PHP_BLANKS = " \t\n\r\x00\x0b"
 
@@ -23,15 +25,64 @@ def php_rtrim(c, chars: str) -> Column:
     return F.regexp_replace(col(c), "[" + "".join("\\" + ch for ch in chars) + "]+$", "")
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once per row however often ``fn`` reads it (also inside
+    the lambdas of higher-order functions, which would otherwise evaluate it per element)."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+# A tag opens with '<' and a non-blank; quoted attribute values may hold '>'.  The possessive form
+# (Java) never backtracks; the plain form (RE2, linear anyway) matches the same texts.
+_TAG_START = r"""<[^ \t\n\r\x0b\f"'>]"""
+TAG_RX = _TAG_START + r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>"""
+TAG_RX_JAVA = _TAG_START + r"""[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+>"""
+
+
 def strip_tags(c) -> Column:
-    return F.regexp_replace(col(c), "<[^>]*>", "")
+    return F.regexp_replace(col(c), TAG_RX_JAVA, "")
+
+
+ENTITY_RX = "&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+@functools.cache
+def named_entities() -> dict[str, str]:
+    """Every named HTML5 character reference ('&name;' -> text), from the standard library's table;
+    the ones pages use most come first, because a map literal is searched in order."""
+    table = {f"&{k}": v for k, v in html.entities.html5.items() if k.endswith(";")}
+    common = ["&amp;", "&nbsp;", "&quot;", "&lt;", "&gt;", "&apos;", "&rsquo;", "&lsquo;", "&rdquo;", "&ldquo;",
+              "&ndash;", "&mdash;", "&hellip;", "&bull;", "&middot;", "&copy;", "&reg;", "&trade;"]
+    return {k: table[k] for k in common} | table
+
+
+def code_point_allowed(cp) -> list:
+    """The code points a numeric reference may name (HTML5): no controls but tab, newline and form
+    feed, no surrogates, no non-characters."""
+    return [((cp >= 0x20) & (cp <= 0x7E)) | (cp == 9) | (cp == 10) | (cp == 12) | (cp >= 0xA0),
+            cp <= 0x10FFFF, (cp < 0xD800) | (cp > 0xDFFF), (cp < 0xFDD0) | (cp > 0xFDEF),
+            cp % 0x10000 < 0xFFFE]
+
+
+def _decode_entity(e: Column) -> Column:
+    named = F.from_json(F.lit(json.dumps(named_entities())), "map<string,string>")
+    hexa = F.lower(F.substring(e, 3, 1)) == "x"
+    digits = F.when(hexa, F.regexp_extract(e, "([0-9a-fA-F]+);$", 1)).otherwise(F.regexp_extract(e, "([0-9]+);$", 1))
+
+    def char(cp):
+        ok = functools.reduce(lambda a, b: a & b, code_point_allowed(cp))
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
+
+    number = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits)
+    return F.coalesce(F.when(e.startswith("&#"), let(number.cast("long"), char)).otherwise(F.element_at(named, e)), e)
 
 
 def decode_entities(c) -> Column:
-    out = col(c)
-    for ent, ch in rules.HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Named and numeric character references decoded in one pass (an unknown one stays as it is)."""
+    def joined(t):
+        return let(F.regexp_extract_all(t, F.lit(ENTITY_RX), 0), lambda ents: F.array_join(F.transform(
+            F.split(t, ENTITY_RX, -1),
+            lambda s, i: F.concat(s, F.when(i < F.size(ents), _decode_entity(F.get(ents, i))).otherwise(F.lit("")))), ""))
+    return let(col(c), lambda t: F.when(t.contains("&") & t.contains(";"), joined(t)).otherwise(t))
 
 
 def is_blank_str(c) -> Column:

@@ -1,14 +1,15 @@
 """Enrichment: rule tagging, category correction, dimension lookups.
 
 Rule lists are literal patterns (compiled once per task).  Each text that
-several rules scan is lower-cased once into a temporary column first.
-Dimensions are small fixed lists: lookups are literal maps or a broadcast
-join of a dimension whose size is fixed by its definition.
+several rules scan is lower-cased once into a temporary column first, and one regex
+pass finds the literals that the rules need.
+Lookups in the fixed lists are literal maps; a dimension table is joined.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from gazette.config import DEFAULT_SITE, SiteConfig
 from gazette.functions import rules
 from gazette.functions.regex import branch_runs, expand_branch, java, literal, top_level_branches
 from gazette.functions.text import col, empty_strs, is_blank_str, leading_int, nz, strip_tags
+from gazette.sources.dims import unique_dim
 
 
 
@@ -40,44 +42,39 @@ def rule_literals(rule_list) -> list[str]:
     return sorted(out)
 
 
-_AUTOMATA: dict = {}
-
-
-def _automaton(words: tuple):
-    a = _AUTOMATA.get(words)
-    if a is None:
-        import ahocorasick
-        a = ahocorasick.Automaton()
-        for w in words:
-            a.add_word(w, w)
-        a.make_automaton()
-        _AUTOMATA[words] = a
-    return a
-
-
-def literal_hits(text: Column, words: list[str]) -> Column | None:
-    """The subset of ``words`` occurring in each text, found by one Aho-Corasick pass per text
-    (Arrow-batched pandas UDF, overlapping occurrences included, so the set is exact).  None
-    when the automaton library is unavailable; callers then test each literal on the JVM."""
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:  # pragma: no cover
-        return None
-    key = tuple(sorted(set(words)))
-
-    @F.pandas_udf("array<string>")
-    def hits(s: pd.Series) -> pd.Series:
-        a = _automaton(key)
-        return s.map(lambda x: None if x is None else sorted({w for _, w in a.iter(x)}))
-
-    return hits(text)
-
-
-def _has(text: Column, lit: str, hits: Column | None) -> Column:
-    return F.array_contains(hits, lit) if hits is not None else text.contains(lit)
-
-
-def rule_match(text: Column, rx: str, hits: Column | None = None) -> Column:
+def trie_regex(words: list[str]) -> str:
+    """An alternation of the words that shares their prefixes and tries the longest first."""
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def spell(node):
+        parts = [(ch if ch.isalnum() or ch == " " else "\\" + ch) + spell(sub) for ch, sub in node.items() if ch]
+        if "" in node:
+            parts.append("")
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return spell(trie)
+
+
+def literal_hits(text: Column, words: list[str]) -> Column:
+    """The subset of ``words`` occurring in each text (as substrings, overlapping ones included), in one
+    regex pass: a lookahead at every position yields the longest word that starts there, and the
+    words that are prefixes of it are added."""
+    words = sorted(set(words))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({trie_regex(words)}))"), 1))
+    shorter = {w: [v for v in words if w.startswith(v)] for w in words}
+    more = {w: v for w, v in shorter.items() if len(v) > 1}
+    if not more:
+        return found
+    table = F.from_json(F.lit(json.dumps(more)), "map<string,array<string>>")
+    return F.array_distinct(F.flatten(F.transform(found, lambda w: F.coalesce(F.element_at(table, w), F.array(w)))))
+
+
+def rule_match(text: Column, rx: str, hits: Column) -> Column:
     """``text rlike rx`` for lower-cased text, evaluated branch by branch (a pattern matches
     exactly when one of its top-level branches does):
 
@@ -85,26 +82,26 @@ def rule_match(text: Column, rx: str, hits: Column | None = None) -> Column:
     * any other branch -> its regex, run only when the text holds every literal run that each
       match of the branch must contain.
 
-    Substring tests read ``hits`` (the literals present, from ``literal_hits``) when given."""
+    Substring tests read ``hits`` (the literals present, from ``literal_hits``)."""
     parts = []
     for b in top_level_branches(rx):
         exp = expand_branch(b)
         if exp is not None and not exp[1]:
-            parts.append(_any([_has(text, s, hits) for s in exp[0]]))
+            parts.append(_any([F.array_contains(hits, s) for s in exp[0]]))
             continue
         m = text.rlike(java(b))
         if exp is not None:
-            pre = _any([_has(text, s, hits) for s in exp[0]])
+            pre = _any([F.array_contains(hits, s) for s in exp[0]])
         else:
             pre = None
             for r in branch_runs(b):
-                c = _has(text, r, hits)
+                c = F.array_contains(hits, r)
                 pre = c if pre is None else (pre & c)
         parts.append(F.when(pre, m).otherwise(F.lit(False)) if pre is not None else m)
     return _any(parts)
 
 
-def _codes(text: Column, rule_list, hits: Column | None = None) -> Column:
+def _codes(text: Column, rule_list, hits: Column) -> Column:
     """Codes whose pattern matches ``text`` (already lower-cased), in rule order."""
     return F.array_compact(F.array(*[F.when(rule_match(text, rx, hits), F.lit(code)) for code, rx in rule_list]))
 
@@ -113,7 +110,7 @@ DEGREE_PREFILTER = r"bachelor|graduat|degree"
 
 
 def detection_literals() -> list[str]:
-    """All literals the education and tag rules test (one automaton serves both)."""
+    """All literals the education and tag rules test (one pass serves both)."""
     return sorted(set(rule_literals(rules.EDUCATION_RULES + [("", DEGREE_PREFILTER)]))
                   | set(rule_literals(rules.TAG_RULES)))
 
@@ -130,11 +127,8 @@ def detect_education(df: DataFrame, text: str, current: str = "education", out:
     low = F.col(lowered) if lowered else F.lower(nz(text))
     df = df.withColumn("_lt", F.when(F.col("_need"), low))
     if hits is None:
-        made = literal_hits(F.col("_lt"), rule_literals(rules.EDUCATION_RULES + [("", DEGREE_PREFILTER)]))
-        if made is not None:
-            df = df.withColumn("_hits", made)
-            hits = "_hits"
-    h = F.col(hits) if hits is not None else None
+        df = df.withColumn("_hits", literal_hits(F.col("_lt"), rule_literals(rules.EDUCATION_RULES + [("", DEGREE_PREFILTER)])))
+    h = F.col(hits or "_hits")
     det = _codes(F.col("_lt"), rules.EDUCATION_RULES, h)
     df = df.withColumn("_det", F.when(F.col("_need"), det))
     d = F.col("_det")
@@ -150,8 +144,7 @@ def detect_education(df: DataFrame, text: str, current: str = "education", out:
     d = F.array_distinct(d)
     d = F.when(F.size(d) == 0, F.array(F.lit(rules.EDUCATION_DEFAULT))).otherwise(d)
     out_df = df.withColumn(out, F.when(~F.col("_need"), cur).otherwise(d))
-    tmp = ("_lt", "_det", "_m", "_b", "_need") + (("_hits",) if hits == "_hits" else ())
-    return out_df.drop(*[c for c in tmp if c in out_df.columns])
+    return out_df.drop("_lt", "_det", "_m", "_b", "_need", "_hits")
 
 
 # ---------------------------------------------------------------- E2 .. E4
@@ -160,16 +153,12 @@ def detect_tags(df: DataFrame, text: str, current: str = "tags", out: str = "tag
                 lowered: str | None = None, hits: str | None = None) -> DataFrame:
     """Current string tags, then the 18 rule tags in order, ordered-distinct."""
     df = df.withColumn("_lt", F.col(lowered) if lowered else F.lower(nz(text)))
-    own = hits is None
-    if own:
-        made = literal_hits(F.col("_lt"), rule_literals(rules.TAG_RULES))
-        if made is not None:
-            df = df.withColumn("_thits", made)
-            hits = "_thits"
-    h = F.col(hits) if hits is not None else None
+    if hits is None:
+        df = df.withColumn("_thits", literal_hits(F.col("_lt"), rule_literals(rules.TAG_RULES)))
+    h = F.col(hits or "_thits")
     cur = F.filter(F.coalesce(F.col(current), empty_strs()), lambda x: x.isNotNull())
     out_df = df.withColumn(out, F.array_distinct(F.concat(cur, _codes(F.col("_lt"), rules.TAG_RULES, h))))
-    return out_df.drop(*[c for c in ("_lt", "_thits") if c in out_df.columns])
+    return out_df.drop("_lt", "_thits")
 
 
 def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
@@ -178,10 +167,8 @@ def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
     combined = F.lower(F.btrim(F.concat_ws(" ", nz("title"), nz("short_description"), nz("content"),
                                            nz(source_text)), F.lit(" \t\n\r\x00\x0b")))
     df = df.withColumn("_lt", combined)
-    hits = literal_hits(F.col("_lt"), rule_literals(rules.SIGNAL_RULES))
-    if hits is not None:
-        df = df.withColumn("_hits", hits)
-    h = F.col("_hits") if hits is not None else None
+    df = df.withColumn("_hits", literal_hits(F.col("_lt"), rule_literals(rules.SIGNAL_RULES)))
+    h = F.col("_hits")
     sig = _codes(F.col("_lt"), rules.SIGNAL_RULES, h)
     typ = nz("type")
     type_tags = (F.when(typ == "admit_card", F.array(F.lit("admit_card")))
@@ -195,7 +182,7 @@ def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
     ext = rule_match(F.col("_lt"), rules.SIGNAL_RULES[0][1], h)
     return (df.withColumn("tags", F.array_distinct(F.concat(cur, sig, type_tags)))
               .withColumn("is_date_extended", ext | F.coalesce(F.col("is_date_extended").cast("boolean"), F.lit(False)))
-              .drop(*[c for c in ("_lt", "_hits") if c in df.columns]))
+              .drop("_lt", "_hits"))
 
 
 def default_tags(df: DataFrame, lowered_src: str | None = None, hits: str | None = None) -> DataFrame:
@@ -256,15 +243,9 @@ def resolve_category_id(df: DataFrame, dim_category: DataFrame | None = None,
     """A blank id comes from the name through the alias dimension (else 14); with
     ``prefer_name`` (the step after category correction) a name found in the dimension wins.
 
-    With ``dim_category`` (name, category_id) the lookup is a broadcast left join on the name;
-    the dimension is a fixed alias list, so its size is bounded by construction."""
-    if dim_category is None:
-        lookup = F.element_at(category_id_map(), F.col("category_name")).cast("long")
-        df = df.withColumn("_dim_id", lookup)
-    else:
-        dim = F.broadcast(dim_category.select(F.col("name").alias("_dim_name"),
-                                              F.col("category_id").cast("long").alias("_dim_id")))
-        df = df.join(dim, F.col("category_name") == F.col("_dim_name"), "left").drop("_dim_name")
+    With ``dim_category`` (name, category_id) the lookup is a left join on the name; of a name that
+    occurs twice the smallest id counts."""
+    df = _with_category(df, "category_name", dim_category)
     cid = F.col("category_id").cast("string")
     base = (F.when(~is_blank_str(cid), leading_int(cid))
             .when(~is_blank_str("category_name"), F.coalesce(F.col("_dim_id"), F.lit(rules.CATEGORY_DEFAULT_ID)))
@@ -273,14 +254,22 @@ def resolve_category_id(df: DataFrame, dim_category: DataFrame | None = None,
     return df.withColumn("category_id", out).drop("_dim_id")
 
 
-def override_category_by_type(df: DataFrame) -> DataFrame:
-    """Six non-job types force the category name; the id changes only when the alias
-    dimension knows the name (it knows none of the six), else a warning is recorded."""
+def _with_category(df: DataFrame, name: str, dim_category: DataFrame | None) -> DataFrame:
+    """``_dim_id``: the id of the category called ``name`` (null when the dimension has none)."""
+    if dim_category is None:
+        return df.withColumn("_dim_id", F.element_at(category_id_map(), F.col(name)).cast("long"))
+    dim = unique_dim(dim_category.select(F.col("name").alias("_dim_name"),
+                                         F.col("category_id").cast("long").alias("_dim_id")), "_dim_name")
+    return df.join(dim, F.col(name) == F.col("_dim_name"), "left").drop("_dim_name")
+
+
+def override_category_by_type(df: DataFrame, dim_category: DataFrame | None = None) -> DataFrame:
+    """Six non-job types force the category name; the id changes only when the dimension knows
+    the name (the alias list knows none of the six), else a warning is recorded."""
     m = F.create_map(*[F.lit(x) for kv in rules.TYPE_CATEGORY for x in kv])
     forced = F.element_at(m, F.coalesce(F.col("type"), F.lit("job")))
-    known = F.element_at(category_id_map(), forced).cast("long")
-    return (df.withColumn("_forced", forced).withColumn("_known", known)
-              .withColumn("category_name", F.coalesce(F.col("_forced"), F.col("category_name")))
+    df = _with_category(df.withColumn("_forced", forced), "_forced", dim_category).withColumnRenamed("_dim_id", "_known")
+    return (df.withColumn("category_name", F.coalesce(F.col("_forced"), F.col("category_name")))
               .withColumn("category_id", F.coalesce(F.col("_known"), F.col("category_id")))
               .withColumn("category_warning", F.when(F.col("_forced").isNotNull() & F.col("_known").isNull(),
                                                      F.concat(F.lit("category not in dimension: "), F.col("_forced"))))
@@ -294,13 +283,49 @@ def dim_literal(entries: list[tuple[int, str]]) -> Column:
                      for i, (id_, name) in enumerate(entries)])
 
 
+def _substrings(c: Column) -> Column:
+    """The distinct non-empty substrings of a short name."""
+    n = F.length(c)
+    at = lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k))
+    return F.when(n > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), at)))).otherwise(empty_strs())
+
+
+def match_dim_table(df: DataFrame, name: str, dim: DataFrame, prefix: str) -> DataFrame:
+    """E8 against a dimension table (ordinal, id, name) of any size, with the results of
+    ``match_dim_by_name``.  The distinct names are matched once and joined back.  Containment is
+    an equality of one side's substrings with the other side (names are short), shared words an
+    equality of words: equi-joins only, no pairs of unrelated names."""
+    q = F.lower(F.trim(nz(name)))
+    names = df.select(q.alias("q")).filter(F.col("q") != "").distinct()
+    cands = unique_dim(dim.select(F.lower(F.trim("name")).alias("lname"), "ordinal", F.col("id").cast("string").alias("id")),
+                       "lname", "ordinal")
+    words = lambda c: F.split(c, r"\s+")
+    inside = (names.select("q", F.explode(_substrings(F.col("q"))).alias("lname")).join(cands, "lname")
+              .select("q", F.length("lname").alias("score"), "ordinal", "id"))
+    around = (cands.filter("lname <> ''").select("ordinal", "id", F.explode(_substrings(F.col("lname"))).alias("q")).join(names, "q")
+              .select("q", F.length("q").alias("score"), "ordinal", "id"))
+    shared = (names.select("q", F.explode(words(F.col("q"))).alias("w"))
+              .join(cands.select("ordinal", "id", F.explode(F.array_distinct(words(F.col("lname")))).alias("w")), "w")
+              .groupBy("q", "ordinal", "id").agg((F.count(F.lit(1)) * 5).cast("int").alias("score")).select("q", "score", "ordinal", "id"))
+    best = (inside.unionByName(around).unionByName(shared).filter("score > 0").groupBy("q")
+            .agg(F.max(F.struct("score", (-F.col("ordinal")).alias("neg"), "id")).alias("_best")).withColumnRenamed("q", "_bq"))
+    exact = cands.select(F.col("lname").alias("_eq"), F.col("id").alias("_exact"))
+    out = df.withColumn("_q", q)
+    out = out.join(best, F.col("_q") == F.col("_bq"), "left").join(exact, (F.col("_q") == F.col("_eq")) & (F.col("_q") != ""), "left")
+    return (out.withColumn(f"{prefix}_id", F.coalesce(F.col("_exact"), F.col("_best.id")))
+               .withColumn(f"{prefix}_match", F.when(F.col("_exact").isNotNull(), F.lit("exact"))
+                           .when(F.col("_best").isNotNull(), F.lit("fuzzy")))
+               .withColumn(f"{prefix}_score", F.when(F.col("_exact").isNull(), F.col("_best.score")))
+               .drop("_q", "_bq", "_eq", "_best", "_exact"))
+
+
 def match_dim_by_name(df: DataFrame, name: str, entries: list[tuple[int, str]], prefix: str) -> DataFrame:
     """Exact case-insensitive match first; else the best score over the dimension
     (length of a contained candidate, length of the name inside a candidate, 5 x shared words),
     earliest candidate on ties, no match at score 0.
 
     The dimension is a fixed literal list evaluated per row with higher-order functions:
-    no join and no pairs leave the row."""
+    no join and no pairs leave the row (``match_dim_table`` takes a live table)."""
     cands = dim_literal(entries)
     df = df.withColumn("_q", F.lower(F.trim(nz(name)))).withColumn("_qw", F.split(F.col("_q"), r"\s+"))
     q, qw = F.col("_q"), F.col("_qw")

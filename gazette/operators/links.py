@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 from gazette.config import DEFAULT_SITE, SiteConfig
 from gazette.functions import rules
 from gazette.functions.regex import alternation, java
-from gazette.functions.text import col, decode_entities, is_numeric, php_trim, strip_tags
+from gazette.functions.text import decode_entities, is_numeric, let, php_trim, strip_tags
 from gazette.functions.urls import (HAS_HTTP_RX, bare_host, is_valid_url, page_dir,
-                                    registrable_domain, url_host, url_path, url_scheme,
-                                    with_scheme)
+                                    registrable_domain, url_host, url_path, url_scheme)
 
 # L1: anchors with a quoted href whose first character is not a quote, '#' or blank;
 # the body is captured lazily up to the first </a>.
@@ -99,11 +98,11 @@ def filter_valid_urls(df: DataFrame, links: str = "links") -> DataFrame:
 def dedupe_links(df: DataFrame, links: str = "links") -> DataFrame:
     """Per page, the first link for each lower-cased URL; document order kept.
 
-    Sort by (key, pos), keep the first of each key, sort back by pos:
-    O(n log n) per page, inside the page's own task."""
+    Sort by (key, pos), keep the first of each key, sort back by pos: O(n log n) per page,
+    inside the page's own task (the sorted list is bound once, not sorted again per element)."""
     keyed = F.array_sort(F.transform(F.col(links), lambda x: F.struct(
         F.lower(x["url"]).alias("k"), x["pos"].alias("p"), x.alias("v"))))
-    firsts = F.filter(keyed, lambda x, i: (i == 0) | (F.get(keyed, i - 1)["k"] != x["k"]))
+    firsts = let(keyed, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))
     back = F.array_sort(F.transform(firsts, lambda x: F.struct(x["p"].alias("p"), x["v"].alias("v"))))
     return df.withColumn(links, F.transform(back, lambda x: x["v"]))
 
@@ -243,6 +242,3 @@ def links_text(arr: Column) -> Column:
     return F.array_join(F.transform(arr, lambda x: F.concat_ws(" <", x["title"], F.concat(x["url"], F.lit(">")))),
                         " | ")
 
-
-def normalize_url_value(c) -> Column:
-    return with_scheme(col(c))

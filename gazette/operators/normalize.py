@@ -12,7 +12,7 @@ from gazette.config import DEFAULT_SITE, SiteConfig
 from gazette.functions import rules
 from gazette.functions.regex import java, literal
 from gazette.functions.text import (byte_cut, col, decode_entities, is_blank_str, is_numeric,
-                                    leading_int, nz, php_trim, strip_tags)
+                                    leading_int, let, nz, php_trim, strip_tags)
 from gazette.functions.urls import is_apply_url_bare, is_valid_url, url_path, url_query, with_scheme
 
 INT_FIELDS = ["total_posts", "age_min", "age_max_gen", "age_max_obc", "age_max_sc", "age_max_ph",
@@ -21,8 +21,6 @@ INT_FIELDS = ["total_posts", "age_min", "age_max_gen", "age_max_obc", "age_max_s
               "vacancy_ews", "vacancy_ph"]
 OPTIONAL_FIELDS = ["state_id", "notification_date", "start_date", "end_date", "last_date", "salary",
                    "online_form", "final_result"]
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy", "yyyy/MM/dd",
-                "dd.MM.yyyy"]
 NO_DATE = "Check Notification"
 
 
@@ -64,16 +62,24 @@ def null_blank_fields(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- N4 .. N7
 
 def parse_date(c) -> Column:
-    """Date of a loose date string (listed formats), null when none applies."""
-    s = php_trim(nz(as_str(c)))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in DATE_FORMATS])
+    """Date of a loosely spelt date (``rules.DATE_FORMS``), null when none applies.  A day past the
+    month's end runs into the next month, as in the source."""
+    def date(s, form):
+        rx, y, m, d = form
+        month = F.regexp_extract(s, rx, m)
+        number = F.coalesce(month.try_cast("int"), ((F.instr(F.lit(rules.MONTHS), F.substring(month, 1, 3)) + 2) / 3).cast("int"))
+        day = F.regexp_extract(s, rx, d).try_cast("int")
+        first = F.make_date(F.regexp_extract(s, rx, y).try_cast("int"), number, F.lit(1))
+        return F.when(s.rlike(rx) & number.between(1, 12) & day.between(1, 31), F.date_add(first, day - 1))
+
+    s = F.regexp_replace(F.lower(php_trim(nz(as_str(c)))), rules.WEEKDAY_RX, "")
+    return let(s, lambda s: F.when(s != "", F.coalesce(*[date(s, form) for form in rules.DATE_FORMS])))
 
 
 def safe_date(c, fallback: str = NO_DATE) -> Column:
     """Unparseable or before 2000-01-01 -> fallback; else dd-MM-yyyy."""
-    d = parse_date(c)
-    return F.when(d.isNull() | (d < F.lit("2000-01-01").cast("date")), F.lit(fallback)).otherwise(
-        F.date_format(d, "dd-MM-yyyy"))
+    return let(parse_date(c), lambda d: F.when(
+        d.isNull() | (d < F.lit("2000-01-01").cast("date")), F.lit(fallback)).otherwise(F.date_format(d, "dd-MM-yyyy")))
 
 
 def deadline_text(last_date, deadline_time) -> Column:
@@ -188,9 +194,13 @@ def year_in(text, default_year: str) -> Column:
     return F.when(y != "", y).otherwise(F.lit(default_year))
 
 
-def derive_slug(df: DataFrame, site: SiteConfig = DEFAULT_SITE, out: str = "slug") -> DataFrame:
+def derive_slug(df: DataFrame, site: SiteConfig = DEFAULT_SITE, out: str = "slug",
+                max_bytes: int | None = rules.SLUG_MAX_BYTES, unique_by: str | None = None) -> DataFrame:
     """Org (first 3 words, default 'govt') + title, fillers removed, ' recruitment <year>'
-    [+ ' <n> posts'], non-alphanumerics -> '-', lower, at most 70 bytes."""
+    [+ ' <n> posts'], non-alphanumerics -> '-', lower.
+
+    A published slug has at most ``max_bytes`` bytes (None: the whole one).  Cut slugs can collide and
+    give two postings one URL: with ``unique_by`` (an id column) a cut slug gets '-<id>' behind it."""
     org = F.when(is_blank_str("organization"), F.lit(rules.SLUG_ORG_DEFAULT)).otherwise(F.col("organization"))
     org = F.array_join(F.slice(F.split(org, " "), 1, 3), " ")
     post = F.coalesce(F.col("title"), F.lit("job"))
@@ -202,7 +212,12 @@ def derive_slug(df: DataFrame, site: SiteConfig = DEFAULT_SITE, out: str = "slug
     base = F.concat(php_trim(body), F.lit(" recruitment "), F.col("_year"),
                     F.when(vac > 0, F.concat(F.lit(" "), vac.cast("string"), F.lit(" posts"))).otherwise(F.lit("")))
     slug = F.lower(F.regexp_replace(F.regexp_replace(base, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
-    slug = F.regexp_replace(F.substring(slug, 1, rules.SLUG_MAX_BYTES), "-+$", "")
+    if max_bytes is not None:
+        def cut(s):
+            short = F.regexp_replace(F.substring(s, 1, max_bytes), "-+$", "")
+            tail = F.when(F.length(s) > max_bytes, F.concat(F.lit("-"), as_str(unique_by))) if unique_by else F.lit(None)
+            return F.concat(short, F.coalesce(tail, F.lit("")))
+        slug = let(slug, cut)
     return df.withColumn(out, slug).drop("_year")
 
 
@@ -261,12 +276,14 @@ def location_kind(state_name) -> tuple[Column, Column]:
 
 def ucwords(c) -> Column:
     return F.array_join(F.transform(F.split(col(c), " "),
-                                    lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))),
+                                    lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))),
                         " ")
 
 
-def build_meta(df: DataFrame, site: SiteConfig = DEFAULT_SITE) -> DataFrame:
-    """N17 + N18: meta title (<= 80 bytes) and meta description (<= 160 bytes)."""
+def build_meta(df: DataFrame, site: SiteConfig = DEFAULT_SITE, title_bytes: int | None = 80,
+               description_bytes: int | None = 160) -> DataFrame:
+    """N17 + N18: meta title and meta description.  What a search engine shows has so many bytes, a
+    longer one ends in '...'; None keeps the whole text."""
     org_abbr = F.when(is_blank_str("organization"), F.lit("Govt")).otherwise(F.split("organization", " ").getItem(0))
     post_n = F.coalesce(F.col("post_name"), F.col("title"), F.lit("Job"))
     v = F.coalesce(leading_int(as_str("total_posts")), F.lit(0))
@@ -292,12 +309,10 @@ def build_meta(df: DataFrame, site: SiteConfig = DEFAULT_SITE) -> DataFrame:
                     F.lit(". Eligibility: "), edu_list, F.lit(". Last date to apply: "), last_full,
                     F.lit(". Check qualification, salary, selection process and direct apply link here."))
     df = df.withColumn("meta_title", title).withColumn("meta_description", desc)
-    df = df.withColumn("meta_title", F.when(F.octet_length("meta_title") > 80,
-                                            F.concat(byte_cut("meta_title", 77), F.lit("...")))
-                       .otherwise(F.col("meta_title")))
-    df = df.withColumn("meta_description", F.when(F.octet_length("meta_description") > 160,
-                                                  F.concat(byte_cut("meta_description", 157), F.lit("...")))
-                       .otherwise(F.col("meta_description")))
+    for name, width in (("meta_title", title_bytes), ("meta_description", description_bytes)):
+        if width is not None:
+            df = df.withColumn(name, F.when(F.octet_length(name) > width, F.concat(byte_cut(name, width - 3), F.lit("...")))
+                               .otherwise(F.col(name)))
     return df.drop("_post_n", "_v", "_ld", "_year")
 
 
@@ -314,10 +329,13 @@ def default_keywords(df: DataFrame, site: SiteConfig = DEFAULT_SITE) -> DataFram
     return df.withColumn("meta_keywords", F.when(is_blank_str("meta_keywords"), kw).otherwise(F.col("meta_keywords")))
 
 
-def description_text(df: DataFrame, out: str = "description") -> DataFrame:
-    """Plain summary (or first 300 bytes of the title) + vacancies / salary / last date."""
+def description_text(df: DataFrame, out: str = "description", title_bytes: int | None = None,
+                     max_bytes: int | None = None) -> DataFrame:
+    """Plain summary (or the title) + vacancies / salary / last date.  ``title_bytes`` and
+    ``max_bytes`` (off by default) cut the title and the result at so many bytes."""
+    title = strip_tags(nz("title"))
     d0 = php_trim(strip_tags(nz("short_description")))
-    d1 = F.when(is_blank_str(d0), php_trim(byte_cut(strip_tags(nz("title")), 300))).otherwise(d0)
+    d1 = F.when(is_blank_str(d0), php_trim(title if title_bytes is None else byte_cut(title, title_bytes))).otherwise(d0)
     ld = parse_date("last_date")
     extras = F.concat_ws(". ",
                          F.when(~is_blank_str(as_str("total_posts")) & (leading_int(as_str("total_posts")) > 0),
@@ -326,7 +344,7 @@ def description_text(df: DataFrame, out: str = "description") -> DataFrame:
                          F.when(~is_blank_str("last_date") & ld.isNotNull(),
                                 F.concat(F.lit("Last Date: "), F.date_format(ld, "dd-MM-yyyy"))))
     full = F.when(extras != "", F.concat(d1, F.lit(" "), extras, F.lit("."))).otherwise(d1)
-    return df.withColumn(out, byte_cut(full, 5000))
+    return df.withColumn(out, full if max_bytes is None else byte_cut(full, max_bytes))
 
 
 def indian_grouping(n) -> Column:

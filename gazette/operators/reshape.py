@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gazette.config import DEFAULT_SITE, SiteConfig
 from gazette.functions import rules
 from gazette.functions.text import is_blank_str, leading_int, nz, php_trim, strip_tags
+from gazette.sources.dims import unique_dim
 from gazette.operators import links as L
 from gazette.operators import normalize as N
 from gazette.operators.enrich import credential_levels
@@ -279,10 +280,12 @@ def card_rows(df: DataFrame) -> DataFrame:
 
 def posting_summary(df: DataFrame, dim_categories: DataFrame, dim_states: DataFrame) -> DataFrame:
     """The result panel: id, vacancies (en-IN grouping), type in title case, last date,
-    category / state names looked up by id (broadcast joins with the fixed fallback lists)."""
-    cats = F.broadcast(dim_categories.select(F.col("id").cast("string").alias("_cid"),
-                                             F.col("name").alias("category")))
-    sts = F.broadcast(dim_states.select(F.col("id").cast("string").alias("_sid"), F.col("name").alias("state")))
+    category / state names looked up by id (the first row of an id by ordinal)."""
+    def by_id(dim, key, name):
+        return unique_dim(dim.select("ordinal", F.col("id").cast("string").alias(key), F.col("name").alias(name)),
+                          key, "ordinal").drop("ordinal")
+
+    cats, sts = by_id(dim_categories, "_cid", "category"), by_id(dim_states, "_sid", "state")
     tp = F.coalesce(leading_int(F.col("total_posts").cast("string")), F.lit(0))
     typ = N.ucwords(F.replace(F.coalesce(F.col("type"), F.lit("")), F.lit("_"), F.lit(" ")))
     out = (df.withColumn("_cid", F.col("category_id").cast("string"))

@@ -46,7 +46,8 @@ def postings_raw_cte(name: str = "postings_raw") -> str:
 
     def date_field(off):
         base = f"(CASE WHEN {k} % 19 = 0 THEN od ELSE CAST(od + INTERVAL 28 YEAR AS DATE) END)"
-        real = f"strftime(CAST({base} + {off} AS DATE), '%Y-%m-%d')"
+        spelt = ", ".join(f"strftime(CAST({base} + {off} AS DATE), {q.s(f)})" for f in FX.DATE_SPELLINGS_SQL)
+        real = f"([{spelt}][({k} + {abs(off)}) % {len(FX.DATE_SPELLINGS)} + 1])"
         return f"(CASE WHEN {k} % 13 = 0 THEN '' WHEN {k} % 17 = 0 THEN 'As per notice' ELSE {real} END)"
 
     org = f"replace({_pick(FX.ORGANIZATIONS, m(9))}, '{{nation}}', coalesce(n.n_name, ''))"
@@ -139,6 +140,9 @@ def responses_cte(name: str = "responses") -> str:
 {name} AS (
   SELECT post_id AS response_id, post_id % (SELECT count(*) FROM pages) AS page_id,
     CASE WHEN post_id % 50 = 49 THEN {q.s(FX.NOT_JSON)}
+         WHEN post_id % 50 = 44 THEN full_body || ' extra'
+         WHEN post_id % 50 = 39 THEN full_body || '}}'
+         WHEN post_id % 50 = 34 THEN '{{"title":"first","total_posts":"7",' || substring(full_body, 2)
          WHEN post_id % 5 = 0 THEN '```json' || chr(10) || full_body || chr(10) || '```'
          WHEN post_id % 5 = 1 THEN substring(full_body, 1, CAST((length(full_body) * 3) // 5 AS INTEGER))
          WHEN post_id % 5 = 2 THEN substring(full_body, 1, strpos(full_body, '"title":"') + 11)

@@ -151,7 +151,7 @@ def page_title_sql(html: str) -> str:
 
 def detect_type_sql(url: str, title: str, html: str) -> str:
     low = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-    hay = (f"(translate({title} || ' ' || {q.byte_cut(html, rules.TYPE_WINDOW_BYTES)}, {low}) || ' ' || "
+    hay = (f"(translate({title} || ' ' || {html}, {low}) || ' ' || "
            f"lower({q.url_path(url)}))")
     parts = []
     for typ, words in rules.TYPE_KEYWORDS:
@@ -203,8 +203,7 @@ texts AS (
   SELECT page_id, url, html, {text} AS t0 FROM ok),
 facts AS (
   SELECT page_id, url,
-         CASE WHEN length(t0) > {rules.TEXT_MAX_CHARS}
-              THEN substring(t0, 1, {rules.TEXT_MAX_CHARS}) || ' [truncated]' ELSE t0 END AS text,
+         t0 AS text,
          {page_title_sql('html')} AS page_title,
          {featured_image_sql('html', 'url')} AS featured_image,
          html
@@ -235,9 +234,3 @@ def ext_pages_sql(select: str) -> str:
 gated AS ({gated_pages_sql('pages_ext')}),
 ok AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL)
 SELECT {select} FROM ok"""
-
-
-def text_capped_sql(html: str) -> str:
-    t0 = html_to_text_sql(html)
-    return (f"(SELECT CASE WHEN length(t0) > {rules.TEXT_MAX_CHARS} THEN substring(t0, 1, {rules.TEXT_MAX_CHARS})"
-            f" || ' [truncated]' ELSE t0 END FROM (SELECT {t0} AS t0))")

@@ -10,7 +10,6 @@ from gazette.oracle.fixtures_sql import postings_raw_cte
 
 NO_DATE = "Check Notification"
 PAIR_REPL = "\\1,"  # RE2 replacement: group 1 then a comma
-DUCK_DATE_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%d-%m-%Y", "%Y/%m/%d", "%d.%m.%Y"]
 
 
 def with_postings(select: str, tail: str = "", src: str = "postings_raw") -> str:
@@ -34,8 +33,16 @@ def lint(e):
 
 
 def parse_date(e):
-    fmts = "[" + ", ".join(s(f) for f in DUCK_DATE_FORMATS) + "]"
-    return f"CAST(try_strptime({q.php_trim(nz(e))}, {fmts}) AS DATE)"
+    def date(form):
+        rx, y, m, d = form
+        month = q.rext("t", rx, m)
+        number = f"coalesce(TRY_CAST({month} AS INTEGER), (strpos({s(rules.MONTHS)}, {month}[1:3]) + 2) // 3)"
+        day = f"TRY_CAST({q.rext('t', rx, d)} AS INTEGER)"
+        return (f"CASE WHEN {q.rlike('t', rx)} AND {number} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31 THEN "
+                f"make_date(CAST({q.rext('t', rx, y)} AS INTEGER), {number}, 1) + ({day} - 1) END")
+
+    text = q.rrep(f"lower({q.php_trim(nz(e))})", rules.WEEKDAY_RX, "")
+    return f"(SELECT coalesce({', '.join(date(f) for f in rules.DATE_FORMS)}) FROM (SELECT {text} AS t))"
 
 
 def safe_date(e, fallback=NO_DATE):
@@ -284,7 +291,7 @@ def prepare_publish_sql(site: SiteConfig = DEFAULT_SITE) -> str:
     tp = f"CASE WHEN {blank('total_posts')} THEN NULL ELSE {lint('total_posts')} END"
     slug = derive_slug("organization", "title", "short_description", "total_posts", site)
     src = f"{nz('title')} || ' ' || {nz('short_description')} || ' ' || {q2.strip_tags(nz('content'))}"
-    cat, st = correct_category()
+    cat, _ = correct_category()
     tmap = "MAP {" + ", ".join(f"{s(k)}: {s(v)}" for k, v in rules.TYPE_CATEGORY) + "}"
     y = site.as_of_year
     items = (f"[{nz('organization')}, {nz('title')}, {nz('organization')} || ' recruitment {y}', "
@@ -303,7 +310,7 @@ ok AS (SELECT * REPLACE ({links20} AS important_links, {tp} AS total_posts) FROM
 sl AS (SELECT *, {slug} AS slug FROM ok),
 org AS (SELECT * REPLACE ({resolve_organization('organization', 'title')} AS organization) FROM sl),
 ed AS (SELECT * REPLACE ({detect_education(src, 'education')} AS education, {default_tags()} AS tags) FROM org),
-cc AS (SELECT * REPLACE ({cat} AS category_name, {st} AS state_name) FROM ed),
+cc AS (SELECT * REPLACE ({cat} AS category_name) FROM ed),
 ci AS (SELECT * REPLACE (CAST(coalesce({cmap}[category_name], category_id) AS BIGINT) AS category_id) FROM cc),
 kw AS (SELECT * REPLACE (CASE WHEN {blank('meta_keywords')} THEN {kw} ELSE meta_keywords END AS meta_keywords,
                          {pdf} AS important_links) FROM ci)

@@ -6,9 +6,11 @@ same text as on the Spark side, passed through ``regex.re2``.
 
 from __future__ import annotations
 
+import functools
+
 from gazette.functions import rules
 from gazette.functions.regex import re2, sql_str
-from gazette.functions.text import LEADING_NUM_RX, NUMERIC_RX
+from gazette.functions.text import ENTITY_RX, LEADING_NUM_RX, NUMERIC_RX, TAG_RX, named_entities
 from gazette.functions.urls import (HAS_HTTP_RX, HOST_RX, PATH_RX, QUERY_RX, SCHEME_RX,
                                     URL_VALID_RX)
 
@@ -40,14 +42,26 @@ def php_trim(e: str) -> str:
 
 
 def strip_tags(e: str) -> str:
-    return rrep(e, "<[^>]*>", "")
+    return rrep(e, TAG_RX, "")
+
+
+@functools.cache
+def _named() -> str:
+    return "MAP {" + ", ".join(f"{s(k)}: {s(v)}" for k, v in named_entities().items()) + "}"
 
 
 def decode_entities(e: str) -> str:
-    out = e
-    for ent, ch in rules.HTML_ENTITIES:
-        out = f"replace({out}, {s(ent)}, {s(ch)})"
-    return out
+    """The text between the references, each followed by its decoded reference."""
+    ent = f"regexp_extract_all({e}, {s(ENTITY_RX)})[i]"
+    digits = f"regexp_extract({ent}, '([0-9a-fA-F]+);$', 1)"
+    cp = f"(CASE WHEN lower({ent}[3]) = 'x' THEN ('0x' || {digits})::BIGINT ELSE {digits}::BIGINT END)"
+    ok = (f"(({cp} BETWEEN 32 AND 126 OR {cp} IN (9, 10, 12) OR {cp} >= 160) AND {cp} <= 1114111 AND {cp} NOT BETWEEN 55296 AND 57343"
+          f" AND {cp} NOT BETWEEN 64976 AND 65007 AND {cp} % 65536 < 65534)")
+    one = (f"(CASE WHEN {ent} IS NULL THEN '' WHEN starts_with({ent}, '&#') THEN CASE WHEN {ok} THEN chr({cp}::INTEGER) ELSE {ent} END "
+           f"ELSE coalesce({_named()}[{ent}], {ent}) END)")
+    parts = f"string_split_regex({e}, {s(ENTITY_RX)})"
+    return (f"(CASE WHEN regexp_matches({e}, {s(ENTITY_RX)}) THEN "
+            f"array_to_string(list_transform({parts}, lambda part, i: part || {one}), '') ELSE {e} END)")
 
 
 def is_blank_str(e: str) -> str:

@@ -32,7 +32,8 @@ BODY_SNIPPETS = [
     '<a href="https://bad_host.gov.in/x">Underscore host</a><a href="https://-bad.nic.in/y">Dash label</a>'
     '<a href="https://ok.nic.in/caf\xe9">Non ascii</a>',
     '<img src="/img/ten.jpg">',
-    '',
+    '<p>Age < 30 and marks > 50 count</p><a title="x > y" href="https://ssc.nic.in/go">Go &rsquo;x&rsquo; &#8377;9</a>'
+    '<p>India&rsquo;s fee &#8377;100 &hellip; &#x2013; &bogus; &#0; &#xD800; &amp;lt; &notin;</p>',
     '<img src="/static/logo.png"><img src="https://img.example.com/anim.gif">'
     '<img src="data:image/png;base64,AAAA"><img src="/img/a.jpg"><img src="//img.example.com/b.jpg">',
     '<h2>Admit Card released</h2><p>result soon</p>',
@@ -142,6 +143,11 @@ META_KEYWORDS = ["", "ssc, jobs, , 2024 ,apply", "a,b,c"]
 SOURCE_URLS = ["", "https://www.sarkariresult.com/ssc-cgl", "https://news.example.net/jobs/1"]
 DATE_OFFSETS = [("notification_date", 0), ("start_date", 5), ("last_date", 30),
                 ("interview_date_from", 45), ("waitlist_date", 60), ("age_as_on_date", -10)]
+# how a model may spell a date, by (key + day offset) modulo their number, and the same for SQL
+DATE_SPELLINGS = ["yyyy-MM-dd", "d MMMM yyyy", "MMMM d, yyyy", "dd-MMM-yyyy", "yyyy-M-d", "yyyyMMdd", "M/d/yyyy",
+                  "dd.MM.yyyy 10:30", "EEEE, d MMM yyyy", "yyyy-MM-dd'T'09:30:00", "dd-MM-yyyy"]
+DATE_SPELLINGS_SQL = ["%Y-%m-%d", "%-d %B %Y", "%B %-d, %Y", "%d-%b-%Y", "%Y-%-m-%-d", "%Y%m%d", "%-m/%-d/%Y",
+                      "%d.%m.%Y 10:30", "%A, %-d %b %Y", "%Y-%m-%dT09:30:00", "%d-%m-%Y"]
 FAQ_EXTRAS = [("", "Answer without a question"), ("Question without an answer?", ""),
               ("<b>Is it free?</b>", "<p>Yes &amp; no</p>")]
 
@@ -192,7 +198,9 @@ def postings_raw(orders, customer, nation, part, documents, conversations,
     shifted = F.add_months("od", 336)
 
     def date_field(offset):
-        real = F.date_format(F.date_add(F.when(k % 19 == 0, F.col("od")).otherwise(shifted), offset), "yyyy-MM-dd")
+        day = F.date_add(F.when(k % 19 == 0, F.col("od")).otherwise(shifted), offset)
+        which = (k + abs(offset)) % len(DATE_SPELLINGS)
+        real = F.coalesce(*[F.when(which == i, F.date_format(day, f)) for i, f in enumerate(DATE_SPELLINGS)])
         return (F.when(k % 13 == 0, F.lit("")).when(k % 17 == 0, F.lit("As per notice")).otherwise(real))
 
     org = F.replace(_k_pick(ORGANIZATIONS, m(9)), F.lit("{nation}"), F.coalesce(F.col("n_name"), F.lit("")))
@@ -287,7 +295,8 @@ NOT_JSON = "Sorry, I cannot help with that request."
 
 def responses(postings: DataFrame, n_pages: int) -> DataFrame:
     """One model answer per posting: k % 5 = 0 fenced; 1 cut at 60 %; 2 cut inside the title
-    string; 3 cut after a comma past the middle; 4 whole; k % 50 = 49 not JSON."""
+    string; 3 cut after a comma past the middle; 4 whole; k % 50 = 49 not JSON, 44 and 39 whole with
+    text behind it, 34 whole with two keys given twice."""
     k = F.col("post_id")
     body = F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c not in
                                 ("tags", "education", "important_links", "faq") else F.col(c)
@@ -295,7 +304,7 @@ def responses(postings: DataFrame, n_pages: int) -> DataFrame:
     df = postings.select("post_id", body.alias("full_body"))
     n = F.length("full_body")
     half = F.floor(n / 2).cast("int")
-    rel = F.instr(F.substring(F.col("full_body"), half + 1, 1 << 30), ",")
+    rel = F.instr(F.substring(F.col("full_body"), half + 1, n), ",")
     comma = F.when(rel > 0, rel + half).otherwise(F.lit(0))
     m = (k % 5).cast("int")
     cut = (F.when(m == 0, F.concat(F.lit("```json\n"), F.col("full_body"), F.lit("\n```")))
@@ -303,7 +312,11 @@ def responses(postings: DataFrame, n_pages: int) -> DataFrame:
            .when(m == 2, F.substring("full_body", 1, F.locate('"title":"', F.col("full_body")) + 11))
            .when((m == 3) & (comma > 0), F.substring("full_body", 1, comma))
            .otherwise(F.col("full_body")))
-    body = F.when(k % 50 == 49, F.lit(NOT_JSON)).otherwise(cut)
+    body = (F.when(k % 50 == 49, F.lit(NOT_JSON))
+            .when(k % 50 == 44, F.concat(F.col("full_body"), F.lit(" extra")))
+            .when(k % 50 == 39, F.concat(F.col("full_body"), F.lit("}")))
+            .when(k % 50 == 34, F.concat(F.lit('{"title":"first","total_posts":"7",'), F.substring("full_body", F.lit(2), n)))
+            .otherwise(cut))
     return df.select(k.alias("response_id"), (k % n_pages).alias("page_id"), body.alias("body"))
 
 

@@ -11,10 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.session import materialize
-
 from gazette.config import DEFAULT_SITE, SiteConfig
-from gazette.functions.text import is_blank_str, nz, strip_tags
+from gazette.functions.text import empty_strs, is_blank_str, nz, strip_tags
 from gazette.operators import enrich as E
 from gazette.operators import normalize as N
 from gazette.operators import posting_links as PL
@@ -24,7 +22,7 @@ from gazette.operators import validate as V
 def prepare_publish(postings: DataFrame, site: SiteConfig = DEFAULT_SITE,
                     dim_category: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     df = E.resolve_category_id(postings, dim_category, prefer_name=False)  # E6 (name -> id when blank)
-    df = materialize(V.require_fields(df))                       # V1 (gated once, split twice)
+    df = V.require_fields(df)                                    # V1: plain filters on five columns
     rejects = df.filter(F.col("reject_reason").isNotNull()).select("post_id", "reject_reason")
     df = df.filter(F.col("reject_reason").isNull()).drop("reject_reason", "missing")
     df = N.null_blank_fields(df)                                 # N3
@@ -39,17 +37,19 @@ def prepare_publish(postings: DataFrame, site: SiteConfig = DEFAULT_SITE,
     df = df.withColumn("_src", F.concat(nz("title"), F.lit(" "), nz("short_description"), F.lit(" "),
                                         strip_tags(nz("content"))))
     df = df.withColumn("_src_l", F.lower("_src"))              # one lower-cased text for E1 and E4
-    hits = E.literal_hits(F.col("_src_l"), E.detection_literals())  # one literal scan for E1 and E4
-    h = None
-    if hits is not None:
-        df, h = df.withColumn("_src_hits", hits), "_src_hits"
+    blank = (F.size(F.coalesce("education", empty_strs())) == 0) | (F.size(F.coalesce("tags", empty_strs())) == 0)
+    # one literal scan for E1 and E4, only where one of them has something to fill in
+    df = df.withColumn("_src_hits", E.literal_hits(F.when(blank, F.col("_src_l")), E.detection_literals()))
+    h = "_src_hits"
     df = E.detect_education(df, "_src", lowered="_src_l", hits=h)  # E1 (only when empty)
     df = E.default_tags(df, lowered_src="_src_l", hits=h)        # E4
-    df = E.correct_category(df)                                  # E5
+    # E5 corrects a copy: only the category follows it, the posting's own state stays (the keywords name it)
+    df = E.correct_category(df.withColumn("_state", F.col("state_name")))
+    df = df.withColumn("state_name", F.col("_state")).drop("_state")
     df = E.resolve_category_id(df, dim_category)                # corrected name -> id
-    df = E.override_category_by_type(df)                         # E7
+    df = E.override_category_by_type(df, dim_category)           # E7
     df = N.correct_salary_type(df)                               # N8
     df = N.default_keywords(df, site)                            # N19
     df = df.withColumn("important_links", PL.inject_pdf_link("important_links", "notification_pdf"))  # L18
-    df = V.drop_transient_fields(df.drop(*[c for c in ("_src", "_src_l", "_src_hits") if c in df.columns]))  # V2
+    df = V.drop_transient_fields(df.drop("_src", "_src_l", "_src_hits"))  # V2
     return df, rejects

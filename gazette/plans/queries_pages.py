@@ -155,21 +155,19 @@ def q_title_table(spark, sf_dir):
                       L.link_kind(F.lower("title")).alias("kind"))
 
 
-@register("p1_extract_text", PS.ext_pages_sql(f"page_id, {PS.text_capped_sql('html')} AS text"))
+@register("p1_extract_text", PS.ext_pages_sql(f"page_id, {PS.html_to_text_sql('html')} AS text"))
 def q_extract_text(spark, sf_dir):
     return P.extract_text(_ext_ok(spark, sf_dir)).select("page_id", "text")  # noqa: E501
 
 
+P2_MIN_BYTES = 1200  # between the shortest and the longest of the supplied pages, so that both branches occur
+
+
 @register("p2_reject_short", f"""WITH {pages_ext_cte()}
-cut AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN substring(html, 1, 300) ELSE html END AS html
-        FROM pages_ext)
-SELECT page_id, CAST(strlen(t) AS BIGINT) AS chars, strlen(t) >= 100 AS accepted
-FROM (SELECT page_id, {PS.text_capped_sql('html')} AS t FROM cut)""")
+texts AS (SELECT page_id, {PS.html_to_text_sql('html')} AS t FROM pages_ext)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS chars, strlen(t) >= {P2_MIN_BYTES} AS accepted FROM texts""")
 def q_reject_short(spark, sf_dir):
-    df = pages_ext(_pages(spark, sf_dir))
-    df = df.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.substring("html", 1, 300))
-                       .otherwise(F.col("html")))
-    ok, bad = P.reject_short(P.extract_text(df))
+    ok, bad = P.reject_short(P.extract_text(pages_ext(_pages(spark, sf_dir))), min_bytes=P2_MIN_BYTES)
     return (ok.withColumn("accepted", F.lit(True)).unionByName(bad.drop("reason").withColumn("accepted", F.lit(False)))
               .select("page_id", F.col("chars").cast("long").alias("chars"), "accepted"))
 

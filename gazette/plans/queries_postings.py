@@ -214,14 +214,14 @@ def q_n19(spark, sf_dir):
 
 def _desc_sql():
     d0 = q.php_trim(q.strip_tags(S.nz("short_description")))
-    d1 = f"(CASE WHEN {S.blank(d0)} THEN {q.php_trim(q.byte_cut(q.strip_tags(S.nz('title')), 300))} ELSE {d0} END)"
+    d1 = f"(CASE WHEN {S.blank(d0)} THEN {q.php_trim(q.strip_tags(S.nz('title')))} ELSE {d0} END)"
     ld = S.parse_date("last_date")
     extras = (f"concat_ws('. ', CASE WHEN NOT {S.blank('total_posts')} AND {S.lint('total_posts')} > 0 THEN "
               f"'Total Vacancies: ' || total_posts END, CASE WHEN NOT {S.blank('salary')} THEN 'Salary: ' || "
               f"{q.strip_tags('salary')} END, CASE WHEN NOT {S.blank('last_date')} AND {ld} IS NOT NULL THEN "
               f"'Last Date: ' || strftime({ld}, '%d-%m-%Y') END)")
     full = f"(CASE WHEN {extras} <> '' THEN {d1} || ' ' || {extras} || '.' ELSE {d1} END)"
-    return W(f"post_id, {q.byte_cut(full, 5000)} AS description")
+    return W(f"post_id, {full} AS description")
 
 
 @register("n20_description_text", _desc_sql())
@@ -341,7 +341,8 @@ def _e8_sql(name_col, entries, prefix):
 
 @register("e8_match_state", _e8_sql("state_name", rules.FALLBACK_STATES, "state"))
 def q_e8s(spark, sf_dir):
-    p = E.match_dim_by_name(_p(spark, sf_dir), "state_name", rules.FALLBACK_STATES, "state")
+    from gazette.sources.dims import dim_state
+    p = E.match_dim_table(_p(spark, sf_dir), "state_name", dim_state(spark), "state")
     return p.select("post_id", F.col("state_name").alias("name"), "state_id", "state_match",
                     F.col("state_score").cast("long").alias("state_score"))
 
@@ -735,7 +736,7 @@ def q_l14(spark, sf_dir):
 
 def _merge_sql():
     from gazette.oracle.fixtures_sql import pages_ext_cte
-    from gazette.oracle.pages_sql import gated_pages_sql, links_ctes, text_capped_sql, title_server_sql
+    from gazette.oracle.pages_sql import gated_pages_sql, links_ctes, title_server_sql
     cand_url = q.with_scheme("lk.url")
     n = "row_number() OVER (PARTITION BY post_id ORDER BY src, ord)"
     chan = []
@@ -745,8 +746,7 @@ def _merge_sql():
                     f"GROUP BY p.post_id HAVING count(*) FILTER (WHERE contains(t.url, {S.s(marker)})) = 0")
     return f"""WITH {pages_ext_cte()}
 gated AS ({gated_pages_sql('pages_ext')}),
-ok0 AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL),
-ok AS (SELECT * FROM ok0 WHERE strlen({text_capped_sql('html')}) >= 100),
+ok AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL),
 {links_ctes('ok')},
 official AS (SELECT page_id, pos, link_url AS url,
     {title_server_sql('title', 'link_url', 'row_number() OVER (PARTITION BY page_id ORDER BY pos)')} AS title
@@ -770,10 +770,11 @@ FROM posts p LEFT JOIN withchan w USING (post_id) GROUP BY p.post_id"""
 @register("l15_l16_l17_merge_links", _merge_sql())
 def q_merge(spark, sf_dir):
     from gazette.plans.fixtures import pages_ext
-    from gazette.plans.scrape import scrape_batch
+    from gazette.plans.scrape import official_links
     from gazette.session import read_table
+    from gazette.sources.pages import gate_pages, split_rejects
     pages = read_table(spark, sf_dir, "pages")
-    facts = scrape_batch(pages_ext(pages))[0].select("page_id", "official_links")
+    facts = official_links(split_rejects(gate_pages(pages_ext(pages)))[0]).select("page_id", "official_links")
     p = _p(spark, sf_dir).withColumn("page_id", F.col("post_id") % pages.count())
     p = p.join(facts, "page_id", "left")
     cand = PL.sanitize_candidate_links("important_links", "source_url", SITE)
@@ -957,6 +958,46 @@ def q_s7(spark, sf_dir):
     return docs.select("post_id", "kind", F.get_json_object("json", "$['@type']").alias("doc_type"))
 
 
+# ---------------------------------------------------------------- S5, S6
+
+@register("s5_load_dims", f"""WITH fallback AS (
+  SELECT unnest([{', '.join(str(i) for i, _ in rules.FALLBACK_STATES)}]) AS id,
+         unnest([{', '.join(S.s(n) for _, n in rules.FALLBACK_STATES)}]) AS name)
+SELECT 'live' AS source, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation
+UNION ALL SELECT 'missing', CAST(id AS VARCHAR), name FROM fallback
+UNION ALL SELECT 'repeated', CAST(min(p_partkey) AS VARCHAR), p_name FROM part GROUP BY p_name""")
+def q_s5(spark, sf_dir):
+    """A live table, a missing one (the fallback list) and one with repeated names made unique."""
+    from gazette.sources.dims import dim_state, load_dim, unique_dim
+    live = load_dim(spark, f"{sf_dir}/nation.parquet", dim_state(spark))
+    missing = load_dim(spark, f"{sf_dir}/no_such_dimension.parquet", dim_state(spark))
+    names = unique_dim(load_dim(spark, f"{sf_dir}/part.parquet", dim_state(spark)).select("p_name", "p_partkey"), "p_name", "p_partkey")
+    rows = [("live", live, "n_nationkey", "n_name"), ("missing", missing, "id", "name"), ("repeated", names, "p_partkey", "p_name")]
+    out = [d.select(F.lit(kind).alias("source"), F.col(i).cast("string").alias("id"), F.col(n).alias("name")) for kind, d, i, n in rows]
+    return out[0].union(out[1]).union(out[2])
+
+
+_REQUIRED = ["title", "type", "short_description", "content", "category_id"]
+
+
+@register("s6_write_postings", f"""WITH {S.postings_raw_cte()}
+g AS (SELECT *, {' OR '.join(S.blank(f) for f in _REQUIRED)} AS bad FROM postings_raw)
+SELECT CASE WHEN bad THEN 'quarantine' ELSE 'postings' END AS place, type, count(*) AS n, CAST(sum(post_id) AS BIGINT) AS id_sum
+FROM g GROUP BY ALL""")
+def q_s6(spark, sf_dir):
+    """Postings written by type next to the quarantine of rejected ones, then read back."""
+    import uuid
+
+    from gazette.operators import validate as V
+    from gazette.session import shared_path
+    from gazette.sources.sinks import write_postings
+    gated = V.require_fields(_p(spark, sf_dir).select("post_id", *_REQUIRED))
+    out = shared_path(spark, f"s6-{uuid.uuid4().hex}")
+    write_postings(gated.filter("reject_reason is null"), gated.filter("reject_reason is not null"), out)
+    back = [spark.read.parquet(f"{out}/{place}").select(F.lit(place).alias("place"), "type", "post_id") for place in ("postings", "quarantine")]
+    return back[0].union(back[1]).groupBy("place", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("post_id").cast("long").alias("id_sum"))
+
+
 # ---------------------------------------------------------------- E1 + E2 on the supplied documents (text mode, S2)
 
 @register("e1_e2_documents", f"""WITH docs AS (SELECT doc_id, {q.php_trim('coalesce(text, chr(0))')} AS text FROM documents),

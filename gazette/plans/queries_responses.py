@@ -31,8 +31,14 @@ _VALID = "(json_valid({x}) AND starts_with({x}, '{{'))"
     "base AS (SELECT * FROM responses)", f"base AS (SELECT *, {_CLEAN} AS clean FROM responses)"))
 def q_s4(spark, sf_dir):
     r = load_responses(spark, sf_dir).withColumn("clean", RS.strip_fences("body"))
-    return (r.filter(~RS.is_json_object(F.col("clean")))
-             .select("response_id", RS.repair_truncated_json("clean").alias("repaired")))
+    with RS.last_key_wins(spark):
+        r = r.filter(~F.coalesce(RS.is_json_object(F.col("clean")), F.lit(False)))
+    return r.select("response_id", RS.repair_truncated_json("clean").alias("repaired"))
+
+
+def _last(field: str) -> str:
+    """The value of the last of equal keys (the JSON functions return the first)."""
+    return f"(list_filter(list_zip(json_keys(j), json_extract(j, '$.*')), lambda x: x[1] = '{field}')[-1][2] ->> '$')"
 
 
 def _s3_sql():
@@ -44,8 +50,8 @@ def _s3_sql():
             f"c AS (SELECT *, {_CLEAN} AS clean FROM responses),\n"
             f"f AS (SELECT *, CASE WHEN NOT {_VALID.format(x='clean')} THEN {fixed} END AS fixed FROM c),\n"
             f"t AS (SELECT response_id, page_id, {status} AS parse_status, {text} AS j FROM f)\n"
-            "SELECT response_id, page_id, parse_status, json_extract_string(j, '$.title') AS title, "
-            "json_extract_string(j, '$.type') AS type, json_extract_string(j, '$.total_posts') AS total_posts, "
+            f"SELECT response_id, page_id, parse_status, {_last('title')} AS title, "
+            f"json_extract_string(j, '$.type') AS type, {_last('total_posts')} AS total_posts, "
             "json_extract_string(j, '$.organization') AS organization, json_extract_string(j, '$.last_date') AS last_date, "
             "CAST(json_array_length(j, '$.tags') AS INTEGER) AS n_tags, "
             "CAST(json_array_length(j, '$.important_links') AS INTEGER) AS n_links FROM t")

@@ -11,16 +11,16 @@ from gazette.operators import links as L
 from gazette.oracle import pages_sql as PS
 from gazette.plans.registry import register
 from gazette.session import shared_path
-from gazette.streaming.scrape import read_page_stream, stream_first_seen, stream_scrape
+from gazette.streaming.scrape import read_facts, read_page_stream, stream_first_seen, stream_scrape
 
 
 @register("t1_stream_scrape", PS.page_facts_sql("pages"))
 def q_t1(spark, sf_dir):
     run = uuid.uuid4().hex
     sink = shared_path(spark, f"t1-{run}")
-    q = stream_scrape(spark, f"{sf_dir}/pages.parq*", sink, name=f"t1_{run[:12]}")
+    q = stream_scrape(spark, f"{sf_dir}/pages.parq*", sink, f"{sink}-checkpoint", name=f"t1_{run[:12]}")
     q.awaitTermination()
-    facts = spark.read.parquet(f"{sink}/facts")
+    facts = read_facts(spark, sink)
     return facts.select("page_id", "url", "text", F.col("chars").cast("long").alias("chars"),
                         L.links_text(F.col("official_links")).alias("official_links"),
                         F.col("skipped_count").cast("long").alias("skipped_count"),

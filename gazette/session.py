@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -31,36 +31,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
         builder = builder.config(k, v)
-    spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    return spark
+    return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this is set by the deployment and is only read here.  When it
-    is unset (local tests) a folder is made for this run.
-    """
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the folder that ``spark.checkpoint.dir`` names, which the driver and all executors
+    share.  Unset, a folder is only made up for a session whose tasks run in this one process."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="gazette-ckpt-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="gazette-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder, for written intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    return f"{d.rstrip('/')}/{name}"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` into the shared checkpoint folder (eager).  Used where one
-    computed frame feeds two outputs or a filter on an expensive derived column."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the expensive column ``value``, computed once per row: Spark does not push a later
+    filter on it (or on what derives from it) below the generator, where it would be computed twice."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))

@@ -1,19 +1,17 @@
 """Dimensions (S5): live tables when they have rows, else the fixed fallback lists.
 
-Every dimension here is a short, fixed-size list (tens of rows) — the only
-tables this package ever broadcasts.  A live table is checked against
-``MAX_DIM_ROWS`` before it replaces a fallback, so a broadcast never grows
-with the data.
+The fallback lists have tens of rows; a live table may have any number.  Lookups
+join the dimension made unique by its key, and Spark picks the join by its size.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gazette.functions import rules
 
-MAX_DIM_ROWS = 10_000
-
 
 def dim_category(spark: SparkSession) -> DataFrame:
     """Name aliases -> category id (30 rows)."""
@@ -44,18 +42,24 @@ def vocab(spark: SparkSession, kind: str) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "code string")
 
 
+def unique_dim(dim: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per non-null ``key``: the first by ``order`` (else by all columns), so that a lookup
+    join never multiplies rows.  There is no broadcast hint: Spark broadcasts the result where it
+    measures it as small and shuffles it otherwise, with the same rows."""
+    cols = ([order] if order else []) + [c for c in dim.columns if c not in (key, order)]
+    first = dim.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*cols)).alias("_d"))
+    return first.select(key, *[F.col("_d")[c].alias(c) for c in cols])
+
+
 def load_dim(spark: SparkSession, path: str | None, fallback: DataFrame) -> DataFrame:
-    """The live dimension at ``path`` if it exists and has rows (and is dimension-sized),
-    else the fallback list.  The emptiness check reads one row; the size check is a count
-    bounded by ``MAX_DIM_ROWS + 1`` rows."""
-    if path:
-        try:
-            live = spark.read.parquet(path)
-        except Exception:  # missing or unreadable: use the fallback, as the source does
+    """The live dimension at ``path`` if it exists and has rows, else the fallback list.  Any
+    other error (rights, storage, a broken file) is raised: a fallback would change ids unseen."""
+    if not path:
+        return fallback
+    try:
+        live = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no such table, or no file in it
             return fallback
-        if not live.isEmpty():
-            n = live.limit(MAX_DIM_ROWS + 1).count()
-            if n > MAX_DIM_ROWS:
-                raise ValueError(f"dimension at {path} has more than {MAX_DIM_ROWS} rows; not a dimension")
-            return live
-    return fallback
+        raise
+    return fallback if live.isEmpty() else live

@@ -7,13 +7,14 @@ character scan costs nothing for well-formed answers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import contextlib
 
-from gazette.session import materialize
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gazette.functions.regex import java
 from gazette.functions.text import php_trim
+from gazette.session import once
 
 # Every field a response may carry; scalars stay strings (the model may put numbers or
 # text anywhere), lists are typed.
@@ -40,8 +41,31 @@ def strip_fences(body) -> Column:
     return php_trim(F.regexp_replace(b, java(FENCE_RX, ci=True), ""))
 
 
+ALLOW_DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+@contextlib.contextmanager
+def last_key_wins(spark: SparkSession):
+    """Of equal keys in an object the last one counts, in what is analysed inside the block."""
+    was = spark.conf.get(ALLOW_DUPLICATE_KEYS)
+    spark.conf.set(ALLOW_DUPLICATE_KEYS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ALLOW_DUPLICATE_KEYS, was)
+
+
+def parse_object(text: Column) -> Column:
+    """A VARIANT of {"v": <object>} when the whole text is one JSON object, else null.
+
+    The parser stops after the first value, so the text is parsed inside an object (which trailing
+    text breaks, but for a further ``}``) and counted inside an array (which a further ``}`` breaks)."""
+    whole = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.when(text.startswith("{") & whole, F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))))
+
+
 def is_json_object(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull() & text.startswith("{")
+    return parse_object(text).isNotNull()
 
 
 # the only tokens that can change the repair state: a backslash with the character after it,
@@ -92,19 +116,17 @@ def read_responses(responses: DataFrame, body: str = "body") -> DataFrame:
 
     Each text is parsed once into a VARIANT (the repaired text only when the first parse
     fails); fields are read from the variant, scalars as their text, lists typed."""
-    df = responses.withColumn("_clean", strip_fences(body))
-    df = df.withColumn("_v1", F.try_parse_json(F.col("_clean")))
-    df = df.withColumn("_ok1", F.col("_v1").isNotNull() & F.col("_clean").startswith("{"))
-    df = df.withColumn("_fixed", F.when(~F.col("_ok1"), repair_truncated_json(F.col("_clean"))))
-    df = df.withColumn("_v2", F.when(~F.col("_ok1"), F.try_parse_json(F.col("_fixed"))))
-    df = df.withColumn("_ok2", F.coalesce(F.col("_v2").isNotNull() & F.col("_fixed").startswith("{"), F.lit(False)))
-    status = (F.when(F.col("_ok1"), F.lit("parsed")).when(F.col("_ok2"), F.lit("repaired"))
+    with last_key_wins(responses.sparkSession):
+        df = responses.withColumn("_clean", strip_fences(body))
+        df = once(df, "_v1", parse_object(F.col("_clean")))
+        df = df.withColumn("_fixed", F.when(F.col("_v1").isNull(), repair_truncated_json(F.col("_clean"))))
+        df = once(df, "_v2", F.when(F.col("_v1").isNull(), parse_object(F.col("_fixed"))))
+    status = (F.when(F.col("_v1").isNotNull(), F.lit("parsed")).when(F.col("_v2").isNotNull(), F.lit("repaired"))
               .otherwise(F.lit("rejected")))
-    df = df.withColumn("parse_status", status).withColumn(
-        "_v", F.when(F.col("_ok1"), F.col("_v1")).when(F.col("_ok2"), F.col("_v2")))
+    df = df.withColumn("parse_status", status).withColumn("_v", F.coalesce("_v1", "_v2"))
 
     def get(field, typ):
-        return F.try_variant_get(F.col("_v"), f"$.{field}", typ)
+        return F.try_variant_get(F.col("_v"), f"$.v.{field}", typ)
 
     cols = [get(f, "string").alias(f) for f in RESPONSE_FIELDS]
     cols += [get(f, t).alias(f) for f, t in LIST_FIELDS]
@@ -113,11 +135,8 @@ def read_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     return df.select(*responses.columns, "parse_status", *cols)
 
 
-def split_responses(parsed: DataFrame, checkpointed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(parsed, rejects).  The parse is checkpointed once (shared checkpoint folder): a filter on
-    its status would otherwise be pushed under the projection and re-run parse and repair."""
-    if checkpointed:
-        parsed = materialize(parsed)
+def split_responses(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parsed, rejects), split by filters on the status; the parse stays below them and runs once."""
     ok = parsed.filter(F.col("parse_status") != "rejected")
     bad = (parsed.filter(F.col("parse_status") == "rejected")
                  .withColumn("reject_reason", F.lit("Failed to parse AI response")))

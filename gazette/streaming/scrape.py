@@ -3,23 +3,19 @@
 T1: the page-facts plan over a file stream of pages.  Every scrape step is
 row-wise and the links of a page travel inside its row, so each micro-batch is
 processed by the same batch plan (``foreachBatch``) with exactly the batch
-results; the sink is an idempotent per-batch overwrite keyed by batch id, and
-the checkpoint lives in the shared folder named by ``spark.checkpoint.dir``.
+results; the sink is an idempotent per-batch overwrite keyed by batch id.
 
-T2: drop a page whose lower-cased URL was already seen within a horizon
-(watermark on the file's modification time, since pages carry no event time).
+T2: drop a page whose lower-cased URL was already seen, ever or within a
+horizon (watermark on the file's modification time, since pages carry no event time).
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.config import DEFAULT_SITE, SiteConfig
-from gazette.plans.scrape import scrape_batch
-from gazette.session import ensure_checkpoint_dir
+from gazette.plans.scrape import FACT_COLUMNS, page_facts_all
 from gazette.sources.pages import PAGES_SCHEMA
 
 
@@ -30,27 +26,45 @@ def read_page_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     return r.parquet(path)
 
 
-def stream_scrape(spark: SparkSession, source: str, sink: str, name: str = "stream_scrape",
-                  site: SiteConfig = DEFAULT_SITE, available_now: bool = True):
-    """Start the stream; facts go to ``sink/facts/batch=<id>``, rejects to
-    ``sink/rejects/batch=<id>``.  Returns the StreamingQuery."""
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
-
+def stream_scrape(spark: SparkSession, source: str, sink: str, checkpoint: str, name: str = "stream_scrape",
+                  site: SiteConfig = DEFAULT_SITE, available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Start the stream; each batch is written once to ``sink/batch=<id>/status=facts|rejects``.
+    ``sink`` and ``checkpoint`` are folders that all executors share; restarted on the same two, the
+    stream goes on where it stopped.  Returns the StreamingQuery."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        facts, rejects = scrape_batch(batch, site)
-        facts.write.mode("overwrite").parquet(f"{sink}/facts/batch={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{sink}/rejects/batch={batch_id}")
+        status = F.when(F.col("reject_reason").isNull(), F.lit("facts")).otherwise(F.lit("rejects"))
+        (page_facts_all(batch, site).withColumn("status", status).write.mode("overwrite")
+         .partitionBy("status").parquet(f"{sink}/batch={batch_id}"))
 
-    w = read_page_stream(spark, source).writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+    w = (read_page_stream(spark, source, max_files_per_trigger).writeStream.foreachBatch(per_batch)
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.queryName(name).start()
 
 
-def stream_first_seen(pages: DataFrame, horizon: str = "1 day") -> DataFrame:
-    """First arrival of each lower-cased page URL within ``horizon``; state older than the
-    watermark is dropped, so state stays bounded by the horizon's traffic."""
-    return (pages.withColumn("_seen_at", F.col("_metadata.file_modification_time"))
-                 .withColumn("_url_key", F.lower(F.trim(F.col("url"))))
+def read_facts(spark: SparkSession, sink: str) -> DataFrame:
+    """What ``stream_scrape`` has accepted so far."""
+    return spark.read.parquet(sink).filter("status = 'facts'").select(*FACT_COLUMNS)
+
+
+def stream_first_seen(pages: DataFrame, horizon: str | None = None) -> DataFrame:
+    """The first arrival of each lower-cased page URL.
+
+    By default exact whatever the age of a file: one key per URL is kept for good, so the session
+    should use the RocksDB state store, which keeps it on disk.  ``horizon`` ("1 day") bounds the state
+    instead: a URL is forgotten after that time, and pages from files older than the watermark are
+    dropped unseen (``late_pages`` finds them)."""
+    keyed = pages.withColumn("_url_key", F.lower(F.trim(F.col("url"))))
+    if horizon is None:
+        return keyed.dropDuplicates(["_url_key"]).drop("_url_key")
+    return (keyed.withColumn("_seen_at", F.col("_metadata.file_modification_time"))
                  .withWatermark("_seen_at", horizon)
                  .dropDuplicatesWithinWatermark(["_url_key"])
                  .drop("_url_key"))
+
+
+def late_pages(arrived: DataFrame, kept: DataFrame) -> DataFrame:
+    """Quarantine of a bounded T2: pages that arrived but whose URL never reached the output."""
+    key = F.lower(F.trim(F.col("url")))
+    return (arrived.withColumn("_k", key).join(kept.select(key.alias("_k")), "_k", "left_anti")
+                   .drop("_k").withColumn("reject_reason", F.lit("older than the watermark")))

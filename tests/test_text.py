@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions.text import byte_cut, leading_int
 from gazette.operators import normalize as N
-from gazette.operators.pages import cap_text, html_to_text_uncapped
+from gazette.operators.pages import cap_text, html_to_text
 
 from conftest import one_col
 
@@ -35,12 +35,12 @@ def test_html_to_text(spark):
     html = ("<html><head><script>var a='<p>';</script><style>p{}</style></head><body>"
             "<nav>menu</nav><p>Hello&nbsp;&amp;   world</p><!-- c --><aside>side</aside>"
             "<ul><li>one</li><li>two</li></ul>\n\n\n\n<footer>f</footer></body></html>")
-    got = one_col(spark, [html], lambda c: cap_text(html_to_text_uncapped(c)))[0]
+    got = one_col(spark, [html], lambda c: html_to_text(c))[0]
     assert got == "Hello\xa0& world\n \none\ntwo"  # nbsp decodes to U+00A0; removals leave a blank line
 
 
 def test_text_cap(spark):
-    got = one_col(spark, ["x" * 9001, "y" * 9000], lambda c: cap_text(c))
+    got = one_col(spark, ["x" * 9001, "y" * 9000], lambda c: cap_text(c, 9000))
     assert got[0] == "x" * 9000 + " [truncated]" and got[1] == "y" * 9000
 
 
