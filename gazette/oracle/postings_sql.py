@@ -272,6 +272,10 @@ def indian_grouping(n):
     return f"(CASE WHEN length({sv}) <= 3 THEN {sv} ELSE {grouped} || ',' || right({sv}, 3) END)"
 
 
+PUBLISHED_TEXT = ["title", "type", "short_description", "content_md5", "salary_type", "category_warning", "deadline_time", "apply_url",
+                  "qualifications", "skills", "notification_pdf", "gate_note", "post_name", "interview_date_from", "waitlist_date"]
+
+
 def prepare_publish_sql(site: SiteConfig = DEFAULT_SITE) -> str:
     """V3 twin: the publish steps in the same order as ``plans.publish.prepare_publish``."""
     from gazette.oracle import sqlfn as q2
@@ -283,7 +287,16 @@ def prepare_publish_sql(site: SiteConfig = DEFAULT_SITE) -> str:
     reason = "CASE " + " ".join(f"WHEN {blank(f'CAST({f} AS VARCHAR)')} THEN 'Required field missing: {f}'"
                                 for f in req) + " END"
     links20 = f"list_filter(important_links, lambda x: NOT {blank('x.title')} AND NOT {blank('x.url')})"
-    tp = f"CASE WHEN {blank('total_posts')} THEN NULL ELSE {lint('total_posts')} END"
+    from gazette.operators.normalize import INT_FIELDS, OPTIONAL_FIELDS
+    ints = [f"CASE WHEN {blank(f) if f == 'total_posts' else f'{f} IS NULL'} THEN NULL ELSE {lint(f)} END AS {f}" for f in INT_FIELDS]
+    kept = [f"CASE WHEN {f} = '' THEN NULL ELSE {f} END AS {f}" for f in OPTIONAL_FIELDS]
+    stip = (f"(lower(coalesce(salary_type, 'salary')) = 'stipend' OR contains(lower({nz('salary')}), 'stipend') OR "
+            f"{q2.rlike('lower(' + nz('title') + ')', 'trainee|intern|apprentice')})")
+    salary = (f"CASE WHEN {stip} AND NOT {blank('salary')} AND NOT contains(lower({nz('salary')}), 'stipend') "
+              f"THEN 'Stipend: ' || salary ELSE salary END")
+    salary_type = f"CASE WHEN {stip} THEN 'stipend' ELSE salary_type END"
+    more = ", ".join(INT_FIELDS + OPTIONAL_FIELDS + PUBLISHED_TEXT)
+    none = ", ".join(["NULL::BIGINT"] * len(INT_FIELDS) + ["NULL::VARCHAR"] * (len(OPTIONAL_FIELDS) + len(PUBLISHED_TEXT)))
     slug = derive_slug("organization", "title", "short_description", "total_posts", site)
     src = f"{nz('title')} || ' ' || {nz('short_description')} || ' ' || {q2.strip_tags(nz('content'))}"
     cat, _ = correct_category()
@@ -301,16 +314,19 @@ def prepare_publish_sql(site: SiteConfig = DEFAULT_SITE) -> str:
     return f"""WITH {postings_raw_cte()}
 a AS (SELECT * REPLACE (CAST({cid0} AS BIGINT) AS category_id) FROM postings_raw),
 g AS (SELECT *, {reason} AS reject_reason FROM a),
-ok AS (SELECT * REPLACE ({links20} AS important_links, {tp} AS total_posts) FROM g WHERE reject_reason IS NULL),
+ok AS (SELECT * REPLACE ({links20} AS important_links, {', '.join(ints + kept)}) FROM g WHERE reject_reason IS NULL),
 sl AS (SELECT *, {slug} AS slug FROM ok),
 org AS (SELECT * REPLACE ({resolve_organization('organization', 'title')} AS organization) FROM sl),
 ed AS (SELECT * REPLACE ({detect_education(src, 'education')} AS education, {default_tags()} AS tags) FROM org),
 cc AS (SELECT * REPLACE ({cat} AS category_name) FROM ed),
 ci AS (SELECT * REPLACE (CAST(coalesce({cmap}[category_name], category_id) AS BIGINT) AS category_id) FROM cc),
 kw AS (SELECT * REPLACE (CASE WHEN {blank('meta_keywords')} THEN {kw} ELSE meta_keywords END AS meta_keywords,
-                         {pdf} AS important_links) FROM ci)
+                         {pdf} AS important_links, {salary} AS salary, {salary_type} AS salary_type),
+              md5(content) AS content_md5, CASE WHEN {tmap}[coalesce(type, 'job')] IS NOT NULL AND {cmap}[{tmap}[coalesce(type, 'job')]] IS NULL
+                   THEN 'category not in dimension: ' || {tmap}[coalesce(type, 'job')] END AS category_warning
+       FROM (SELECT * REPLACE (CAST(coalesce({cmap}[{tmap}[coalesce(type, 'job')]], category_id) AS BIGINT) AS category_id) FROM ci))
 SELECT post_id, NULL::VARCHAR AS reject_reason, slug, organization, category_id,
        array_to_string(tags, '|') AS tags, array_to_string(education, '|') AS education, meta_keywords,
-       {links_text} AS links FROM kw
+       {links_text} AS links, {more} FROM kw
 UNION ALL
-SELECT post_id, reject_reason, NULL, NULL, NULL::BIGINT, NULL, NULL, NULL, NULL FROM g WHERE reject_reason IS NOT NULL"""
+SELECT post_id, reject_reason, NULL, NULL, NULL::BIGINT, NULL, NULL, NULL, NULL, {none} FROM g WHERE reject_reason IS NOT NULL"""

@@ -220,7 +220,7 @@ def q_n19(spark, sf_dir):
     return N.default_keywords(_p(spark, sf_dir)).select("post_id", "meta_keywords")
 
 
-def _desc_sql():
+def _desc_expr():
     d0 = q.php_trim(q.strip_tags(S.nz("short_description")))
     d1 = f"(CASE WHEN {S.blank(d0)} THEN {q.php_trim(q.strip_tags(S.nz('title')))} ELSE {d0} END)"
     ld = S.parse_date("last_date")
@@ -229,7 +229,11 @@ def _desc_sql():
               f"{q.strip_tags('salary')} END, CASE WHEN NOT {S.blank('last_date')} AND {ld} IS NOT NULL THEN "
               f"'Last Date: ' || strftime({ld}, '%d-%m-%Y') END)")
     full = f"(CASE WHEN {extras} <> '' THEN {d1} || ' ' || {extras} || '.' ELSE {d1} END)"
-    return W(f"post_id, {full} AS description")
+    return full
+
+
+def _desc_sql():
+    return W(f"post_id, {_desc_expr()} AS description")
 
 
 @register("n20_description_text", _desc_sql())
@@ -790,13 +794,13 @@ FROM posts p LEFT JOIN withchan w USING (post_id) GROUP BY p.post_id"""
 
 @register("l15_l16_l17_merge_links", _merge_sql())
 def q_merge(spark, sf_dir):
-    from gazette.plans.fixtures import pages_ext
+    from gazette.plans.fixtures import pages_ext, row_count
     from gazette.plans.scrape import official_links
     from gazette.session import read_table
     from gazette.sources.pages import gate_pages, split_rejects
     pages = read_table(spark, sf_dir, "pages")
     facts = official_links(split_rejects(gate_pages(pages_ext(pages)))[0]).select("page_id", "official_links")
-    p = _p(spark, sf_dir).withColumn("page_id", F.col("post_id") % pages.count())
+    p = _p(spark, sf_dir).withColumn("page_id", F.col("post_id") % row_count(pages))
     p = p.join(facts, "page_id", "left")
     cand = PL.sanitize_candidate_links("important_links", "source_url", SITE)
     merged = PL.ensure_channel_links(PL.merge_links("official_links", cand), SITE)
@@ -807,18 +811,17 @@ def q_merge(spark, sf_dir):
 
 @register("v3_prepare_publish", S.prepare_publish_sql())
 def q_v3(spark, sf_dir):
+    """Every published column of the accepted postings, and the rejected ones with their reason."""
     from gazette.plans.publish import prepare_publish
     from gazette.sources.dims import dim_category
     ok, bad = prepare_publish(_p(spark, sf_dir), SITE, dim_category(spark))
+    ok = ok.withColumn("content_md5", F.md5("content"))
+    names = N.INT_FIELDS + N.OPTIONAL_FIELDS + S.PUBLISHED_TEXT
     out = ok.select("post_id", F.lit(None).cast("string").alias("reject_reason"), "slug", "organization",
                     F.col("category_id").cast("long").alias("category_id"), F.array_join("tags", "|").alias("tags"),
                     F.array_join("education", "|").alias("education"), "meta_keywords",
-                    _links_text(F.col("important_links")).alias("links"))
-    rej = bad.select("post_id", "reject_reason", *[F.lit(None).cast(t).alias(c) for c, t in
-                                                   [("slug", "string"), ("organization", "string"),
-                                                    ("category_id", "long"), ("tags", "string"),
-                                                    ("education", "string"), ("meta_keywords", "string"),
-                                                    ("links", "string")]])
+                    _links_text(F.col("important_links")).alias("links"), *names)
+    rej = bad.select("post_id", "reject_reason", *[F.lit(None).cast(t).alias(c) for c, t in out.dtypes[2:]])
     return out.unionByName(rej)
 
 
@@ -921,7 +924,11 @@ _R9_PATHS = [("title", "title"), ("url", "url"), ("employmentType", "employment_
              ("hiringOrganization.url", "org_url"), ("jobLocationType", "location_type"),
              ("jobLocation.address.addressRegion", "region"), ("validThrough", "valid_through"),
              ("baseSalary.value.minValue", "min_value"), ("baseSalary.value.maxValue", "max_value"),
-             ("totalJobOpenings", "openings"), ("identifier.value", "identifier")]
+             ("totalJobOpenings", "openings"), ("identifier.value", "identifier"), ("description", "description"),
+             ("datePosted", "date_posted"), ("jobStartDate", "start"), ("hiringOrganization.logo.url", "logo"),
+             ("applicationContact.url", "contact"), ("qualifications", "qualifications"), ("skills", "skills"),
+             ("responsibilities", "responsibilities"), ("applicantLocationRequirements.name", "applicants"),
+             ("jobLocation.address.streetAddress", "street"), ("baseSalary.value.unitText", "unit")]
 
 
 def _r9_sql():
@@ -930,6 +937,8 @@ def _r9_sql():
     site_rx = q.rlike(S.nz("x.title"), "official.?website|official.?site", ci=True)
     official = f"list_filter(important_links, lambda x: NOT {S.blank('x.url')} AND {site_rx})[1].url"
     levels = S.credential_levels("education")
+    quals = q.strip_tags(S.nz("qualifications"))
+    apply = "coalesce(apply_url, online_form, '')"
     vt = (f"CASE WHEN NOT {S.blank('last_date')} THEN last_date ELSE "
           f"strftime(DATE '{SITE.as_of}' + 90, '%Y-%m-%d') END || 'T23:59:59+05:30'")
     cols = {
@@ -946,6 +955,18 @@ def _r9_sql():
         "max_value": f"CAST(CASE WHEN {hi} > 0 THEN {hi} ELSE greatest({lo}, 0) END AS VARCHAR)",
         "openings": f"CASE WHEN NOT {S.blank('total_posts')} THEN CAST({_int_sql('total_posts')} AS VARCHAR) END",
         "identifier": "CAST(post_id AS VARCHAR)",
+        "description": _desc_expr(),
+        "date_posted": f"CASE WHEN NOT {S.blank('notification_date')} THEN notification_date ELSE '{SITE.as_of}' END",
+        "start": f"CASE WHEN NOT {S.blank('start_date')} THEN start_date END",
+        "logo": S.s(SITE.url + "/images/logo.png"),
+        "contact": f"CASE WHEN NOT {S.blank(apply)} THEN {apply} END",
+        "qualifications": f"CASE WHEN NOT {S.blank('qualifications')} THEN {quals} END",
+        "skills": f"CASE WHEN NOT {S.blank('skills')} THEN skills END",
+        "responsibilities": f"CASE WHEN NOT {S.blank('responsibilities')} THEN responsibilities END",
+        "applicants": f"CASE WHEN {lt} = 'TELECOMMUTE' THEN 'India' END",
+        "street": f"CASE WHEN {lt} <> 'TELECOMMUTE' THEN {reg} END",
+        "unit": "'MONTH'",
+        "credentials": f"array_to_string(list_transform({levels}, lambda v: v || ': ' || CASE WHEN {quals} <> '' THEN {quals} ELSE v END), '|')",
         "edu_kind": f"CASE len({levels}) WHEN 0 THEN NULL WHEN 1 THEN 'object' ELSE 'array' END",
     }
     return W("post_id, " + ", ".join(f"{v} AS {k}" for k, v in cols.items()),
@@ -956,7 +977,10 @@ def _r9_sql():
 def q_r9(spark, sf_dir):
     p = R.posting_jsonld(N.derive_slug(_p(spark, sf_dir)), SITE)
     edu = F.get_json_object("posting_jsonld", "$.educationRequirements")
-    return p.select("post_id", *_jget(F.col("posting_jsonld"), _R9_PATHS),
+    cred = "struct<credentialCategory:string,description:string>"
+    creds = F.when(edu.startswith("{"), F.array(F.from_json(edu, cred))).when(edu.startswith("["), F.from_json(edu, f"array<{cred}>"))
+    said = F.transform(F.coalesce(creds, F.array().cast(f"array<{cred}>")), lambda c: F.concat(c["credentialCategory"], F.lit(": "), c["description"]))
+    return p.select("post_id", *_jget(F.col("posting_jsonld"), _R9_PATHS), F.array_join(said, "|").alias("credentials"),
                     F.when(edu.startswith("{"), F.lit("object")).when(edu.startswith("["), F.lit("array"))
                     .alias("edu_kind"))
 
@@ -1007,19 +1031,34 @@ def q_r14(spark, sf_dir):
 
 def _s7_sql():
     qq, aa = q.php_trim(S.nz("x.question")), q.php_trim(S.nz("x.answer"))
-    has_faq = f"len(list_filter(coalesce(faq, []), lambda x: {qq} <> '' AND {aa} <> '')) > 0"
+    items = f"list_filter(coalesce(faq, []), lambda x: {qq} <> '' AND {aa} <> '')"
+    x = "valid[1]"
+    first = lambda f: q.decode_entities(q.strip_tags(q.php_trim(S.nz(f"{x}.{f}"))))
+    url = S.derive_url("slug", "type")
+    name = "coalesce(category_name, 'jobs')"
+    slug = f"lower(replace({name}, ' ', '-'))"
     return f"""WITH {S.postings_raw_cte()}
-d AS (SELECT post_id, 'posting' AS kind, 'JobPosting' AS doc_type FROM postings_raw
-      UNION ALL SELECT post_id, 'breadcrumb', 'BreadcrumbList' FROM postings_raw
-      UNION ALL SELECT post_id, 'faq', 'FAQPage' FROM postings_raw WHERE {has_faq})
-SELECT post_id, kind, doc_type FROM d"""
+p AS (SELECT *, {items} AS valid FROM (SELECT *, {_SLUG_SQL} AS slug FROM postings_raw)),
+d AS (SELECT post_id, 'posting' AS kind, 'JobPosting' AS doc_type, 1 AS n_items, coalesce(title, '') AS name, {url} AS url, NULL AS other FROM p
+      UNION ALL SELECT post_id, 'breadcrumb', 'BreadcrumbList', 3, coalesce(title, 'Job Post'), {url}, {S.s(SITE.url + '/category/')} || {slug} FROM p
+      UNION ALL SELECT post_id, 'faq', 'FAQPage', len(valid), {first('question')}, NULL, {first('answer')} FROM p WHERE len(valid) > 0)
+SELECT post_id, kind, doc_type, n_items, name, url, other FROM d"""
 
 
 @register("s7_jsonld_documents", _s7_sql())
 def q_s7(spark, sf_dir):
+    """The parsed documents: type, number of items, name, address and the part that differs by kind."""
     from gazette.sources.sinks import jsonld_documents
     docs = jsonld_documents(N.derive_slug(_p(spark, sf_dir)), SITE)
-    return docs.select("post_id", "kind", F.get_json_object("json", "$['@type']").alias("doc_type"))
+    get = lambda path: F.get_json_object("json", path)
+    size = lambda path: F.coalesce(F.json_array_length(get(path)), F.lit(1))
+    kind = F.col("kind")
+    return docs.select(
+        "post_id", "kind", get("$['@type']").alias("doc_type"),
+        F.when(kind == "breadcrumb", size("$.itemListElement")).when(kind == "faq", size("$.mainEntity")).otherwise(1).alias("n_items"),
+        F.coalesce(get("$.title"), get("$.itemListElement[2].name"), get("$.mainEntity[0].name")).alias("name"),
+        F.coalesce(get("$.url"), get("$.itemListElement[2].item")).alias("url"),
+        F.coalesce(get("$.itemListElement[1].item"), get("$.mainEntity[0].acceptedAnswer.text")).alias("other"))
 
 
 # ---------------------------------------------------------------- S5, S6
