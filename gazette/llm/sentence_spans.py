@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import UPPER
+from gazette.llm.common import UPPER, written
 
 BREAK = re.compile(r"((?<=[.!?])[ \t]+|\s*\n\s*)")
 LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -63,23 +63,26 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            a, b = [], []
+            a, b, within = [], [], []
             for t in texts:
-                own = {h for _, _, h in runs(split(t)[0], sentences, words)} if t else ()
+                every = [h for _, _, h in runs(split(t)[0], sentences, words)] if t else []
+                own = set(every)
                 pair = np.array([halves(h) for h in own], np.int64).reshape(-1, 2)
                 a.append(pair[:, 0])
                 b.append(pair[:, 1])
-            yield pd.DataFrame({"a": a, "b": b})
+                within.append(len(own) < len(every))
+            yield pd.DataFrame({"a": a, "b": b, "within": within})
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
-    made = F.pandas_udf(hashed, "a array<long>, b array<long>", F.PandasUDFType.SCALAR_ITER)
-    spans = (rows.select(F.coalesce("id", F.lit(LAST)).alias("doc"), made("t").alias("h"))
-             .select("doc", F.explode(F.arrays_zip("h.a", "h.b")).alias("h")).select("doc", "h.a", "h.b"))
+    made = F.pandas_udf(hashed, "a array<long>, b array<long>, within boolean", F.PandasUDFType.SCALAR_ITER)
+    found = written(rows.select(F.coalesce("id", F.lit(LAST)).alias("doc"), made("t").alias("h")).select("doc", "h.*"), "spans")
+    spans = found.select("doc", F.explode(F.arrays_zip("a", "b")).alias("h")).select("doc", "h.a", "h.b")
     shared = (spans.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
               .select(F.col("a").alias("a2"), F.col("b").alias("b2"), "first"))
     again = spans.join(shared, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).filter("doc > first")
-    marked = again.groupBy(F.col("doc").alias("marked")).agg(
-        F.collect_set(F.struct("a", "b")).alias("spans"), F.sort_array(F.collect_set("first")).alias("repeats_of"))
+    within = found.filter("within").select("doc", F.lit(None).cast("long").alias("first"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("h"))
+    marked = again.select("doc", "first", F.struct("a", "b").alias("h")).union(within).groupBy(F.col("doc").alias("marked")).agg(
+        F.collect_set("h").alias("spans"), F.sort_array(F.collect_set("first")).alias("repeats_of"))
 
     @F.pandas_udf("text string, n_sentences long, removed_sentences long")
     def cleaned(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -89,8 +92,11 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append((t, 0, 0))
                 continue
             parts, seps = split(t)
-            gone = {(x["a"], x["b"]) for x in known} if known is not None else ()
-            seen: set[int] = set()
+            real = sum(not p.isspace() for p in parts if p)
+            if known is None:  # no run of the document occurs twice, in it or elsewhere before
+                out.append((t, real, 0))
+                continue
+            gone, seen = {(x["a"], x["b"]) for x in known}, set()
             covered = np.zeros(len(parts) + 1, np.int64)
             for at, end, h in runs(parts, sentences, words):
                 if h in seen or halves(h) in gone:
@@ -99,7 +105,7 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 seen.add(h)
             drop = (np.cumsum(covered[:-1]) > 0) & np.array([bool(p.strip()) for p in parts])
             text = "".join(p + s for p, s, d in zip(parts, seps, drop) if not d) if drop.any() else t
-            out.append((text, sum(bool(p.strip()) for p in parts), int(drop.sum())))
+            out.append((text, real, int(drop.sum())))
         return pd.DataFrame(out, columns=["text", "n_sentences", "removed_sentences"])
 
     joined = rows.join(marked, F.coalesce("id", F.lit(LAST)) == F.col("marked"), "left")
