@@ -78,18 +78,33 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, listed: int, classes: int, common: int) -> Vocabulary:
-    top = counts.orderBy(F.desc("c"), "word").limit(common).collect()
+    """The vocabulary of (word, c).  A histogram of the counts' logarithms, a few hundred rows at any size, gives the
+    least count that at most ``common`` words reach; only these come to the driver.  The end token is always
+    listed."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    least, held = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        held += r["count"]
+        if held > common:
+            break
+        least = r["s"]
+    found = sorted(((-r["c"], r["word"]) for r in counts.filter((step >= least) | (F.col("word") == END)).collect()))
+    ends = sum(-c for c, w in found if w == END)
+    found = [(w, -c) for c, w in found if w != END]
+    at = min(sum(c >= ends for _, c in found), listed - 1)
+    found.insert(at, (END, ends))
+    listed = min(listed, len(found))
+
     by_class = counts.withColumn("g", _class_of(classes)("word")).groupBy("g").agg(F.sum("c"), F.count(F.lit(1))).collect()
-    listed = min(listed, len(top))
     tokens, distinct = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     for g, c, n in by_class:
         tokens[g], distinct[g] = c, n
     total, known = int(tokens.sum()), int(distinct.sum())
-    for word, c in top[:listed]:
+    for word, c in found[:listed]:
         g = word_class(word, classes)
         tokens[g] -= c
-        distinct[g] -= 1
-    return Vocabulary([r["word"] for r in top], np.array([r["c"] for r in top], np.int64), listed, classes, tokens, distinct, total, known)
+        distinct[g] -= c > 0
+    return Vocabulary([w for w, _ in found], np.array([c for _, c in found], np.int64), listed, classes, tokens, distinct, total, known)
 
 
 def _class_of(classes: int):
@@ -245,7 +260,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     all rows where ``training`` holds.
 
     Tokens are the words after lower-casing A-Z and one end.  base_score: sum of log10((c + 1) / (N + V + 1));
-    score: the model's log10 probability.  ``common`` most frequent words (a fixed number) are kept in each
+    score: the model's log10 probability.  At most ``common`` most frequent words (a fixed number) are kept in each
     task; the counts of all others are joined.  Null and empty texts are one end token.  Rows that share an
     id are scored each.  Without rows to learn from every count is 0 and the model is uniform.  No rows give
     no rows.  Other columns are ignored.
@@ -256,10 +271,6 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     learn = rows.filter("learn")
     counts = word_counts(learn, "t")
     vocab = vocabulary(counts, listed, classes, common)
-    if not vocab.tokens:  # nothing to learn from: the end token alone
-        vocab.common, vocab.counts, vocab.listed = [END], np.zeros(1, np.int64), 1
-    elif END not in vocab.common[: vocab.listed]:  # many very long texts: the end takes the last place of its own
-        vocab = with_end(vocab, counts)
     model = train(learn, vocab, "t", width, noise, batch, rate, seed) if vocab.tokens else start(vocab, width, seed)
     shared = spark.sparkContext.broadcast((vocab, tables(spark, model)))
 
@@ -301,21 +312,3 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
                         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
                         F.lit(vocab.tokens).cast("long").alias("train_tokens"),
                         (F.col("base") + extra).alias("base_score"), (F.col("score") + extra).alias("score"))
-
-
-def with_end(vocab: Vocabulary, counts: DataFrame) -> Vocabulary:
-    """The vocabulary with the end token listed."""
-    c = counts.filter(F.col("word") == END).first()["c"]
-    at = vocab.listed - 1
-    out, was = vocab.common[at], vocab.counts[at]
-    common, numbers = [*vocab.common[:at], END], [*vocab.counts[:at], c]
-    for word, n in [(out, was), *zip(vocab.common[vocab.listed:], vocab.counts[vocab.listed:])]:
-        if word != END:
-            common.append(word)
-            numbers.append(n)
-    tokens, distinct = vocab.class_tokens.copy(), vocab.class_words.copy()
-    tokens[word_class(out, vocab.classes)] += was
-    distinct[word_class(out, vocab.classes)] += 1
-    tokens[word_class(END, vocab.classes)] -= c
-    distinct[word_class(END, vocab.classes)] -= 1
-    return Vocabulary(common, np.asarray(numbers, np.int64), vocab.listed, vocab.classes, tokens, distinct, vocab.tokens, vocab.distinct)
