@@ -112,4 +112,4 @@ def judge_urls(pages: DataFrame, vocabulary: Vocabulary = Vocabulary(), rules: l
             yield pd.DataFrame([judge(u) for u in urls], columns=names)
 
     rows = pages.select(pages[id_col].alias(id_col), judged(pages[url_col].cast("string")).alias("judged"))
-    return rows.select(rows[0], "judged.*") if id_col not in names else rows
+    return rows.select(rows[0], "judged.*")
