@@ -9,6 +9,7 @@ pieces of each class, at most about 21,000 pieces at any input size, are packed
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -19,8 +20,12 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import small_side, written
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 LONGEST_CACHED = 64
+STEMS_AT_ONCE = 10_000
+CHARS_AT_ONCE = 1 << 20
+MARKS = ".,;:!?$%&#*"
+LATIN_END = "\u0250"  # letters before it are never changed by Unicode normalisation
 PIECES_PER_WORKER = 20_000
 PIECE = "id string, start long, length long, ids_crc32 long, doc_tokens long, share int"
 
@@ -44,49 +49,98 @@ def cuts(tokens: int, capacity: int, slack: int) -> list[tuple[int, int, int]]:
 
 
 class WordIds:
-    """Token ids as little-endian uint32 bytes.  No token of a tokenizer that drops white space and splits at
-    it spans a blank, so ids are looked up a word at a time; the tokenizer sees each new word once."""
+    """Token ids as little-endian uint32 bytes.  The tokenizer drops white space and lets no token span it, so ids
+    are looked up a word (between blanks or line ends) at a time.  A word new to the table is cut into a stem and closing
+    punctuation, which are split before anything else; stems of Latin letters only are encoded together, past the normalising
+    and splitting that leave them as they are (their ends show by the vocabulary's word-end suffix), all others by the whole tokenizer."""
 
     def __init__(self, path: str):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def add(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.asarray(found.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        words = text.split(" ")
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.letters.get_vocab()
+        suffix = self.letters.model.end_of_word_suffix
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a word
+        self.closes[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    @staticmethod
+    def stem(word: str) -> tuple[str, str]:
+        end = ""
+        if not word.isalpha():
+            cut = word.rstrip(MARKS)
+            if cut and cut[-1].lower().isalnum():
+                word, end = cut, word[len(cut):]
+        low = word.lower()
+        return (low if low.isalpha() and (low.isascii() or max(low) < LATIN_END) else word), end
+
+    def learn(self, words: set[str]) -> None:
+        """Fills the table with the words that it lacks."""
+        if len(self.known) > CACHED_WORDS:
+            self.known = {}
+        if len(self.stems) > CACHED_WORDS:
+            self.stems = {}
+        new = list(words.difference(self.known))
+        cut = [self.stem(w) for w in new]
+        need = set().union(*cut).difference(self.stems)
+        plain = [s for s in need if s.isalpha() and (s.isascii() or max(s) < LATIN_END) and s.islower()]
+        for at in range(0, len(plain), STEMS_AT_ONCE):
+            part = plain[at:at + STEMS_AT_ONCE]
+            ids = np.asarray(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            edges = [0, *(4 * np.flatnonzero(self.closes[ids]) + 4).tolist()]
+            raw = ids.tobytes()
+            self.stems.update(zip(part, (raw[s:e] for s, e in zip(edges, edges[1:])), strict=True))
+        rest = list(need.difference(plain))
+        for s, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.stems[s] = np.asarray(found.ids, "<u4").tobytes()
+        stems = self.stems
+        self.known.update(zip(new, [stems[s] + stems[end] if end else stems[s] for s, end in cut]))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        every = set().union(*split)
+        long = {w for w in every if len(w) > LONGEST_CACHED}
+        self.learn(every - long)
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known and len(w) <= LONGEST_CACHED})
-            self.add(new)
-            known = self.known
-            return b"".join([known[w] if w in known else self.direct(w) for w in words])
+        if not long:
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join([known[w] if w in known else self.direct(w) for w in words]) for words in split]
 
     def direct(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One table a worker process, for all its tasks."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, capacity: int,
            slack: int) -> DataFrame:
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            out = []
-            for key, text in zip(batch["id"], batch["t"]):
-                ids = words.ids(text or "") + end
-                n = len(ids) // 4
-                out += [(key, s, m, zlib.crc32(ids[4 * s:4 * (s + m)]), n, j) for s, m, j in cuts(n, capacity, slack)]
+            out, keys, texts, size = [], [], [], 0
+            for k, (key, text) in enumerate(zip(batch["id"], batch["t"])):
+                keys.append(key)
+                texts.append(text or "")
+                size += len(texts[-1])
+                if size < CHARS_AT_ONCE and k + 1 < len(batch):
+                    continue
+                for key, ids in zip(keys, words.ids(texts)):
+                    ids += end
+                    n = len(ids) // 4
+                    out += [(key, s, m, zlib.crc32(ids[4 * s:4 * (s + m)]), n, j) for s, m, j in cuts(n, capacity, slack)]
+                keys, texts, size = [], [], 0
             yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "share"])
 
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("t"))

@@ -110,6 +110,7 @@ def test_word_ids_equal_the_tokenizer():
     path = tokenizer_file(WORD_BPE)
     tok, words = Tokenizer.from_file(path), WordIds(path)
     texts = ["", " ", "a  b", "Don't we'll ́e é x\t\ny \x1cz", "<|endoftext|> a<|startoftext|>b", "é" * 300, "漢字 12345 !?..  q",
-             "İstanbul ΣΑΣ ς", "ا ب‏ج", "'s 't a's 12'd", "x" * 70 + " " + "y" * 64]
-    for t in texts:
-        assert list(np.frombuffer(words.ids(t), "<u4")) == tok.encode(t, add_special_tokens=False).ids
+             "İstanbul ΣΑΣ ς", "ا ب‏ج", "'s 't a's 12'd", "x" * 70 + " " + "y" * 64, "Été. ÀÉ, ß; ſ ǅ! µ º ª ŉ İ. a.b. 1. x'. ... .. don't. e\u0301. É.É",
+             "word, Word. WORD! word? wörd: ǰ Ǆ K Å", "\u00a0x a\u00a0b. \u3000"]
+    for t, got in zip(texts, words.ids(texts)):
+        assert list(np.frombuffer(got, "<u4")) == tok.encode(t, add_special_tokens=False).ids, t
