@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import rules
 from gazette.functions.regex import branch_runs, expand_branch, java, top_level_branches
-from gazette.operators.enrich import rule_match
+from gazette.operators.enrich import literal_hits, rule_literals, rule_match
 
 SAMPLES = [
     "phd in physics", "ph.d holder", "mba/pgdm", "llb and llm", "m.tech or m.e. in cse", "b.e. pass",
@@ -33,7 +33,8 @@ def test_java_dialect_matches_ascii_pcre(spark):
 def test_rule_match_equals_plain_regex(spark):
     pats = [rx for _, rx in rules.EDUCATION_RULES + rules.TAG_RULES]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(SAMPLES)], "i int, t string")
-    got = df.orderBy("i").select(*[rule_match(F.col("t"), p).alias(f"p{j}") for j, p in enumerate(pats)]).collect()
+    df = df.withColumn("h", literal_hits(F.col("t"), rule_literals(rules.EDUCATION_RULES + rules.TAG_RULES)))
+    got = df.orderBy("i").select(*[rule_match(F.col("t"), p, F.col("h")).alias(f"p{j}") for j, p in enumerate(pats)]).collect()
     for i, s in enumerate(SAMPLES):
         for j, p in enumerate(pats):
             assert got[i][j] == (re.search(p, s, re.ASCII) is not None), (s, p)
