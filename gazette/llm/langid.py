@@ -11,6 +11,7 @@ whole texts.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -223,7 +224,11 @@ def fit(texts: list[tuple[str, str]], rounds: int = 4, batch: int = 64, length:
 def training_texts(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """Up to ``per_language`` labelled documents of each language, the same ones for the same rows."""
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("t")).filter("lang is not null and t is not null")
-    ids = rows.select("id", "lang").withColumn("k", F.xxhash64("id")).withColumn(
+    # a hash threshold first leaves about twice the bound of each language, however many rows it has
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    share = F.from_json(F.lit(json.dumps({x: min(1.0, 2 * per_language / n + 20 / n) for x, n in counts.items()})), "map<string,double>")
+    ids = rows.select("id", "lang").withColumn("k", F.xxhash64("id"))
+    ids = ids.filter(F.pmod("k", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).withColumn(
         "r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "id"))).filter(F.col("r") <= per_language)
     chosen = {r["id"] for r in ids.select("id").collect()}
     if not chosen:
@@ -275,7 +280,7 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", lang_out: st
         for texts in batches:
             yield pd.DataFrame(judge(list(texts), cache), columns=["lang", "score"])
 
-    judged = F.pandas_udf(predicted, "lang string, score double", F.PandasUDFType.SCALAR_ITER)
+    judged = F.pandas_udf(predicted, "lang string, score double")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), judged(docs[text_col].cast("string")).alias("x"))
     return rows.select("row", F.col("x.lang").alias(lang_out), F.col("x.score").alias(score_out))
 

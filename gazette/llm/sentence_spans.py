@@ -74,7 +74,7 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"a": a, "b": b, "within": within})
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
-    made = F.pandas_udf(hashed, "a array<long>, b array<long>, within boolean", F.PandasUDFType.SCALAR_ITER)
+    made = F.pandas_udf(hashed, "a array<long>, b array<long>, within boolean")
     found = written(rows.select(F.coalesce("id", F.lit(LAST)).alias("doc"), made("t").alias("h")).select("doc", "h.*"), "spans")
     spans = found.select("doc", F.explode(F.arrays_zip("a", "b")).alias("h")).select("doc", "h.a", "h.b")
     shared = (spans.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
