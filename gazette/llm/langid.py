@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
+CHARS_AT_ONCE = 1 << 24
 CELLS_AT_ONCE = 1 << 20  # words (with padding) of one forward-backward pass
 UNKNOWN = "und"
 
@@ -276,9 +277,17 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", lang_out: st
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = Emissions(shared.value)
+        field = shared.value  # one object a worker process, and with it one table of words for all its tasks
+        cache = vars(field).setdefault("emissions", Emissions(field))
         for texts in batches:
-            yield pd.DataFrame(judge(list(texts), cache), columns=["lang", "score"])
+            out, part, size = [], [], 0
+            for k, text in enumerate(texts):
+                part.append(text)
+                size += len(text or "")
+                if size >= CHARS_AT_ONCE or k + 1 == len(texts):
+                    out += judge(part, cache)
+                    part, size = [], 0
+            yield pd.DataFrame(out, columns=["lang", "score"])
 
     judged = F.pandas_udf(predicted, "lang string, score double")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), judged(docs[text_col].cast("string")).alias("x"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gazette.llm.common import written
 
 END = ""  # the token after the last word; words are never empty
-COUNTED_AT_ONCE = 400_000
+COUNTED_AT_ONCE = 200_000
 
 
 def word_class(word: str, classes: int) -> int:

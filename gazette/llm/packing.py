@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import small_side, written
 
-CACHED_WORDS = 800_000
+CACHED_WORDS = 250_000
 LONGEST_CACHED = 64
 STEMS_AT_ONCE = 10_000
 CHARS_AT_ONCE = 1 << 20
