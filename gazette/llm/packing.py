@@ -10,6 +10,7 @@ pieces of each class, at most about 21,000 pieces at any input size, are packed
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import small_side, written
 
-CACHED_WORDS = 250_000
+CACHED_WORDS = 600_000
+KEPT_WORDS = 100_000  # of a full table, and after a task: the first ones, among them the frequent ones
 LONGEST_CACHED = 64
 STEMS_AT_ONCE = 10_000
 CHARS_AT_ONCE = 1 << 20
@@ -48,6 +50,10 @@ def cuts(tokens: int, capacity: int, slack: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def kept(table: dict[str, bytes]) -> dict[str, bytes]:
+    return dict(itertools.islice(table.items(), KEPT_WORDS))
+
+
 class WordIds:
     """Token ids as little-endian uint32 bytes.  The tokenizer drops white space and lets no token span it, so ids
     are looked up a word (between blanks or line ends) at a time.  A word new to the table is cut into a stem and closing
@@ -84,9 +90,9 @@ class WordIds:
     def learn(self, words: set[str]) -> None:
         """Fills the table with the words that it lacks."""
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
+            self.known = kept(self.known)
         if len(self.stems) > CACHED_WORDS:
-            self.stems = {}
+            self.stems = kept(self.stems)
         new = list(words.difference(self.known))
         cut = [self.stem(w) for w in new]
         need = set().union(*cut).difference(self.stems)
@@ -113,6 +119,10 @@ class WordIds:
             return [b"".join(map(known.__getitem__, words)) for words in split]
         return [b"".join([known[w] if w in known else self.direct(w) for w in words]) for words in split]
 
+    def rest(self) -> None:
+        """Gives back memory between tasks."""
+        self.known, self.stems = kept(self.known), kept(self.stems)
+
     def direct(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -142,6 +152,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end
                     out += [(key, s, m, zlib.crc32(ids[4 * s:4 * (s + m)]), n, j) for s, m, j in cuts(n, capacity, slack)]
                 keys, texts, size = [], [], 0
             yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "share"])
+        words.rest()
 
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("t"))
     return rows.mapInPandas(made, PIECE)
