@@ -3,11 +3,16 @@
 From every sentence a run starts: the fewest consecutive sentences, ``sentences`` at least, that hold
 ``words`` words.  Runs are hashed (128 bits) and joined over all documents; every sentence that a non-first
 repeated run covers is removed.  First is the run in the document with the smallest id, and in it the first.
+
+A sentence of over 16 words counts as several: it is cut at commas and other scripts' stops, and what is still
+longer at words chosen by their content; so is a word of over 32 letters at letters.  Parts have at most 16 words, and
+the cuts depend on the words nearby only: texts that share over 48 words share a run, wherever sentences end.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +24,70 @@ from gazette.llm.common import UPPER, written
 
 BREAK = re.compile(r"((?<=[.!?])[ \t]+|\s*\n\s*)")
 LOWER = str.maketrans(UPPER, UPPER.lower())
+PAUSE = re.compile(r"((?<=[,;:])\s+|(?<=[。！？，、；：।؟،؛])\s*)")
+WORD = re.compile(r"\S+")
+LONGEST, LONGEST_WORD = 16, 32  # words of a part, letters of a word
 LAST = (1 << 63) - 1  # stands for a null id, which ranks last
 
 
+def chosen(keys: list[int]) -> list[int]:
+    """The places of the smallest key (of equals, the last) of every ``LONGEST`` neighbours: at most so far apart, and
+    the same ones in equal stretches."""
+    out, best = [], -1
+    for at in range(LONGEST - 1, len(keys)):
+        if best <= at - LONGEST:
+            best = at - LONGEST + 1
+            for k in range(best + 1, at + 1):
+                if keys[k] <= keys[best]:
+                    best = k
+        elif keys[at] <= keys[best]:
+            best = at
+        if not out or out[-1] != best:
+            out.append(best)
+    return out
+
+
+def over_long(sentence: str) -> bool:
+    if len(sentence) <= LONGEST_WORD:
+        return False
+    words = sentence.split()
+    return len(words) > LONGEST or max(map(len, words), default=0) > LONGEST_WORD
+
+
+def cuts(piece: str) -> list[tuple[int, int]]:
+    """Where the parts of ``piece`` end and the next ones begin."""
+    found = [m.span() for m in WORD.finditer(piece)]
+    low = piece.translate(LOWER)
+    out = []
+    if len(found) > LONGEST:
+        keys = [zlib.crc32(low[a:b].encode()) for a, b in found]
+        out = [(found[k][1], found[k + 1][0]) for k in chosen(keys) if k + 1 < len(found)]
+    for a, b in found:
+        if b - a > LONGEST_WORD:
+            keys = [zlib.crc32(low[k:k + 2].encode()) for k in range(a, b - 1)]
+            out += [(a + k + 1, a + k + 1) for k in chosen(keys)]
+    return sorted(out)
+
+
 def split(text: str) -> tuple[list[str], list[str]]:
-    """Sentences and what follows each; together they are the text."""
-    parts = BREAK.split(text)
-    return parts[::2], [*parts[1::2], ""]
+    """Sentences, long ones in parts, and what follows each; together they are the text."""
+    found = BREAK.split(text)
+    parts, seps = [], []
+    for sentence, after in zip(found[::2], [*found[1::2], ""]):
+        if not over_long(sentence):
+            parts.append(sentence)
+            seps.append(after)
+            continue
+        pieces = PAUSE.split(sentence)
+        for piece, pause in zip(pieces[::2], [*pieces[1::2], after]):
+            at = 0
+            for end, begin in cuts(piece) if over_long(piece) else ():
+                parts.append(piece[at:end])
+                seps.append(piece[end:begin])
+                at = begin
+            parts.append(piece[at:])
+            seps.append(pause)
+    return parts, seps
 
 
 def runs(sentences: list[str], least: int, words: int) -> list[tuple[int, int, int]]:
@@ -57,7 +119,8 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(<id_col>, text, n_sentences, removed_sentences, repeats_of), one row per row of ``docs``: the text without the
     sentences that a non-first repeated run covers, and the ids (ascending) of the documents that had them first.
 
-    A null text stays null, an empty one empty; texts too short for a run stay as they are.  Ids are integers;
+    A part of a long sentence counts as a sentence.  A null text stays null, an empty one empty; texts too short for a
+    run stay as they are.  Ids are integers;
     a null id ranks last and never names a first document.  Rows that share an id count as one document:
     what they share is not removed.  No rows give no rows.  Other columns are ignored.
     """

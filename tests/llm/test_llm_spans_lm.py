@@ -60,6 +60,25 @@ def test_runs_cover_the_fewest_sentences():
     assert split("A b.  C\n\nd? e")[0] == ["A b.", "C", "d?", "e"]
 
 
+def test_long_sentences_are_cut(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared, glued = text(60), "".join(rng.choice(list("一二三四五六七八九十百千"), 400))
+    rows = [(1, f"{text(9)} {shared} {text(11)}"), (2, f"{text(23)} {shared.upper()} {text(30)}. Short."),
+            (3, f"{text(5)} {shared}"), (4, glued), (5, text(20) + "字字字" + glued + "字"), (6, text(70))]
+    got = {r["doc_id"]: r for r in remove_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["text"] == t for i, t in rows] == [True, False, False, True, False, True]
+    assert [got[i]["repeats_of"] for i in (2, 3, 5)] == [[1], [1], [4]]
+    for i, t in rows[1:3]:
+        assert len(t.split()) - len(got[i]["text"].split()) >= 60 - 2 * 16
+    assert len(got[5]["text"]) < len(rows[4][1]) - 340
+    for _, t in [*rows, (7, "a " * 40 + "b" * 90 + "  c,  d;\ne。f, " + text(30) + " ")]:
+        parts, seps = split(t)
+        assert "".join(p + s for p, s in zip(parts, seps)) == t
+        assert all(len(p.split()) <= 16 and len(w) <= 32 for p in parts for w in p.split())
+
+
 def model_of(rows, learn):
     counts = Counter()
     for i, t in rows:
