@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.common import UPPER, written
@@ -120,9 +120,9 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sentences that a non-first repeated run covers, and the ids (ascending) of the documents that had them first.
 
     A part of a long sentence counts as a sentence.  A null text stays null, an empty one empty; texts too short for a
-    run stay as they are.  Ids are integers;
-    a null id ranks last and never names a first document.  Rows that share an id count as one document:
-    what they share is not removed.  No rows give no rows.  Other columns are ignored.
+    run stay as they are.  Ids are integers; a null id ranks last and is not listed in repeats_of.  Rows that share an
+    id (or have none) are documents of their own, ranked by their text's hash; of equal rows one is first.  No rows
+    give no rows.  Other columns are ignored.
     """
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -136,41 +136,46 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 within.append(len(own) < len(every))
             yield pd.DataFrame({"a": a, "b": b, "within": within})
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
     made = F.pandas_udf(hashed, "a array<long>, b array<long>, within boolean")
-    found = written(rows.select(F.coalesce("id", F.lit(LAST)).alias("doc"), made("t").alias("h")).select("doc", "h.*"), "spans")
-    spans = found.select("doc", F.explode(F.arrays_zip("a", "b")).alias("h")).select("doc", "h.a", "h.b")
-    shared = (spans.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-              .select(F.col("a").alias("a2"), F.col("b").alias("b2"), "first"))
-    again = spans.join(shared, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).filter("doc > first")
-    within = found.filter("within").select("doc", F.lit(None).cast("long").alias("first"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("h"))
-    marked = again.select("doc", "first", F.struct("a", "b").alias("h")).union(within).groupBy(F.col("doc").alias("marked")).agg(
-        F.collect_set("h").alias("spans"), F.sort_array(F.collect_set("first")).alias("repeats_of"))
-
-    @F.pandas_udf("text string, n_sentences long, removed_sentences long")
-    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t")).select(
+        "id", "t", F.coalesce("id", F.lit(LAST)).alias("doc"), F.xxhash64("t").alias("rank"))
+    found = written(rows.select("doc", "rank", made("t").alias("h")).select("doc", "rank", "h.*"), "spans")
+    spans = found.select("doc", "rank", F.explode(F.arrays_zip("a", "b")).alias("h")).select("doc", "rank", "h.a", "h.b")
+    order = Window.partitionBy("a", "b").orderBy("doc", "rank")
+    again = spans.select("*", F.first("doc").over(order).alias("first"), F.first("rank").over(order).alias("best")).filter("doc <> first or rank <> best")
+    within = found.filter("within").select("doc", "rank", F.lit(None).cast("long").alias("first"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("h"))
+    marked = again.select("doc", "rank", F.when(F.col("first") < LAST, F.col("first")).alias("first"), F.struct("a", "b").alias("h")).union(within).groupBy(
+        F.col("doc").alias("doc2"), F.col("rank").alias("rank2")).agg(F.collect_set("h").alias("spans"), F.collect_set("first").alias("of"))
+
+    @F.pandas_udf("text string, n_sentences long, removed_sentences long, own boolean")
+    def cleaned(texts: pd.Series, spans: pd.Series, copies: pd.Series) -> pd.DataFrame:
         out = []
-        for t, known in zip(texts, spans):
+        for t, known, copy in zip(texts, spans, copies):
             if not t:
-                out.append((t, 0, 0))
+                out.append((t, 0, 0, False))
                 continue
             parts, seps = split(t)
             real = sum(not p.isspace() for p in parts if p)
-            if known is None:  # no run of the document occurs twice, in it or elsewhere before
-                out.append((t, real, 0))
+            if known is None and not copy:  # no run of the document occurs twice, in it or elsewhere before
+                out.append((t, real, 0, False))
                 continue
-            gone, seen = {(x["a"], x["b"]) for x in known}, set()
+            gone, seen, own = {(x["a"], x["b"]) for x in (known if known is not None else ())}, set(), False
             covered = np.zeros(len(parts) + 1, np.int64)
             for at, end, h in runs(parts, sentences, words):
-                if h in seen or halves(h) in gone:
+                new = h not in seen and halves(h) not in gone
+                if copy or not new:
                     covered[at] += 1
                     covered[end] -= 1
+                own |= bool(copy and new)  # the first of the equal rows had it first
                 seen.add(h)
             drop = (np.cumsum(covered[:-1]) > 0) & np.array([bool(p.strip()) for p in parts])
             text = "".join(p + s for p, s, d in zip(parts, seps, drop) if not d) if drop.any() else t
-            out.append((text, real, int(drop.sum())))
-        return pd.DataFrame(out, columns=["text", "n_sentences", "removed_sentences"])
-
-    joined = rows.join(marked, F.coalesce("id", F.lit(LAST)) == F.col("marked"), "left")
-    out = joined.select("id", cleaned("t", "spans").alias("x"), F.coalesce("repeats_of", F.array().cast("array<long>")).alias("repeats_of"))
-    return out.select(F.col("id").alias(id_col), F.col("x.text").alias("text"), "x.n_sentences", "x.removed_sentences", "repeats_of")
+            out.append((text, real, int(drop.sum()), own))
+        return pd.DataFrame(out, columns=["text", "n_sentences", "removed_sentences", "own"])
+
+    copies = Window.partitionBy("doc", "rank").orderBy("doc")
+    rows = rows.withColumn("copy", F.row_number().over(copies) > 1)
+    joined = rows.join(marked, (F.col("doc") == F.col("doc2")) & (F.col("rank") == F.col("rank2")), "left")
+    out = joined.select("id", cleaned("t", "spans", "copy").alias("x"), F.coalesce("of", F.array().cast("array<long>")).alias("of"))
+    of = F.when(F.col("x.own") & F.col("id").isNotNull(), F.array_union("of", F.array("id"))).otherwise(F.col("of"))
+    return out.select(F.col("id").alias(id_col), F.col("x.text").alias("text"), "x.n_sentences", "x.removed_sentences", F.sort_array(of).alias("repeats_of"))

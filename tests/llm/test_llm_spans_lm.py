@@ -79,6 +79,21 @@ def test_long_sentences_are_cut(spark):
         assert all(len(p.split()) <= 16 and len(w) <= 32 for p in parts for w in p.split())
 
 
+def test_rows_of_one_id_are_documents(spark):
+    a = "One two three four five six. Seven eight nine ten eleven twelve thirteen. "
+    b = "Red blue green grey black white. Pink brown gold teal lime rose navy. "
+    rows = [(None, a + "x."), (None, a + "y."), (None, a + "y."), (7, b + "v."), (7, b + "w."), (3, b), (8, "Own. " + a), (9, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        got = sorted(((r["doc_id"], r["text"], r["repeats_of"]) for r in remove_spans(df.repartition(parts)).collect()), key=str)
+        assert got == sorted([(None, "x.", [8]), (None, "y.", [8]), (None, "y.", [8]), (7, "v.", [3]), (7, "w.", [3]), (3, b, []),
+                              (8, "Own. " + a, []), (9, "", [8])], key=str)
+    nameless = [(None, a), (None, a), (None, a), (5, b), (5, b), (5, b + "End.")]
+    got = remove_spans(spark.createDataFrame(nameless, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"] in (a, b, b + "End."), r["repeats_of"]) for r in got) == [
+        ("5", False, [5]), ("5", False, [5]), ("5", True, []), ("None", False, []), ("None", False, []), ("None", True, [])]
+
+
 def model_of(rows, learn):
     counts = Counter()
     for i, t in rows:
