@@ -20,11 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.common import UPPER, written
+from gazette.llm.common import written
 
 BREAK = re.compile(r"((?<=[.!?])[ \t]+|\s*\n\s*)")
-LOWER = str.maketrans(UPPER, UPPER.lower())
-PAUSE = re.compile(r"((?<=[,;:])\s+|(?<=[。！？，、；：।؟،؛])\s*)")
+PAUSE = re.compile(r"[,;:。！？，、；：।؟،؛](\s*)")
 WORD = re.compile(r"\S+")
 LONGEST, LONGEST_WORD = 16, 32  # words of a part, letters of a word
 LAST = (1 << 63) - 1  # stands for a null id, which ranks last
@@ -57,14 +56,13 @@ def over_long(sentence: str) -> bool:
 def cuts(piece: str) -> list[tuple[int, int]]:
     """Where the parts of ``piece`` end and the next ones begin."""
     found = [m.span() for m in WORD.finditer(piece)]
-    low = piece.translate(LOWER)
     out = []
     if len(found) > LONGEST:
-        keys = [zlib.crc32(low[a:b].encode()) for a, b in found]
+        keys = [zlib.crc32(piece[a:b].encode().lower()) for a, b in found]
         out = [(found[k][1], found[k + 1][0]) for k in chosen(keys) if k + 1 < len(found)]
     for a, b in found:
         if b - a > LONGEST_WORD:
-            keys = [zlib.crc32(low[k:k + 2].encode()) for k in range(a, b - 1)]
+            keys = [zlib.crc32(piece[k:k + 2].encode().lower()) for k in range(a, b - 1)]
             out += [(a + k + 1, a + k + 1) for k in chosen(keys)]
     return sorted(out)
 
@@ -78,8 +76,12 @@ def split(text: str) -> tuple[list[str], list[str]]:
             parts.append(sentence)
             seps.append(after)
             continue
-        pieces = PAUSE.split(sentence)
-        for piece, pause in zip(pieces[::2], [*pieces[1::2], after]):
+        pieces, begin = [], 0
+        for m in PAUSE.finditer(sentence):
+            if m[1] or m[0] not in ",;:":
+                pieces.append((sentence[begin:m.start(1)], m[1]))
+                begin = m.end()
+        for piece, pause in [*pieces, (sentence[begin:], after)]:
             at = 0
             for end, begin in cuts(piece) if over_long(piece) else ():
                 parts.append(piece[at:end])
@@ -95,8 +97,8 @@ def runs(sentences: list[str], least: int, words: int) -> list[tuple[int, int, i
     without words belong to no run's count."""
     import xxhash
 
-    real = [(k, s) for k, s in enumerate(" ".join(s.translate(LOWER).split()) for s in sentences) if s]
-    sizes = [s.count(" ") + 1 for _, s in real]
+    real = [(k, s) for k, s in enumerate(" ".join(s.split()).encode().lower() for s in sentences) if s]  # bytes: A-Z only
+    sizes = [s.count(b" ") + 1 for _, s in real]
     out, end, total = [], 0, 0
     for at in range(len(real)):
         while end < len(real) and (end - at < least or total < words):
@@ -104,7 +106,7 @@ def runs(sentences: list[str], least: int, words: int) -> list[tuple[int, int, i
             end += 1
         if end - at < least or total < words:
             break
-        h = xxhash.xxh3_128_intdigest("\n".join([s for _, s in real[at:end]]))
+        h = xxhash.xxh3_128_intdigest(b"\n".join([s for _, s in real[at:end]]))
         out.append((real[at][0], real[end - 1][0] + 1, h))
         total -= sizes[at]
     return out
