@@ -1,4 +1,5 @@
-"""Language identification with a linear-chain conditional random field over the words of a text.
+"""Language identification with a linear-chain conditional random field over the words of a text.  A run of over
+40 letters without a blank counts as several words, so that all of it is read.
 
 A word's emission is the sum of learned weights of its features: the lexicons that list it, its prefixes,
 suffixes and letter n-grams.  Learned transitions carry the label from word to word, so that a stray foreign
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
+LONGEST_WORD = 40  # letters; a longer run without blanks is several words
 CACHED_WORDS = 250_000
 CHARS_AT_ONCE = 1 << 24
 CELLS_AT_ONCE = 1 << 20  # words (with padding) of one forward-backward pass
@@ -53,10 +55,26 @@ def word_key(word: str) -> str:
     return word[a:b].lower()
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a whole text; a longer one is there as its successive parts of ``LONGEST_WORD`` letters, so that a
+    text in a script without blanks has as many positions as its length asks for."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    out = []
+    for w in words:
+        if len(w) > LONGEST_WORD:
+            key = word_key(w)
+            out += [key[k:k + LONGEST_WORD] for k in range(0, len(key), LONGEST_WORD)]
+        else:
+            out.append(w)
+    return out
+
+
 def features(key: str, lexicon: dict[str, int]) -> list[int]:
     """Buckets of a word's affixes and n-grams, in UTF-8 bytes, and of its lexicon entry; the CRC's start value
     tells the kinds apart."""
-    w = f"^{key[:40]}$".encode()
+    w = f"^{key}$".encode()
     crc, last = zlib.crc32, BUCKETS - 1
     out = [crc(w[:2], 1) & last, crc(w[:3], 2) & last, crc(w[:4], 3) & last,
            crc(w[-2:], 4) & last, crc(w[-3:], 5) & last, crc(w[-4:], 6) & last]
@@ -151,7 +169,7 @@ def spliced(texts: list[tuple[str, int]], length: int, rng: np.random.Generator)
     labelled with its text's language: the field sees switches between languages and texts' inner runs."""
     runs = []
     for text, label in texts:
-        words = [w for w in text.split() if word_key(w)]
+        words = [w for w in words_of(text) if word_key(w)]
         at = 0
         while at < len(words):
             size = int(rng.integers(8, 65))
@@ -175,7 +193,7 @@ def fit(texts: list[tuple[str, str]], rounds: int = 4, batch: int = 64, length:
     rng = np.random.default_rng(seed)
     counts = [Counter() for _ in labels]
     for text, x in texts:
-        counts[number[x]].update(filter(None, map(word_key, text.split())))
+        counts[number[x]].update(filter(None, map(word_key, words_of(text))))
     sizes = np.asarray([max(1, c.total()) for c in counts], float)
     lexicon = {}
     for word, n in sum(counts, Counter()).items():
@@ -252,7 +270,7 @@ def judge(texts: list[str | None], cache: Emissions) -> list[tuple[str, float]]:
     todo = []
     for k in sorted(range(len(texts)), key=lambda k: len(texts[k] or "")):
         if texts[k]:
-            scores = cache.of(texts[k].split())
+            scores = cache.of(words_of(texts[k]))
             if len(scores):
                 todo.append((k, scores))
     at = 0

@@ -4,7 +4,7 @@ from itertools import product
 import numpy as np
 from pyspark.sql import functions as F
 
-from gazette.llm.langid import Emissions, Field, fit, forward_backward, identify, judge, learn
+from gazette.llm.langid import Emissions, Field, fit, forward_backward, identify, judge, learn, words_of
 
 
 def test_forward_backward_against_all_paths():
@@ -60,3 +60,17 @@ def test_odd_rows(spark, odd, none):
     assert {x for x, _ in judge(["a b", None], Emissions(empty))} == {"und"}
     one = learn(odd.filter("lang = 'en'"))
     assert judge(["some text"], Emissions(one))[0] == ("en", 1.0)
+
+
+def test_runs_without_blanks_are_read_whole():
+    en, zh, ja = "the and of to with from", "的一是不了人我在有他这中大来上国", "のにはをたがでてとしれさある"
+    rng = np.random.default_rng(3)
+    glued = lambda letters, n: "".join(rng.choice(list(letters), n))
+    field = fit([(en, "en")] * 30 + [(glued(zh, 300), "zh") for _ in range(30)] + [(glued(ja, 300), "ja") for _ in range(30)])
+    texts = [glued(zh, 400), glued(zh, 40) + glued(ja, 400), glued(ja, 40) + glued(zh, 400), glued(ja, 41)]
+    cache = Emissions(field)
+    assert [x for x, _ in judge(texts, cache)] == ["zh", "ja", "zh", "ja"]
+    assert judge([texts[1]], cache)[0][1] < 0.99  # the first part is Chinese
+    word = "x" * 39 + "yzzz"
+    assert len(cache.of(words_of(f"-{word}. {word[:40]}"))) == 3
+    assert words_of("a b--  c") == ["a", "b--", "c"] and words_of("-" * 50 + " a") == ["a"]
