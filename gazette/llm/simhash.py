@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.common import checkpointed, shuffle_partitions, written
@@ -51,17 +51,19 @@ def simhash(text: str | None, words: int = 3) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones > n))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed 64-bit integer.  Null and empty texts: 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, ranked: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of each row as a signed 64-bit integer.  Null and empty texts: 0.  With ``ranked`` also
+    rank, the text's hash."""
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.fromiter((simhash(t, words) for t in batch["t"]), np.uint64, len(batch))
-            yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)} | ({"rank": batch["rank"]} if ranked else {}))
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t"))
+    rows = rows.withColumn("rank", F.xxhash64("t")) if ranked else rows
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.withColumn("id", F.col("id").cast("string")).mapInPandas(made, "id string, fp long").select(
-        F.col("id").cast(kind).alias("id"), "fp")
+    return rows.withColumn("id", F.col("id").cast("string")).mapInPandas(made, "id string, fp long" + ", rank long" * ranked).select(
+        F.col("id").cast(kind).alias("id"), "fp", *(["rank"] if ranked else []))
 
 
 # ---- index ----------------------------------------------------------------------------------------------
@@ -204,6 +206,12 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(nodes: DataFrame, distance: int) -> DataFrame:
+    """``nodes`` (fp, least), distinct fingerprints, with the root of their component."""
+    roots = components(edges(nodes.select("fp"), distance))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
                distance: int = 2) -> DataFrame:
     """(<id_col>, fingerprint, component_id), one row per row of ``docs``: the SimHash as 16 hex digits and the
@@ -214,10 +222,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     No rows give no rows.  Other columns are ignored.
     """
     prints = written(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(edges(nodes.select("fp"), distance))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints.groupBy("fp").agg(F.min("id").alias("least")), distance)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select(F.col("fp").alias("node_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("node_fp")).select(
@@ -225,7 +230,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that name their component.  Rows that share an id stay or leave together."""
-    named = near_dedup(docs, id_col, text_col, words, distance)
-    kept = named.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of ``docs`` without their near copies: of each component the first row by id (null last), text hash and
+    the hash of the whole row (but for columns of maps)."""
+    prints = written(fingerprints(docs, id_col, text_col, words, ranked=True), "simhash")
+    name = F.struct(F.col("id").isNull().alias("__none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__id"), F.col("rank").alias("__rank"))
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rank", name.alias("name"))).alias("least"))
+    first = _rooted(nodes, distance).groupBy("root").agg(F.min("least").alias("least")).select("least.name.*")
+    keys = first.columns
+    whole = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select("*", docs[id_col].isNull().alias("__none"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("__id"),
+                       F.xxhash64(docs[text_col].cast("string")).alias("__rank"), F.xxhash64(*whole).alias("__whole"))
+    equal = Window.partitionBy(*keys).orderBy("__whole")  # rows of one id and text
+    kept = rows.join(first, keys, "left_semi").withColumn("__place", F.row_number().over(equal)).filter("__place = 1")
+    return kept.select(*docs.columns)

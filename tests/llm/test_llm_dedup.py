@@ -139,3 +139,13 @@ def test_near_dedup(documents, odd, none):
     rows = near_dedup(documents).collect()
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in rows})
     assert fingerprints(none).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = "one two three four five six seven eight", "red blue green grey black white pink brown"
+    rows = [(None, a, "p"), (None, a, "q"), (None, b, "p"), (4, b, "p"), (4, b, "q"), (4, b.upper(), "p"), (None, None, "p"), (9, "", "p"), (10, "", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 4):
+        got = [(r["doc_id"], (r["text"] or "").lower()) for r in keep_one(df.repartition(parts)).collect()]
+        assert sorted(got, key=str) == [(4, b), (9, ""), (None, a)]
+    assert keep_one(df).columns == df.columns
