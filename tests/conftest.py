@@ -3,10 +3,8 @@ import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-
-SF_SMALL = "/root/testdata/sf0.001"
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
 
 @pytest.fixture(scope="session")
@@ -15,11 +13,3 @@ def spark():
     s = get_spark("local[2]", 4, app="gazette-tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
-
-
-def one_col(spark, values, expr_fn, schema="v string"):
-    """Evaluate a column expression over a list of single values; returns the results in order."""
-    from pyspark.sql import functions as F
-    rows = [(i, v) for i, v in enumerate(values)]
-    df = spark.createDataFrame(rows, "i int, " + schema)
-    return [r[0] for r in df.orderBy("i").select(expr_fn(F.col(schema.split()[0]))).collect()]

@@ -5,7 +5,7 @@ from gazette.functions.urls import bare_host, is_valid_url, registrable_domain
 from gazette.operators import links as L
 from gazette.operators import posting_links as PL
 
-from conftest import one_col
+from helpers import one_col
 
 
 def test_registrable_domain(spark):

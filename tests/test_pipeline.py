@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ROOT, SF_SMALL
+from helpers import ROOT, SF_SMALL
 
 sys.path.insert(0, ROOT)
 import __spark_entry__ as E  # noqa: E402

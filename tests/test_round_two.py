@@ -5,7 +5,7 @@ import json
 import time
 
 import pytest
-from conftest import one_col
+from helpers import one_col
 from pyspark.sql import functions as F
 
 from gazette.functions.text import decode_entities, strip_tags

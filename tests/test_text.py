@@ -5,7 +5,7 @@ from gazette.functions.text import byte_cut, leading_int
 from gazette.operators import normalize as N
 from gazette.operators.pages import cap_text, html_to_text
 
-from conftest import one_col
+from helpers import one_col
 
 
 def test_leading_int(spark):
