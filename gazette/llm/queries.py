@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.functions.text import let
 from gazette.llm.common import table
 from gazette.llm.url_filter import Rule
 
@@ -12,6 +13,8 @@ QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 END_ID = 2
 
 RULES = [Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
@@ -153,3 +156,48 @@ def op10_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazette.llm.simhash import near_dedup
 
     return near_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazette.llm.token_alignment import align_tokens
+
+    found = align_tokens(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), tokenizer_file(PIECE_BPE), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazette.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), limit=1024)
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text; one document in ten (by h = crc32 of doc_id) repeats, from word g % n on, its next
+    1 + floor((n - a) / (3 + g % 8)) words, where g = floor(h / 10).  A null doc_id leaves the text as it is."""
+    h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        at = lambda a: let(1 + F.floor((n - a) / (3 + g % 8)), lambda p: F.array_join(F.transform(
+            words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " "))
+        return F.when(n > 0, let(g % F.greatest(n, F.lit(1)), at)).otherwise("")
+
+    words = F.filter(F.split(docs["text"], r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, repeated)).otherwise(docs["text"]).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazette.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(looped(table(spark, sf_dir, "documents")))
+    stronger = lambda x, y: y["length"] * x["period"] > x["length"] * y["period"]
+    best = F.aggregate("runs", F.get("runs", 0), lambda x, y: F.when(stronger(x, y), y).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
