@@ -42,6 +42,44 @@ def strip_tags(c) -> Column:
     return F.regexp_replace(col(c), TAG_RX_JAVA, "")
 
 
+def last_of(text: Column, rx: str) -> Column:
+    """``text`` up to and with its last match of ``rx`` ('' without one), found from its end."""
+    return F.regexp_extract(text, rf"(?is)^.*{rx}", 0)
+
+
+_SPARE = "\ufdd0\ufdd1\ufdd2\ufdd3"  # non-characters
+
+
+def replace_blocks(text: Column, rx: str, by: str, blocks: list[tuple[str, str]]) -> Column:
+    """``regexp_replace(text, rx, by)`` in linear time, for a lazy ``rx`` that runs from an opener to its closer.
+
+    From an opener without a closer such a pattern reads to the end of the text and fails, and then again from the
+    next one.  ``blocks`` are pairs: what an opener starts with, and its closer (``rx`` must need the opener's first
+    letters as they are).  Openers that can only fail - behind the last closer, or in a tag that is still open where it
+    starts - are taken apart with a character that the text does not hold before the pattern runs, and put together after it."""
+    def upto(t: Column, opener: str, closer: str) -> Column:
+        tag = opener.startswith("<") and opener[1:].isalnum()  # it needs its own '>' before the closer
+        return last_of(t, rf">(?=[^>]*?{closer})") if tag else last_of(t, rf"(?={closer})")
+
+    def taken_apart(t: Column, opener: str, closer: str, spare: Column) -> Column:
+        return F.when(t.rlike("(?i)" + opener), let(F.length(upto(t, opener, closer)), lambda n: F.concat(
+            F.substring(t, F.lit(1), n), F.regexp_replace(F.substring(t, n + 1, F.length(t)), F.lit(f"(?i)(?={opener})(.)"),
+                                                         F.concat(F.lit("$1"), spare))))).otherwise(t)
+
+    def whole(t: Column) -> Column:
+        spare = F.coalesce(F.get(F.filter(F.array(*[F.lit(c) for c in _SPARE]), lambda c: ~t.contains(c)), 0), F.lit(""))
+        return let(spare, lambda s: replaced(t, s))
+
+    def replaced(t: Column, spare: Column, rest=None) -> Column:
+        rest = blocks if rest is None else rest
+        if rest:
+            return let(taken_apart(t, *rest[0], spare), lambda u: replaced(u, spare, rest[1:]))
+        return F.replace(F.regexp_replace(t, rx, by), spare, F.lit(""))
+
+    some = "|".join(sorted({opener for opener, _ in blocks}))
+    return let(text, lambda t: F.when(t.rlike(f"(?i){some}"), whole(t)).otherwise(t))
+
+
 ENTITY_RX = "&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 

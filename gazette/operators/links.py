@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gazette.config import DEFAULT_SITE, SiteConfig
 from gazette.functions import rules
 from gazette.functions.regex import alternation, java
-from gazette.functions.text import decode_entities, is_numeric, let, php_trim, strip_tags
+from gazette.functions.text import decode_entities, is_numeric, last_of, let, php_trim, strip_tags
 from gazette.functions.urls import (HAS_HTTP_RX, bare_host, is_valid_url, page_dir,
                                     registrable_domain, url_host, url_path, url_scheme)
 
@@ -46,9 +46,12 @@ def extract_links(pages: DataFrame, html: str = "html", out: str = "links") -> D
     """L1: ``links`` = [{pos, raw_href, raw_title}] in document order (pos is 1-based).
 
     The page is scanned once for whole anchors; each (short) anchor is then
-    re-matched for its two groups."""
+    re-matched for its two groups.  Linear in the page: nothing behind the last </a> can be an anchor, and where an
+    opener is none, no other one in the same open tag is, so the scan passes over all of that tag."""
     rx = java(ANCHOR_RX, ci=True, dotall=True)
-    anchors = F.regexp_extract_all(F.col(html), F.lit(rx), 0)
+    scanned = last_of(F.col(html), "</a>")
+    found = F.regexp_extract_all(scanned, F.lit(java(ANCHOR_RX + "|<a[^>]*+", ci=True, dotall=True)), 0)
+    anchors = F.filter(found, lambda a: a.contains(">"))
     return pages.withColumn(out, F.transform(anchors, lambda a, i: F.struct(
         (i + 1).alias("pos"),
         F.regexp_extract(a, rx, 1).alias("raw_href"),
