@@ -125,24 +125,70 @@ def host_suffixes(host: Column) -> Column:
 
 
 def link_class_of(url: Column, host: Column, source_domain: Column,
-                  site: SiteConfig = DEFAULT_SITE) -> Column:
-    """L8 rule for one URL (``host`` = lower host without www.), first rule wins."""
-    aggs = F.array(*[F.lit(d) for d in aggregator_domains(site)])
+                  site: SiteConfig = DEFAULT_SITE, listed: Column | None = None) -> Column:
+    """L8 rule for one URL (``host`` = lower host without www.), first rule wins.  ``listed``: whether
+    the aggregator list holds the host, where it is looked up elsewhere (``with_listed_hosts``)."""
+    if listed is None:
+        listed = F.arrays_overlap(host_suffixes(host), F.array(*[F.lit(d) for d in aggregator_domains(site)]))
     same_site = (host == source_domain) | host.endswith(F.concat(F.lit("."), source_domain))
     return (F.when(~is_valid_url(url), F.lit("unknown"))
             .when(same_site, F.lit("aggregator"))
-            .when(F.arrays_overlap(host_suffixes(host), aggs), F.lit("aggregator"))
+            .when(listed, F.lit("aggregator"))
             .when(host.rlike(java(OFFICIAL_HOST_RX, ci=True)), F.lit("official"))
             .when(F.lower(url_path(url)).endswith(".pdf"), F.lit("official"))
             .otherwise(F.lit("unknown")))
 
 
-def classify_links(df: DataFrame, links: str = "links", site: SiteConfig = DEFAULT_SITE,
-                   source_domain: str = "_src_domain") -> DataFrame:
-    """L8 over an array of links (the page's registrable domain in ``source_domain``)."""
+LITERAL_DOMAINS = 5_000  # a table of up to so many distinct domains is a set in the plan
+
+
+def table_domains(dim_aggregator: DataFrame, site: SiteConfig = DEFAULT_SITE) -> DataFrame:
+    """The distinct domains of a table of aggregators, and the site's own host."""
+    own = dim_aggregator.sparkSession.range(1).select(F.lit(site.host).alias("_domain"))
+    return dim_aggregator.select(F.lower(F.trim("domain")).alias("_domain")).filter("_domain <> ''").union(own).distinct()
+
+
+def listed_in(dim_aggregator: DataFrame, site: SiteConfig = DEFAULT_SITE):
+    """Whether a host is listed, as a function of its column, where the table is small enough for a set in the plan
+    (hashed look-ups, no exchange); None where it is not (``with_listed_hosts`` then joins).  Reads the table up to the bound."""
+    found = [r["_domain"] for r in table_domains(dim_aggregator, site).limit(LITERAL_DOMAINS + 1).collect()]
+    if len(found) > LITERAL_DOMAINS:
+        return None
+    return lambda host: F.exists(host_suffixes(host), lambda d: d.isin(found))
+
+
+def with_listed_hosts(df: DataFrame, hosts: Column, dim_aggregator: DataFrame, key: str, out: str,
+                      site: SiteConfig = DEFAULT_SITE) -> DataFrame:
+    """``out``: those of a row's ``hosts`` that the table (domain) lists, themselves or by a domain above them.
+
+    Each distinct host is cut into its suffixes once and semi-joined with the table, so neither side's size matters;
+    Spark broadcasts a side that it measures as small and puts its runtime Bloom filter before a large shuffle.  Only
+    (key, host) pairs travel, not the rows' pages or texts, and what returns is grouped by ``key``, one list of listed
+    hosts each.  Rows that share a key, or have none, share a list: being listed depends on the host alone."""
+    domains = table_domains(dim_aggregator, site)
+    pairs = df.select(F.col(key).alias("_of"), F.explode(F.array_distinct(hosts)).alias("_host"))
+    suffixes = pairs.select("_host").distinct().select("_host", F.explode(host_suffixes(F.col("_host"))).alias("_domain"))
+    listed = suffixes.join(domains, "_domain", "left_semi").select("_host").distinct()
+    found = pairs.join(listed, "_host", "left_semi").groupBy("_of").agg(F.collect_set("_host").alias("_hosts"))
+    return df.join(found, F.col(key).eqNullSafe(F.col("_of")), "left").withColumn(
+        out, F.coalesce("_hosts", F.array().cast("array<string>"))).drop("_of", "_hosts")
+
+
+def classify_links(df: DataFrame, links: str = "links", site: SiteConfig = DEFAULT_SITE, source_domain: str = "_src_domain",
+                   dim_aggregator: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+    """L8 over an array of links (the page's registrable domain in ``source_domain``).  The aggregators are the
+    fixed list, or with ``dim_aggregator`` (domain) the rows of that table, a set in the plan or by its counted size
+    a join; the site's own host always is one."""
     df = _transform(df, links, lambda x: x.withField("host", bare_host(x["url"])))
-    return _transform(df, links, lambda x: x.withField(
-        "link_class", link_class_of(x["url"], x["host"], F.col(source_domain), site)))
+    listed = None
+    if dim_aggregator is not None:
+        listed = listed_in(dim_aggregator, site)
+        if listed is None:
+            df = with_listed_hosts(df, F.transform(links, lambda x: x["host"]), dim_aggregator, key, "_listed", site)
+            listed = lambda host: F.array_contains("_listed", host)
+    df = _transform(df, links, lambda x: x.withField(
+        "link_class", link_class_of(x["url"], x["host"], F.col(source_domain), site, listed and listed(x["host"]))))
+    return df.drop("_listed")
 
 
 def split_by_class(df: DataFrame, links: str = "links", out: str = "official_links") -> DataFrame:
@@ -223,7 +269,7 @@ def explode_links(df: DataFrame, links: str, keep: list[str], fields: list[str])
 # ---------------------------------------------------------------- page link pipeline
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url",
-               site: SiteConfig = DEFAULT_SITE) -> DataFrame:
+               site: SiteConfig = DEFAULT_SITE, dim_aggregator: DataFrame | None = None) -> DataFrame:
     """L1..L8 in order: extract, clean, drop non-web, resolve, validate, dedupe, classify."""
     df = with_page_context(pages, url)
     df = extract_links(df, html)
@@ -232,7 +278,7 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url",
     df = resolve_links(df)
     df = filter_valid_urls(df)
     df = dedupe_links(df)
-    return classify_links(df, site=site)
+    return classify_links(df, site=site, dim_aggregator=dim_aggregator)
 
 
 def to_title_url(arr: Column) -> Column:

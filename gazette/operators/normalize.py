@@ -14,6 +14,7 @@ from gazette.functions.regex import java, literal
 from gazette.functions.text import (byte_cut, col, decode_entities, is_blank_str, is_numeric,
                                     leading_int, let, nz, php_trim, strip_tags)
 from gazette.functions.urls import is_apply_url_bare, is_valid_url, url_path, url_query, with_scheme
+from gazette.sources.dims import unique_dim
 
 INT_FIELDS = ["total_posts", "age_min", "age_max_gen", "age_max_obc", "age_max_sc", "age_max_ph",
               "age_max_ex_serviceman", "fee_general", "fee_obc", "fee_sc_st", "fee_women", "fee_ph",
@@ -175,18 +176,24 @@ def _map(pairs) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
 
 
-def resolve_organization(df: DataFrame) -> DataFrame:
+def resolve_organization(df: DataFrame, dim_org: DataFrame | None = None) -> DataFrame:
     """A blank organisation comes from the title: cut at the first recruitment-like word,
     year or dash; a known abbreviation as first token gives the full name; else the cut text
-    when 3+ bytes; else a default."""
+    when 3+ bytes; else a default.  The abbreviations are the fixed list, or with ``dim_org`` (abbrev, full_name) the rows
+    of that table (of an abbreviation that occurs twice the smallest name counts)."""
     cut = php_trim(F.regexp_replace(nz("title"), java(rules.ORG_CUT_PATTERN, ci=True), ""))
     first = F.upper(F.regexp_replace(F.split(cut, " ").getItem(0), "[^A-Za-z]", ""))
-    full = F.element_at(_map(rules.ORG_ABBREVIATIONS), first)
+    if dim_org is None:
+        full = F.element_at(_map(rules.ORG_ABBREVIATIONS), first)
+    else:
+        dim = unique_dim(dim_org.select(F.upper(F.trim("abbrev")).alias("_abbrev"), F.col("full_name").alias("_full")), "_abbrev")
+        df = df.withColumn("_first", F.when(is_blank_str("organization") & (first != ""), first))
+        df, full = df.join(dim, F.col("_first") == F.col("_abbrev"), "left").drop("_first", "_abbrev"), F.col("_full")
     derived = (F.when((first != "") & full.isNotNull(), full)
                .when(F.octet_length(cut) >= 3, cut)
                .otherwise(F.lit(rules.ORG_DEFAULT)))
     return df.withColumn("organization", F.when(is_blank_str("organization"), derived)
-                         .otherwise(F.col("organization")))
+                         .otherwise(F.col("organization"))).drop("_full")
 
 
 def year_in(text, default_year: str) -> Column:

@@ -255,14 +255,19 @@ def social_meta_rows(df: DataFrame, site: SiteConfig = DEFAULT_SITE, image: str
     return _rows(df, ["post_id"], items, label="name", value="content")
 
 
-def card_rows(df: DataFrame) -> DataFrame:
+def card_rows(df: DataFrame, dim_card: DataFrame | None = None) -> DataFrame:
     """Ordered (label, value) card lines for the posting's type (unknown -> job); the type is
-    lower-cased and its first blank becomes '_'."""
+    lower-cased and its first blank becomes '_'.
+
+    The layouts are the fixed ones, or with ``dim_card`` (type, ordinal, label, source_field, default) the rows of that table: a
+    type that it lacks takes its 'job' layout, a field that postings lack is null (or the default)."""
     typ = F.regexp_replace(F.lower(F.coalesce(F.col("type"), F.lit("job"))), "^([^ ]*) ", "$1_")
-    known = [t for t, _ in rules.CARD_LAYOUTS]
-    df = df.withColumn("_ctype", F.when(typ.isin(*known), typ).otherwise(F.lit("job")))
     df = (df.withColumn("education_label", N.education_label("education"))
             .withColumn("age_label", N.age_label_short("age_min", "age_max_gen")))
+    if dim_card is not None:
+        return _card_rows_of(df.withColumn("_ctype", typ), dim_card)
+    known = [t for t, _ in rules.CARD_LAYOUTS]
+    df = df.withColumn("_ctype", F.when(typ.isin(*known), typ).otherwise(F.lit("job")))
     parts = []
     for t, layout in rules.CARD_LAYOUTS:
         items = []
@@ -278,6 +283,23 @@ def card_rows(df: DataFrame) -> DataFrame:
               .select("post_id", "card_type", (F.col("_i") + 1).alias("row_no"), "r.label", "r.value"))
 
 
+def _card_rows_of(df: DataFrame, dim_card: DataFrame) -> DataFrame:
+    """A layout (one type's lines) is one row of the grouped table; postings join it by type and keep their own lines."""
+    line = F.struct(F.col("ordinal").cast("long").alias("ordinal"), "label", "source_field", F.col("default").cast("string").alias("default"))
+    layouts = dim_card.filter("type is not null").groupBy(F.lower("type").alias("_type")).agg(F.array_sort(F.collect_list(line)).alias("_layout"))
+    fallback = layouts.filter("_type = 'job'").select(F.lit(True).alias("_one"), F.col("_layout").alias("_job"))
+    atomic = [f.name for f in df.schema if f.dataType.simpleString().split("<")[0] not in ("array", "map", "struct", "variant") and not f.name.startswith("_")]
+    values = F.create_map(*[x for c in atomic for x in (F.lit(c), F.col(c).cast("string"))])
+    df = df.withColumn("_values", values).join(layouts, F.col("_ctype") == F.col("_type"), "left")
+    df = df.withColumn("_one", F.col("_layout").isNull()).join(fallback, "_one", "left")
+    lines = F.transform(F.coalesce("_layout", "_job"), lambda x: F.struct(x["label"].alias("label"), F.when(
+        x["default"].isNotNull() & is_blank_str(F.element_at("_values", x["source_field"])), x["default"]).otherwise(
+        F.element_at("_values", x["source_field"])).alias("value")))
+    card = F.when(F.col("_layout").isNull(), F.lit("job")).otherwise(F.col("_ctype"))
+    return (df.select("post_id", card.alias("card_type"), F.posexplode(lines).alias("_i", "r"))
+              .select("post_id", "card_type", (F.col("_i") + 1).alias("row_no"), "r.label", "r.value"))
+
+
 def posting_summary(df: DataFrame, dim_categories: DataFrame, dim_states: DataFrame) -> DataFrame:
     """The result panel: id, vacancies (en-IN grouping), type in title case, last date,
     category / state names looked up by id (the first row of an id by ordinal)."""

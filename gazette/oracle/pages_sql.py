@@ -77,12 +77,13 @@ def aggregator_list_sql(site: SiteConfig = DEFAULT_SITE) -> str:
     return "[" + ", ".join(q.s(d) for d in rules.AGGREGATOR_DOMAINS + [site.host]) + "]"
 
 
-def link_class_sql(url: str, src_domain: str, site: SiteConfig = DEFAULT_SITE) -> str:
+def link_class_sql(url: str, src_domain: str, site: SiteConfig = DEFAULT_SITE, listed: str | None = None) -> str:
     host = q.bare_host(url)
+    listed = listed or (f"list_contains({aggregator_list_sql(site)}, {host}) "
+                        f"OR len(list_filter({aggregator_list_sql(site)}, lambda d: suffix({host}, '.' || d))) > 0")
     return f"""(CASE WHEN NOT {q.is_valid_url(url)} THEN 'unknown'
       WHEN {host} = {src_domain} OR suffix({host}, '.' || {src_domain}) THEN 'aggregator'
-      WHEN list_contains({aggregator_list_sql(site)}, {host})
-        OR len(list_filter({aggregator_list_sql(site)}, lambda d: suffix({host}, '.' || d))) > 0 THEN 'aggregator'
+      WHEN {listed} THEN 'aggregator'
       WHEN {q.rlike(host, OFFICIAL_HOST_RX, ci=True)} THEN 'official'
       WHEN suffix(lower({q.url_path(url)}), '.pdf') THEN 'official'
       ELSE 'unknown' END)"""

@@ -105,8 +105,12 @@ def _map(pairs):
     return "MAP {" + ", ".join(f"{s(k)}: {s(v)}" for k, v in pairs) + "}"
 
 
+def organization_cut(title):
+    return q.php_trim(q.rrep(nz(title), rules.ORG_CUT_PATTERN, "", ci=True))
+
+
 def resolve_organization(org, title):
-    cut = q.php_trim(q.rrep(nz(title), rules.ORG_CUT_PATTERN, "", ci=True))
+    cut = organization_cut(title)
     first = f"upper({q.rrep(f'string_split({cut}, chr(32))[1]', '[^A-Za-z]', '')})"
     full = f"{_map(rules.ORG_ABBREVIATIONS)}[{first}]"
     derived = (f"(CASE WHEN {first} <> '' AND {full} IS NOT NULL THEN {full} "

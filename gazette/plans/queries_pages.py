@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gazette.config import DEFAULT_SITE
+from gazette.functions.urls import bare_host
 from gazette.oracle import pages_sql as PS
+from gazette.oracle import sqlfn as q
 from gazette.operators import links as L
 from gazette.plans.registry import register
 from gazette.plans.scrape import scrape_batch
@@ -106,6 +109,23 @@ def q_classify_links(spark, sf_dir):
         "pos", F.col("pos").cast("long"))
 
 
+_LISTED = f"(SELECT count(*) FROM listed d WHERE {q.bare_host('link_url')} = d.domain OR suffix({q.bare_host('link_url')}, '.' || d.domain)) > 0"
+
+
+@register("l8_live_aggregators", PS.ext_links_sql(
+    "page_id, CAST(pos AS BIGINT) AS pos, link_url AS url, "
+    + PS.link_class_sql("link_url", q.registrable_domain("page_url"), listed=_LISTED) + " AS link_class", "uniq_links").replace(
+    "uniq_links AS (", f"""listed AS (SELECT DISTINCT {q.bare_host('link_url')} AS domain FROM clean_links WHERE pos % 3 = 1
+           UNION SELECT '{DEFAULT_SITE.host}'),
+uniq_links AS ("""))
+def q_live_aggregators(spark, sf_dir):
+    """L8 against a table of aggregators: the hosts of every third link of a page."""
+    clean = _ext_links(spark, sf_dir, "l5")
+    dim = clean.select(F.explode("links").alias("l")).filter("l.pos % 3 = 1").select(bare_host(F.col("l.url")).alias("domain"))
+    df = L.classify_links(_ext_links(spark, sf_dir, "l6"), dim_aggregator=dim)
+    return _long(df, [("pos", "pos"), ("url", "url"), ("link_class", "link_class")]).withColumn("pos", F.col("pos").cast("long"))
+
+
 @register("l9_split_by_class", PS.ext_links_sql(
     "page_id, CAST(count(*) FILTER (WHERE link_class = 'official') AS BIGINT) AS n_official, "
     "CAST(count(*) FILTER (WHERE link_class <> 'official') AS BIGINT) AS skipped_count",

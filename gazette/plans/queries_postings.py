@@ -141,6 +141,20 @@ def q_n11(spark, sf_dir):
     return N.resolve_organization(_p(spark, sf_dir)).select("post_id", "organization")
 
 
+@register("n11_live_organizations", f"""WITH {S.postings_raw_cte()}
+dim AS (SELECT upper(trim(string_split(p_name, ' ')[1])) AS abbrev, min(p_name || ' Board') AS full_name FROM part GROUP BY 1),
+t AS (SELECT post_id, organization, {S.organization_cut('title')} AS cut FROM postings_raw),
+f AS (SELECT *, upper(regexp_replace(string_split(cut, ' ')[1], '[^A-Za-z]', '', 'g')) AS first FROM t)
+SELECT post_id, CASE WHEN NOT {S.blank('organization')} THEN organization WHEN first <> '' AND full_name IS NOT NULL THEN full_name
+                     WHEN strlen(cut) >= 3 THEN cut ELSE {S.s(rules.ORG_DEFAULT)} END AS organization
+FROM f LEFT JOIN dim ON first = abbrev""")
+def q_n11_live(spark, sf_dir):
+    """N11 with a table of abbreviations: the first word of each part name, which titles start with."""
+    from gazette.session import read_table
+    dim = read_table(spark, sf_dir, "part").select(F.split("p_name", " ").getItem(0).alias("abbrev"), F.concat("p_name", F.lit(" Board")).alias("full_name"))
+    return N.resolve_organization(_p(spark, sf_dir), dim).select("post_id", "organization")
+
+
 _SLUG_SQL = S.derive_slug("organization", "title", "short_description", "total_posts")
 
 
@@ -541,6 +555,10 @@ def q_r11(spark, sf_dir):
     return R.social_meta_rows(N.derive_slug(_p(spark, sf_dir))).withColumn("row_no", F.col("row_no").cast("int"))
 
 
+_CARD_TYPE = "(CASE {n} % 4 WHEN 0 THEN 'job' WHEN 1 THEN 'result' WHEN 2 THEN 'syllabus' ELSE 'blog' END)"
+_CARD_VALUE = "(CASE WHEN ordinal % 2 = 1 THEN state_name ELSE salary END)"
+
+
 def _r12_sql():
     typ = f"regexp_replace(lower(coalesce(type, 'job')), '^([^ ]*) ', {S.s(chr(92) + '1_')})"
     known = "[" + ", ".join(S.s(t) for t, _ in rules.CARD_LAYOUTS) + "]"
@@ -569,6 +587,26 @@ def q_r12(spark, sf_dir):
     return R.card_rows(_p(spark, sf_dir)).withColumn("row_no", F.col("row_no").cast("int"))
 
 
+@register("r12_live_cards", f"""WITH {S.postings_raw_cte()}
+layout AS (SELECT {_CARD_TYPE.format(n='l_orderkey')} AS type, l_linenumber AS ordinal, min(l_returnflag) AS label, min(l_linestatus) AS fallback
+           FROM lineitem GROUP BY ALL),
+lines AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ordinal) AS row_no FROM layout),
+p AS (SELECT *, coalesce(type, 'job') AS want FROM postings_raw),
+c AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM layout l WHERE l.type = want) THEN want ELSE 'job' END AS card_type FROM p)
+SELECT post_id, card_type, CAST(row_no AS INTEGER) AS row_no, label, CASE WHEN {S.blank(_CARD_VALUE)} THEN fallback ELSE {_CARD_VALUE} END AS value
+FROM c JOIN lines ON lines.type = c.card_type""")
+def q_r12_live(spark, sf_dir):
+    """R12 with a table of layouts made of order lines: type by order key, line number, flag as label, status as default."""
+    from gazette.session import read_table
+    mod = F.col("l_orderkey") % 4
+    dim = read_table(spark, sf_dir, "lineitem").groupBy(
+        F.when(mod == 0, "job").when(mod == 1, "result").when(mod == 2, "syllabus").otherwise("blog").alias("type"), F.col("l_linenumber").alias("ordinal")
+    ).agg(F.min("l_returnflag").alias("label"), F.min("l_linestatus").alias("default"))
+    odd = F.col("ordinal") % 2
+    dim = dim.withColumn("source_field", F.when(odd == 1, "state_name").otherwise("salary"))
+    return R.card_rows(_p(spark, sf_dir), dim).withColumn("row_no", F.col("row_no").cast("int"))
+
+
 # ---------------------------------------------------------------- posting links
 
 @register("l18_l20_l21_pdf_complete_official", W(
@@ -814,7 +852,10 @@ def q_v3(spark, sf_dir):
     """Every published column of the accepted postings, and the rejected ones with their reason."""
     from gazette.plans.publish import prepare_publish
     from gazette.sources.dims import dim_category
-    ok, bad = prepare_publish(_p(spark, sf_dir), SITE, dim_category(spark))
+    return published_rows(*prepare_publish(_p(spark, sf_dir), SITE, dim_category(spark)))
+
+
+def published_rows(ok, bad):
     ok = ok.withColumn("content_md5", F.md5("content"))
     names = N.INT_FIELDS + N.OPTIONAL_FIELDS + S.PUBLISHED_TEXT
     out = ok.select("post_id", F.lit(None).cast("string").alias("reject_reason"), "slug", "organization",

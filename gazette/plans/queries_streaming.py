@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 from gazette.operators import links as L
 from gazette.oracle import pages_sql as PS
+from gazette.oracle import postings_sql as S
+from gazette.plans.fixtures import load_postings_raw, load_responses, pages_ext
+from gazette.plans.publish import prepare_publish
 from gazette.plans.registry import register
-from gazette.session import shared_path
+from gazette.plans.scrape import scrape_batch
+from gazette.session import read_table, shared_path
+from gazette.sources.dims import dim_category
+from gazette.streaming.publish import answers_to_postings, published, stream_publish
 from gazette.streaming.scrape import read_facts, read_page_stream, stream_first_seen, stream_scrape
 
 
@@ -41,3 +47,31 @@ def q_t2(spark, sf_dir):
          .trigger(availableNow=True).queryName(f"t2_{run[:12]}").start())
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def _streamed(spark, rows, name: str, files: int, prepare):
+    """``rows`` written as files, streamed through ``prepare`` some files a batch, and what is then published."""
+    src, sink = (shared_path(spark, f"{name}-{kind}-{uuid.uuid4().hex}") for kind in ("src", "out"))
+    rows.repartition(files).write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 3)).parquet(src)
+    stream_publish(stream, sink, f"{sink}-checkpoint", prepare, name=f"{name}_{uuid.uuid4().hex[:12]}").awaitTermination()
+    return published(spark, sink)
+
+
+@register("s6_stream_postings", S.prepare_publish_sql())
+def q_s6_stream(spark, sf_dir):
+    """The postings arrive as files; V3 and both outputs a micro-batch."""
+    from gazette.plans.queries_postings import published_rows
+    prepare = lambda batch: prepare_publish(batch, dim_category=dim_category(spark))
+    return published_rows(*_streamed(spark, load_postings_raw(spark, sf_dir), "s6", 6, prepare))
+
+
+@register("v3_v4_stream_answers", None)
+def q_v4_stream(spark, sf_dir):
+    """The model answers arrive as files; S3, V4, V3 and S6 a micro-batch.  Postings and quarantine in one table."""
+    facts = scrape_batch(pages_ext(read_table(spark, sf_dir, "pages")))[0]
+    prepare = answers_to_postings(lambda s: facts, categories=dim_category)
+    ok, bad = _streamed(spark, load_responses(spark, sf_dir), "v4s", 6, prepare)
+    ok = ok.select("post_id", F.lit(None).cast("string").alias("reject_reason"), "type", "title", "slug", "organization", "category_id",
+                   F.array_join("tags", "|").alias("tags"), F.size("important_links").alias("n_links"), F.md5("content").alias("content_md5"))
+    return ok.unionByName(bad.select("post_id", "reject_reason"), allowMissingColumns=True)

@@ -37,6 +37,13 @@ def dim_aggregator(spark: SparkSession, site_host: str | None = None) -> DataFra
     return spark.createDataFrame(rows, "domain string")
 
 
+def dim_card(spark: SparkSession) -> DataFrame:
+    """Card layouts, one row a line."""
+    return spark.createDataFrame([(t, k + 1, label, field, default) for t, layout in rules.CARD_LAYOUTS
+                                  for k, (label, field, default) in enumerate(layout)],
+                                 "type string, ordinal int, label string, source_field string, default string")
+
+
 def vocab(spark: SparkSession, kind: str) -> DataFrame:
     values = rules.VOCAB_TAGS if kind == "tag" else rules.VOCAB_EDUCATION
     return spark.createDataFrame([(v,) for v in values], "code string")

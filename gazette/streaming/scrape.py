@@ -11,6 +11,8 @@ horizon (watermark on the file's modification time, since pages carry no event t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +29,17 @@ def read_page_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 
 
 def stream_scrape(spark: SparkSession, source: str, sink: str, checkpoint: str, name: str = "stream_scrape",
-                  site: SiteConfig = DEFAULT_SITE, available_now: bool = True, max_files_per_trigger: int | None = None):
+                  site: SiteConfig = DEFAULT_SITE, available_now: bool = True, max_files_per_trigger: int | None = None,
+                  aggregators: Callable[[SparkSession], DataFrame] | None = None):
     """Start the stream; each batch is written once to ``sink/batch=<id>/status=facts|rejects``.
+    ``aggregators`` loads the list of aggregators (S5) for each micro-batch: a batch works on the files that the table
+    holds when it starts, and a change counts from the next batch on; without, the fixed list.
     ``sink`` and ``checkpoint`` are folders that all executors share; restarted on the same two, the
     stream goes on where it stopped.  Returns the StreamingQuery."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         status = F.when(F.col("reject_reason").isNull(), F.lit("facts")).otherwise(F.lit("rejects"))
-        (page_facts_all(batch, site).withColumn("status", status).write.mode("overwrite")
+        listed = aggregators and aggregators(batch.sparkSession)
+        (page_facts_all(batch, site, listed).withColumn("status", status).write.mode("overwrite")
          .partitionBy("status").parquet(f"{sink}/batch={batch_id}"))
 
     w = (read_page_stream(spark, source, max_files_per_trigger).writeStream.foreachBatch(per_batch)
