@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gazette.llm.common import small_side, written
 
 CACHED_WORDS = 600_000
-KEPT_WORDS = 100_000  # of a full table, and after a task: the first ones, among them the frequent ones
+KEPT_WORDS = 250_000  # of a full table, and after a task: the first ones, among them the frequent ones
 LONGEST_CACHED = 64
 STEMS_AT_ONCE = 10_000
 CHARS_AT_ONCE = 1 << 20
@@ -30,6 +30,7 @@ MARKS = ".,;:!?$%&#*"
 LATIN_END = "\u0250"  # letters before it are never changed by Unicode normalisation
 PIECES_PER_WORKER = 20_000
 PIECE = "id string, start long, length long, ids_crc32 long, doc_tokens long, share int"
+SALTS = 1024  # equal pieces of one id, or of none, are dealt over as many hashes
 
 
 def cuts(tokens: int, capacity: int, slack: int) -> list[tuple[int, int, int]]:
@@ -111,13 +112,14 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*split)
-        long = {w for w in every if len(w) > LONGEST_CACHED}
-        self.learn(every - long)
+        found = [list(map(self.known.get, words)) for words in split]
+        open_ = [k for k, parts in enumerate(found) if None in parts]
+        missing = {w for k in open_ for w, part in zip(split[k], found[k]) if part is None}
+        self.learn({w for w in missing if len(w) <= LONGEST_CACHED})
         known = self.known
-        if not long:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([known[w] if w in known else self.direct(w) for w in words]) for words in split]
+        for k in open_:
+            found[k] = [part if part is not None else known[w] if w in known else self.direct(w) for w, part in zip(split[k], found[k])]
+        return [b"".join(parts) for parts in found]
 
     def rest(self) -> None:
         """Gives back memory between tasks."""
@@ -138,6 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_ids(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
+        salt = itertools.cycle(range(SALTS))
         for batch in batches:
             out, keys, texts, size = [], [], [], 0
             for k, (key, text) in enumerate(zip(batch["id"], batch["t"])):
@@ -149,13 +152,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end
                 for key, ids in zip(keys, words.ids(texts)):
                     ids += end
                     n = len(ids) // 4
-                    out += [(key, s, m, zlib.crc32(ids[4 * s:4 * (s + m)]), n, j) for s, m, j in cuts(n, capacity, slack)]
+                    out += [(key, s, m, zlib.crc32(ids[4 * s:4 * (s + m)]), n, j, next(salt)) for s, m, j in cuts(n, capacity, slack)]
                 keys, texts, size = [], [], 0
-            yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "share"])
+            yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "share", "salt"])
         words.rest()
 
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("t"))
-    return rows.mapInPandas(made, PIECE)
+    return rows.mapInPandas(made, PIECE + ", salt int")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
@@ -169,7 +172,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     made = written(pieces(docs, tokenizer_path, id_col, text_col, end_id, capacity, slack), "pieces")
     workers = max(1, min(made.count() // PIECES_PER_WORKER, (1 << 18) - 2))
-    made = made.withColumn("worker", F.pmod(F.xxhash64("id", "start"), F.lit(workers)).cast("int"))
+    made = made.withColumn("worker", F.pmod(F.xxhash64("id", "start", "ids_crc32", "salt"), F.lit(workers)).cast("int")).drop("salt")
 
     own = Window.partitionBy("share", "worker")
     ranked = made.withColumn("r", F.row_number().over(own.orderBy("id", "start", "ids_crc32")) - 1)
