@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Poisson replication.
 
 A source's rows are repeated at a mean rate that takes the source to its target share.  A document's count
-is the inverse of the Poisson distribution with that mean at a number in [0, 1) hashed from its id, so a
-rerun gives the same copies.  Copies are exploded and shuffled by a hashed key.
+is the inverse of the Poisson distribution with that mean at a number in [0, 1) hashed from its id and text, so a
+rerun gives the same copies and documents that share an id, or have none, are drawn on their own.  Copies are exploded and shuffled by a hashed key.
 """
 
 from __future__ import annotations
@@ -55,18 +55,20 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
 
 def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                 weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0,
-                seed: int = 5, carry: list[str] | None = None) -> DataFrame:
+                seed: int = 5, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """One row per copy of a document: <id_col>, source, copy (from 1), copies, rate, shuffle_key, and with
     ``carry`` a struct ``carried``; dealt over tasks and ordered in each by the hashed ``shuffle_key``.
 
-    A null source is a source of its own; a null id is hashed as the word null; repeated ids get equal
-    counts.  Documents with a count of 0 leave.  No rows give no rows.  Other columns are ignored.
+    A null source is a source of its own; a null id is hashed as the word null, a null text as an empty one.  Rows of equal
+    id and text get equal counts; their copies are told apart by nothing but ``copy``.  A
+    table without ``text_col`` is drawn by ids alone.  Documents with a count of 0 leave.  No rows give no rows.  Other columns are ignored.
     """
     rates, sources = source_rates(docs, source_col, weights, power, epochs)
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"),
+                       F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")) if text_col in docs.columns else F.lit("")).alias("hash"),
                        F.struct(*[docs[c] for c in carry or []]).alias("carried") if carry else F.lit(None).alias("carried"))
     rates = small_side(rates.withColumnRenamed("source", "rate_source"), sources)
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("hash"))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("draws")), F.lit(0),
         lambda total, j: total + F.size(F.filter("cdf", lambda c: c <= uniform(F.concat(name, F.lit("#"), j.cast("string"))))))
@@ -74,7 +76,7 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
              .withColumn("u", uniform(F.concat(name, F.lit("#1"))))
              .withColumn("copies", F.when(F.col("draws") == 1, F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(count)))
     copies = drawn.filter("copies > 0").select(
-        "id", "source", "carried", "copies", "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        "id", "hash", "source", "carried", "copies", "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     key = F.md5(F.concat(name, F.lit("/"), F.col("copy").cast("string")))
     out = (copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
            .select(F.col("id").alias(id_col), "source", F.col("copy").cast("long").alias("copy"),

@@ -105,9 +105,8 @@ rates AS (SELECT source, n, ((SELECT sum(n) FROM counts)::DOUBLE * w::DOUBLE * 1
 cdf AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
         UNION ALL
         SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + sqrt(rate) * 12 + 30)),
-drawn AS (SELECT doc_id, source, '5:' || coalesce(doc_id::VARCHAR, 'null') AS name,
-                 ('0x' || substr(md5('5:' || coalesce(doc_id::VARCHAR, 'null') || '#1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-          FROM documents),
+named AS (SELECT doc_id, source, '5:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) AS name FROM documents),
+drawn AS (SELECT doc_id, source, name, ('0x' || substr(md5(name || '#1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM named),
 counted AS (SELECT doc_id, drawn.source, name, any_value(rate) AS rate, count(*) FILTER (c <= u) AS copies
             FROM drawn JOIN cdf ON drawn.source IS NOT DISTINCT FROM cdf.source GROUP BY doc_id, drawn.source, name)
 SELECT doc_id, source, copy, copies, rate, md5(name || '/' || copy::VARCHAR) AS shuffle_key

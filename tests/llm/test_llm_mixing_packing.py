@@ -29,19 +29,19 @@ def drawn(name, mean):
 
 
 def brute_mix(rows, weights):
-    n = Counter(s for _, s in rows)
+    n = Counter(s for _, s, _ in rows)
     w = {s: round(weights.get(s, 1) * 1000) for s in n}
     out = Counter()
-    for i, s in rows:
+    for i, s, t in rows:
         rate = len(rows) * w[s] / (sum(w.values()) * n[s])
-        for k in range(1, drawn(f"5:{'null' if i is None else i}", rate) + 1):
+        for k in range(1, drawn(f"5:{'null' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}", rate) + 1):
             out[i, s, k] += 1
     return out
 
 
 def test_mix_against_brute_force(documents, odd, none):
     for df, weights in ((documents, {"src0": 5.0, "src1": 400.0}), (odd, {"a": 2.5}), (odd, {})):
-        rows = [(r["doc_id"], r["source"]) for r in df.collect()]
+        rows = [(r["doc_id"], r["source"], r["text"]) for r in df.collect()]
         got = Counter((r["doc_id"], r["source"], r["copy"]) for r in poisson_mix(df, weights=weights).collect())
         assert got == brute_mix(rows, weights)
     assert poisson_mix(none).count() == 0
@@ -54,6 +54,30 @@ def test_mix_meets_the_weights(spark):
     assert abs(got["b"] / 22_500 - 1) < 0.03 and abs(got["a"] / 7_500 - 1) < 0.04
 
 
+def test_rows_without_ids_are_drawn_on_their_own(spark):
+    """A third of the ids null and one hot id: the counts vary within each, and the copies reach all tasks."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"),
+                                  F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source"))
+    got = poisson_mix(df, weights={}, epochs=0.5)
+    for some in ("doc_id is null", "doc_id = 7"):
+        n = got.filter(some).count()
+        assert abs(n / 1000 - 1) < 0.12  # 2,000 rows, half a copy each
+        assert got.filter(some).select("copies").distinct().count() >= 3
+        assert got.filter(some).select(F.spark_partition_id()).distinct().count() == got.rdd.getNumPartitions()
+
+
+def test_pieces_without_ids_reach_all_workers(spark, monkeypatch):
+    monkeypatch.setattr("gazette.llm.packing.PIECES_PER_WORKER", 100)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("some words here")).alias("text"))
+    rows = [r.asDict() for r in pack(df, tokenizer_file(WORD_BPE)).collect()]
+    assert sorted((str(r["doc_id"]), r["length"]) for r in rows) == sorted(
+        (str(r["doc_id"]), 4 if r["text"] else 1) for r in df.collect())
+    sequences = Counter()
+    for r in rows:
+        sequences[r["sequence_id"]] += r["length"]
+    assert max(sequences.values()) <= 4096 and len({r["sequence_id"] for r in rows if r["doc_id"] is None}) >= 1
+
+
 def test_cuts():
     for n in range(1, 13_000, 7):
         parts = cuts(n, 4096, 64)
