@@ -231,15 +231,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``docs`` without their near copies: of each component the first row by id (null last), text hash and
-    the hash of the whole row (but for columns of maps)."""
+    the hash of the whole row (but for columns of maps).
+
+    Null and empty texts have no words; their rows are copies of each other, so one of them stays.  Rows that share an id, or have none,
+    are documents of their own; of equal rows one stays.  No rows give no rows.  A row travels as one struct, so its columns
+    may have any names."""
     prints = written(fingerprints(docs, id_col, text_col, words, ranked=True), "simhash")
-    name = F.struct(F.col("id").isNull().alias("__none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__id"), F.col("rank").alias("__rank"))
+    name = F.struct(F.col("id").isNull().alias("first_none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("first_id"), F.col("rank").alias("first_rank"))
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rank", name.alias("name"))).alias("least"))
     first = _rooted(nodes, distance).groupBy("root").agg(F.min("least").alias("least")).select("least.name.*")
-    keys = first.columns
     whole = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = docs.select("*", docs[id_col].isNull().alias("__none"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("__id"),
-                       F.xxhash64(docs[text_col].cast("string")).alias("__rank"), F.xxhash64(*whole).alias("__whole"))
-    equal = Window.partitionBy(*keys).orderBy("__whole")  # rows of one id and text
-    kept = rows.join(first, keys, "left_semi").withColumn("__place", F.row_number().over(equal)).filter("__place = 1")
-    return kept.select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].isNull().alias("none"),
+                       F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"),
+                       F.xxhash64(docs[text_col].cast("string")).alias("rank"), F.xxhash64(*whole).alias("whole"))
+    equal = Window.partitionBy("none", "id", "rank").orderBy("whole")  # rows of one id and text
+    same = (F.col("none") == F.col("first_none")) & (F.col("id") == F.col("first_id")) & (F.col("rank") == F.col("first_rank"))
+    kept = rows.join(first, same, "left_semi").withColumn("place", F.row_number().over(equal)).filter("place = 1")
+    return kept.select("row.*")

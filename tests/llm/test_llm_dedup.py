@@ -149,3 +149,13 @@ def test_one_row_of_each_component_stays(spark):
         got = [(r["doc_id"], (r["text"] or "").lower()) for r in keep_one(df.repartition(parts)).collect()]
         assert sorted(got, key=str) == [(4, b), (9, ""), (None, a)]
     assert keep_one(df).columns == df.columns
+
+
+def test_kept_rows_may_have_any_columns(spark, odd, none):
+    names = ["none", "id", "rank", "whole", "place", "first_none", "first_id", "first_rank", "__id", "__none", "__rank", "__whole", "__place", "least", "root", "name", "row"]
+    df = odd.select("doc_id", "text", "lang", "source", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    got = keep_one(df)
+    assert got.columns == df.columns
+    plain = keep_one(odd.select("doc_id", "text", "lang", "source"))
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(r["doc_id"]) for r in plain.collect()) == ["0", "2", "4", "5", "6", "6"]
+    assert keep_one(none).count() == 0
