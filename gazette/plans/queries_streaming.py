@@ -16,6 +16,7 @@ from gazette.plans.registry import register
 from gazette.plans.scrape import scrape_batch
 from gazette.session import read_table, shared_path
 from gazette.sources.dims import dim_category
+from gazette.streaming.first_seen import write_first_seen
 from gazette.streaming.publish import answers_to_postings, published, stream_publish
 from gazette.streaming.scrape import read_facts, read_page_stream, stream_first_seen, stream_scrape
 
@@ -49,6 +50,39 @@ def q_t2(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+PASSES = """SELECT page_id, url, 0 AS pass, page_id % 24 AS at_hour FROM pages
+UNION ALL SELECT page_id, url, 1, 48 + page_id % 24 FROM pages
+UNION ALL SELECT page_id, url, 2, CASE page_id % 3 WHEN 0 THEN 60 + page_id % 24 WHEN 1 THEN 10 ELSE 100 + page_id % 24 END FROM pages"""
+
+T2_HORIZON = f"""
+WITH arrived AS ({PASSES}),
+tops AS (SELECT pass, max(at_hour) AS top FROM arrived GROUP BY pass),
+judged AS (SELECT a.*, coalesce(a.at_hour < (SELECT max(top) FROM tops t WHERE t.pass < a.pass) - 24, false) AS late FROM arrived a),
+spans AS (SELECT *, at_hour - lag(at_hour) OVER (PARTITION BY lower(trim(url)) ORDER BY at_hour, pass) AS gap FROM judged WHERE NOT late)
+SELECT page_id, url, at_hour, CAST(NULL AS VARCHAR) AS reject_reason FROM spans WHERE gap IS NULL OR gap >= 24
+UNION ALL SELECT page_id, url, at_hour, 'older than the watermark' FROM judged WHERE late"""
+
+
+@register("t2_first_seen_horizon", T2_HORIZON)
+def q_t2_horizon(spark, sf_dir):
+    """All pages are crawled three times and arrive one crawl after the other; the horizon is a day.  Each crawl is read by
+    a stream started anew on the same folders: the second comes two days on (seen first again), of the third one part is
+    half a day on (dropped), one is two days old (late) and one is two days on."""
+    run = uuid.uuid4().hex
+    src, sink = (shared_path(spark, f"t2h-{kind}-{run}") for kind in ("src", "out"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    hour = F.col("page_id") % 24
+    third = F.when(F.col("page_id") % 3 == 0, hour + 60).when(F.col("page_id") % 3 == 1, F.lit(10)).otherwise(hour + 100)
+    schema = "page_id long, url string, at_hour long, seen_at timestamp"
+    for k, at in enumerate([hour, hour + 48, third]):
+        timed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", at.cast("long").alias("at_hour"))
+        timed.withColumn("seen_at", F.timestamp_seconds(F.col("at_hour") * 3600 + 1_700_000_000)).write.parquet(f"{src}/{k}")
+        stream = spark.readStream.schema(schema).parquet(f"{src}/*")
+        write_first_seen(stream, sink, f"{sink}-checkpoint", 24 * 3600, "seen_at", name=f"t2h_{k}_{run[:12]}").awaitTermination()
+    seen = spark.read.schema(f"{schema}, reject_reason string").parquet(sink)
+    return seen.select("page_id", "url", ((F.unix_seconds("seen_at") - 1_700_000_000) / 3600).cast("long").alias("at_hour"), "reject_reason")
+
+
 def _streamed(spark, rows, name: str, files: int, prepare):
     """``rows`` written as files, streamed through ``prepare`` some files a batch, and what is then published."""
     src, sink = (shared_path(spark, f"{name}-{kind}-{uuid.uuid4().hex}") for kind in ("src", "out"))

@@ -5,8 +5,7 @@ row-wise and the links of a page travel inside its row, so each micro-batch is
 processed by the same batch plan (``foreachBatch``) with exactly the batch
 results; the sink is an idempotent per-batch overwrite keyed by batch id.
 
-T2: drop a page whose lower-cased URL was already seen, ever or within a
-horizon (watermark on the file's modification time, since pages carry no event time).
+T2: drop a page whose lower-cased URL was already seen, ever (here) or within a horizon (``first_seen``).
 """
 
 from __future__ import annotations
@@ -53,24 +52,10 @@ def read_facts(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink).filter("status = 'facts'").select(*FACT_COLUMNS)
 
 
-def stream_first_seen(pages: DataFrame, horizon: str | None = None) -> DataFrame:
+def stream_first_seen(pages: DataFrame) -> DataFrame:
     """The first arrival of each lower-cased page URL.
 
-    By default exact whatever the age of a file: one key per URL is kept for good, so the session
-    should use the RocksDB state store, which keeps it on disk.  ``horizon`` ("1 day") bounds the state
-    instead: a URL is forgotten after that time, and pages from files older than the watermark are
-    dropped unseen (``late_pages`` finds them)."""
+    Exact whatever the age of a file: one key per URL is kept for good, so the session should use the RocksDB state
+    store, which keeps it on disk.  ``first_seen.first_seen_within`` bounds the state by a horizon."""
     keyed = pages.withColumn("_url_key", F.lower(F.trim(F.col("url"))))
-    if horizon is None:
-        return keyed.dropDuplicates(["_url_key"]).drop("_url_key")
-    return (keyed.withColumn("_seen_at", F.col("_metadata.file_modification_time"))
-                 .withWatermark("_seen_at", horizon)
-                 .dropDuplicatesWithinWatermark(["_url_key"])
-                 .drop("_url_key"))
-
-
-def late_pages(arrived: DataFrame, kept: DataFrame) -> DataFrame:
-    """Quarantine of a bounded T2: pages that arrived but whose URL never reached the output."""
-    key = F.lower(F.trim(F.col("url")))
-    return (arrived.withColumn("_k", key).join(kept.select(key.alias("_k")), "_k", "left_anti")
-                   .drop("_k").withColumn("reject_reason", F.lit("older than the watermark")))
+    return keyed.dropDuplicates(["_url_key"]).drop("_url_key")
