@@ -283,49 +283,13 @@ def dim_literal(entries: list[tuple[int, str]]) -> Column:
                      for i, (id_, name) in enumerate(entries)])
 
 
-def _substrings(c: Column) -> Column:
-    """The distinct non-empty substrings of a short name."""
-    n = F.length(c)
-    at = lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k))
-    return F.when(n > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), at)))).otherwise(empty_strs())
-
-
-def match_dim_table(df: DataFrame, name: str, dim: DataFrame, prefix: str) -> DataFrame:
-    """E8 against a dimension table (ordinal, id, name) of any size, with the results of
-    ``match_dim_by_name``.  The distinct names are matched once and joined back.  Containment is
-    an equality of one side's substrings with the other side (names are short), shared words an
-    equality of words: equi-joins only, no pairs of unrelated names."""
-    q = F.lower(F.trim(nz(name)))
-    names = df.select(q.alias("q")).filter(F.col("q") != "").distinct()
-    cands = unique_dim(dim.select(F.lower(F.trim("name")).alias("lname"), "ordinal", F.col("id").cast("string").alias("id")),
-                       "lname", "ordinal")
-    words = lambda c: F.split(c, r"\s+")
-    inside = (names.select("q", F.explode(_substrings(F.col("q"))).alias("lname")).join(cands, "lname")
-              .select("q", F.length("lname").alias("score"), "ordinal", "id"))
-    around = (cands.filter("lname <> ''").select("ordinal", "id", F.explode(_substrings(F.col("lname"))).alias("q")).join(names, "q")
-              .select("q", F.length("q").alias("score"), "ordinal", "id"))
-    shared = (names.select("q", F.explode(words(F.col("q"))).alias("w"))
-              .join(cands.select("ordinal", "id", F.explode(F.array_distinct(words(F.col("lname")))).alias("w")), "w")
-              .groupBy("q", "ordinal", "id").agg((F.count(F.lit(1)) * 5).cast("int").alias("score")).select("q", "score", "ordinal", "id"))
-    best = (inside.unionByName(around).unionByName(shared).filter("score > 0").groupBy("q")
-            .agg(F.max(F.struct("score", (-F.col("ordinal")).alias("neg"), "id")).alias("_best")).withColumnRenamed("q", "_bq"))
-    exact = cands.select(F.col("lname").alias("_eq"), F.col("id").alias("_exact"))
-    out = df.withColumn("_q", q)
-    out = out.join(best, F.col("_q") == F.col("_bq"), "left").join(exact, (F.col("_q") == F.col("_eq")) & (F.col("_q") != ""), "left")
-    return (out.withColumn(f"{prefix}_id", F.coalesce(F.col("_exact"), F.col("_best.id")))
-               .withColumn(f"{prefix}_match", F.when(F.col("_exact").isNotNull(), F.lit("exact"))
-                           .when(F.col("_best").isNotNull(), F.lit("fuzzy")))
-               .withColumn(f"{prefix}_score", F.when(F.col("_exact").isNull(), F.col("_best.score")))
-               .drop("_q", "_bq", "_eq", "_best", "_exact"))
-
-
 def match_dim_by_name(df: DataFrame, name: str, entries: list[tuple[int, str]], prefix: str) -> DataFrame:
     """Exact case-insensitive match first; else the best score over the dimension
     (length of a contained candidate, length of the name inside a candidate, 5 x shared words),
     earliest candidate on ties, no match at score 0.
 
     The dimension is a fixed literal list evaluated per row with higher-order functions:
-    no join and no pairs leave the row (``match_dim_table`` takes a live table)."""
+    no join and no pairs leave the row (``name_match.match_dim_table`` takes a live table)."""
     cands = dim_literal(entries)
     df = df.withColumn("_q", F.lower(F.trim(nz(name)))).withColumn("_qw", F.split(F.col("_q"), r"\s+"))
     q, qw = F.col("_q"), F.col("_qw")

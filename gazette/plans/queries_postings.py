@@ -367,8 +367,9 @@ def _e8_sql(name_col, entries, prefix):
 
 @register("e8_match_state", _e8_sql("state_name", rules.FALLBACK_STATES, "state"))
 def q_e8s(spark, sf_dir):
+    from gazette.operators.name_match import match_dim_table
     from gazette.sources.dims import dim_state
-    p = E.match_dim_table(_p(spark, sf_dir), "state_name", dim_state(spark), "state")
+    p = match_dim_table(_p(spark, sf_dir), "state_name", dim_state(spark), "state")
     return p.select("post_id", F.col("state_name").alias("name"), "state_id", "state_match",
                     F.col("state_score").cast("long").alias("state_score"))
 

@@ -15,6 +15,7 @@ from gazette.operators import normalize as N
 from gazette.operators import pages as P
 from gazette.operators import posting_links as PL
 from gazette.sources import responses as RS
+from gazette.operators.name_match import match_dim_table
 from gazette.sources.dims import dim_category, load_dim, unique_dim
 
 
@@ -94,11 +95,11 @@ def test_match_dim_table_equals_the_literal_list(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "k int, n string")
     cols = ["k", "s_id", "s_match", "s_score"]
     a = sorted(map(tuple, E.match_dim_by_name(df, "n", entries, "s").select(cols).collect()))
-    b = sorted(map(tuple, E.match_dim_table(df, "n", dim, "s").select(cols).collect()))
+    b = sorted(map(tuple, match_dim_table(df, "n", dim, "s").select(cols).collect()))
     assert a == b
     many = spark.range(50_000).select((F.col("id") + 100).cast("int").alias("ordinal"), F.col("id").cast("int").alias("id"),
                                       F.concat(F.lit("q"), F.hex(F.xxhash64("id"))).alias("name"))
-    c = sorted(map(tuple, E.match_dim_table(df.filter("n in ('Goa', 'Madhya Pradesh')"), "n", dim.union(many), "s").select(cols).collect()))
+    c = sorted(map(tuple, match_dim_table(df.filter("n in ('Goa', 'Madhya Pradesh')"), "n", dim.union(many), "s").select(cols).collect()))
     assert c == [r for r in a if r[0] in (0, 3)]
 
 
