@@ -101,9 +101,13 @@ def rule_match(text: Column, rx: str, hits: Column) -> Column:
     return _any(parts)
 
 
-def _codes(text: Column, rule_list, hits: Column) -> Column:
-    """Codes whose pattern matches ``text`` (already lower-cased), in rule order."""
-    return F.array_compact(F.array(*[F.when(rule_match(text, rx, hits), F.lit(code)) for code, rx in rule_list]))
+def _codes(text: Column, rule_list, hits: Column, also: Column | None = None) -> Column:
+    """Codes whose pattern matches ``text`` (already lower-cased) or that ``also`` holds, in rule order."""
+    def holds(code, rx):
+        here = rule_match(text, rx, hits)
+        return here if also is None else F.array_contains(also, code) | here
+
+    return F.array_compact(F.array(*[F.when(holds(code, rx), F.lit(code)) for code, rx in rule_list]))
 
 
 DEGREE_PREFILTER = r"bachelor|graduat|degree"
@@ -115,13 +119,54 @@ def detection_literals() -> list[str]:
                   | set(rule_literals(rules.TAG_RULES)))
 
 
+# ---------------------------------------------------------------- E1-E3 over a text in parts
+
+SEAM = 64  # characters; every rule matches fewer, and looks at most one character beyond its match
+MATCHES = "education array<string>, tags array<string>, signals array<string>, degree boolean, head string"
+
+
+def _cut_mark(char: Column) -> Column:
+    """A character of the same kind, so that a cut beside ``char`` is no word boundary."""
+    return F.when(char.rlike("[A-Za-z0-9_]"), F.lit("_")).otherwise(F.lit(" "))
+
+
+def head(text: Column) -> Column:
+    """The start of a text, as far as a match over a seam before it can reach, and a mark where it is cut."""
+    start = F.substring(text, 1, SEAM)
+    return F.when(F.char_length(text) > SEAM, F.concat(start, _cut_mark(F.substring(start, -1, 1)))).otherwise(text)
+
+
+def tail(text: Column) -> Column:
+    """The end of a text, as far as a match over a seam behind it can reach, and a mark where it is cut."""
+    end = F.substring(text, -SEAM, SEAM)
+    return F.when(F.char_length(text) > SEAM, F.concat(_cut_mark(F.substring(end, 1, 1)), end)).otherwise(text)
+
+
+def all_literals() -> list[str]:
+    return sorted(set(detection_literals()) | set(rule_literals(rules.SIGNAL_RULES)))
+
+
+def match_summary(df: DataFrame, text: str, out: str = "matches") -> DataFrame:
+    """``out``: all that E1, E2 and E3 need of a text which follows another text and a blank: the codes it matches by
+    itself, and its lower-cased head for the matches over the seam.  A null text counts as empty."""
+    df = df.withColumn("_lt", F.lower(nz(text)))
+    df = df.withColumn("_hits", literal_hits(F.col("_lt"), all_literals()))
+    low, h = F.col("_lt"), F.col("_hits")
+    degree = F.when(rule_match(low, DEGREE_PREFILTER, h), nz(text).rlike(java(rules.EDUCATION_DEGREE_WORDS, ci=True)))
+    return df.withColumn(out, F.struct(
+        _codes(low, rules.EDUCATION_RULES, h).alias("education"), _codes(low, rules.TAG_RULES, h).alias("tags"),
+        _codes(low, rules.SIGNAL_RULES, h).alias("signals"), F.coalesce(degree, F.lit(False)).alias("degree"),
+        head(low).alias("head"))).drop("_lt", "_hits")
+
+
 # ---------------------------------------------------------------- E1
 
 def detect_education(df: DataFrame, text: str, current: str = "education", out: str = "education",
-                     lowered: str | None = None, hits: str | None = None) -> DataFrame:
+                     lowered: str | None = None, hits: str | None = None, rest: str | None = None) -> DataFrame:
     """Keep a non-empty current list; else the 26 ordered rules, post_graduate added for any
     master's, graduate for any bachelor's or degree word, graduate dropped for master's only;
-    default ['graduate']."""
+    default ['graduate'].  ``rest`` names the summary of a text that follows ``text``; ``lowered`` and
+    ``hits`` then include its head."""
     cur = F.coalesce(F.col(current), empty_strs())
     df = df.withColumn("_need", F.size(cur) == 0)
     low = F.col(lowered) if lowered else F.lower(nz(text))
@@ -129,12 +174,13 @@ def detect_education(df: DataFrame, text: str, current: str = "education", out:
     if hits is None:
         df = df.withColumn("_hits", literal_hits(F.col("_lt"), rule_literals(rules.EDUCATION_RULES + [("", DEGREE_PREFILTER)])))
     h = F.col(hits or "_hits")
-    det = _codes(F.col("_lt"), rules.EDUCATION_RULES, h)
+    det = _codes(F.col("_lt"), rules.EDUCATION_RULES, h, F.col(rest)["education"] if rest else None)
     df = df.withColumn("_det", F.when(F.col("_need"), det))
     d = F.col("_det")
     masters = F.arrays_overlap(d, _arr(rules.EDUCATION_MASTERS))
     degree = F.when(rule_match(F.col("_lt"), DEGREE_PREFILTER, h),
                     nz(text).rlike(java(rules.EDUCATION_DEGREE_WORDS, ci=True))).otherwise(F.lit(False))
+    degree = degree | F.col(rest)["degree"] if rest else degree
     bachelors = F.arrays_overlap(d, _arr(rules.EDUCATION_BACHELORS)) | degree
     df = df.withColumn("_m", F.when(F.col("_need"), masters)).withColumn("_b", F.when(F.col("_need"), bachelors))
     d = F.when(F.col("_m") & ~F.array_contains(d, "post_graduate"),
@@ -150,14 +196,14 @@ def detect_education(df: DataFrame, text: str, current: str = "education", out:
 # ---------------------------------------------------------------- E2 .. E4
 
 def detect_tags(df: DataFrame, text: str, current: str = "tags", out: str = "tags",
-                lowered: str | None = None, hits: str | None = None) -> DataFrame:
-    """Current string tags, then the 18 rule tags in order, ordered-distinct."""
+                lowered: str | None = None, hits: str | None = None, rest: str | None = None) -> DataFrame:
+    """Current string tags, then the 18 rule tags in order, ordered-distinct (``rest``: see E1)."""
     df = df.withColumn("_lt", F.col(lowered) if lowered else F.lower(nz(text)))
     if hits is None:
         df = df.withColumn("_thits", literal_hits(F.col("_lt"), rule_literals(rules.TAG_RULES)))
     h = F.col(hits or "_thits")
     cur = F.filter(F.coalesce(F.col(current), empty_strs()), lambda x: x.isNotNull())
-    out_df = df.withColumn(out, F.array_distinct(F.concat(cur, _codes(F.col("_lt"), rules.TAG_RULES, h))))
+    out_df = df.withColumn(out, F.array_distinct(F.concat(cur, _codes(F.col("_lt"), rules.TAG_RULES, h, F.col(rest)["tags"] if rest else None))))
     return out_df.drop("_lt", "_thits")
 
 
@@ -168,8 +214,29 @@ def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
                                            nz(source_text)), F.lit(" \t\n\r\x00\x0b")))
     df = df.withColumn("_lt", combined)
     df = df.withColumn("_hits", literal_hits(F.col("_lt"), rule_literals(rules.SIGNAL_RULES)))
-    h = F.col("_hits")
-    sig = _codes(F.col("_lt"), rules.SIGNAL_RULES, h)
+    df = df.withColumn("_sig", _codes(F.col("_lt"), rules.SIGNAL_RULES, F.col("_hits")))
+    return _with_signals(df).drop("_lt", "_hits", "_sig")
+
+
+def apply_update_signals_in_parts(df: DataFrame, lowered: str, hits: str, rest: str) -> DataFrame:
+    """E3 where the source text starts with the row's own content: ``lowered`` is that text with the head of what
+    follows, ``hits`` its literals and ``rest`` the summary of what follows.  Title and summary are read once more with the seams
+    around the content; blank lines keep the two apart, and no rule matches over those."""
+    title = F.lower(F.concat_ws(" ", nz("title"), nz("short_description")))
+    content, own, n = F.lower(nz("content")), F.col(lowered), SEAM + 1
+    before = F.concat_ws(" ", title, head(F.concat_ws(" ", F.substring(content, 1, n), F.substring(own, 1, n))))
+    last = lambda c: F.when(F.char_length(c) > n, F.substring(c, -n, n)).otherwise(c)
+    behind = F.concat_ws(" ", tail(F.concat_ws(" ", last(title), last(content))), head(own))
+    df = df.withColumn("_lt", F.concat_ws("\n\n", before, behind))
+    df = df.withColumn("_hits", literal_hits(F.col("_lt"), rule_literals(rules.SIGNAL_RULES)))
+    found = F.array_union(_codes(F.col("_lt"), rules.SIGNAL_RULES, F.col("_hits")), F.col(rest)["signals"])
+    df = df.withColumn("_found", found)
+    df = df.withColumn("_sig", _codes(own, rules.SIGNAL_RULES, F.col(hits), F.col("_found")))
+    return _with_signals(df).drop("_lt", "_hits", "_found", "_sig")
+
+
+def _with_signals(df: DataFrame) -> DataFrame:
+    """The tags and the flag that the signals ``_sig`` and the type give."""
     typ = nz("type")
     type_tags = (F.when(typ == "admit_card", F.array(F.lit("admit_card")))
                  .when(typ == "answer_key", F.array(F.lit("answer_key")))
@@ -179,10 +246,9 @@ def apply_update_signals(df: DataFrame, source_text: str) -> DataFrame:
                                             _arr(["govt_job", "new_vacancy"])).otherwise(_arr(["govt_job"])))
                  .otherwise(empty_strs()))
     cur = F.coalesce(F.col("tags"), empty_strs())
-    ext = rule_match(F.col("_lt"), rules.SIGNAL_RULES[0][1], h)
-    return (df.withColumn("tags", F.array_distinct(F.concat(cur, sig, type_tags)))
-              .withColumn("is_date_extended", ext | F.coalesce(F.col("is_date_extended").cast("boolean"), F.lit(False)))
-              .drop("_lt", "_hits"))
+    ext = F.array_contains("_sig", rules.SIGNAL_RULES[0][0])
+    return (df.withColumn("tags", F.array_distinct(F.concat(cur, F.col("_sig"), type_tags)))
+              .withColumn("is_date_extended", ext | F.coalesce(F.col("is_date_extended").cast("boolean"), F.lit(False))))
 
 
 def default_tags(df: DataFrame, lowered_src: str | None = None, hits: str | None = None) -> DataFrame:
