@@ -867,7 +867,7 @@ def published_rows(ok, bad):
     return out.unionByName(rej)
 
 
-def _v4_sql():
+def v4_sql():
     """V4 twin, from the source's order of steps: parse, posts, urls, category, education and tags, signals, links,
     meta, channels, sections, counts."""
     from gazette.oracle.fixtures_sql import pages_ext_cte, repair_sql, responses_cte
@@ -910,14 +910,17 @@ SELECT p4.post_id, type, title, total_posts, category_name, is_date_extended, ar
 FROM p4 JOIN m USING (post_id) LEFT JOIN links USING (post_id)"""
 
 
-@register("v4_enrich_batch", _v4_sql())
+@register("v4_enrich_batch", v4_sql())
 def q_v4(spark, sf_dir):
     from gazette.plans.enrich import enrich_batch
     from gazette.plans.fixtures import load_responses, pages_ext
     from gazette.plans.scrape import scrape_batch
     from gazette.session import read_table
     facts, _ = scrape_batch(pages_ext(read_table(spark, sf_dir, "pages")))
-    posts, rejects = enrich_batch(load_responses(spark, sf_dir), facts, SITE)
+    return enriched_rows(enrich_batch(load_responses(spark, sf_dir), facts, SITE)[0])
+
+
+def enriched_rows(posts):
     return posts.select("post_id", "type", "title", "total_posts", "category_name", "is_date_extended",
                         F.array_join("tags", "|").alias("tags"), F.array_join("education", "|").alias("education"),
                         "meta_title", "meta_description", _links_text(F.col("important_links")).alias("links"),

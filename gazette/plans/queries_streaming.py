@@ -12,11 +12,13 @@ from gazette.oracle import pages_sql as PS
 from gazette.oracle import postings_sql as S
 from gazette.plans.fixtures import load_postings_raw, load_responses, pages_ext
 from gazette.plans.publish import prepare_publish
+from gazette.plans.queries_postings import enriched_rows, v4_sql
 from gazette.plans.registry import register
 from gazette.plans.scrape import scrape_batch
 from gazette.session import read_table, shared_path
 from gazette.sources.dims import dim_category
-from gazette.streaming.first_seen import write_first_seen
+from gazette.streaming.answers import enrich_met, meet_pages
+from gazette.streaming.first_seen import start_with_rocksdb, write_first_seen
 from gazette.streaming.publish import answers_to_postings, published, stream_publish
 from gazette.streaming.scrape import read_facts, read_page_stream, stream_first_seen, stream_scrape
 
@@ -109,3 +111,32 @@ def q_v4_stream(spark, sf_dir):
     ok = ok.select("post_id", F.lit(None).cast("string").alias("reject_reason"), "type", "title", "slug", "organization", "category_id",
                    F.array_join("tags", "|").alias("tags"), F.size("important_links").alias("n_links"), F.md5("content").alias("content_md5"))
     return ok.unionByName(bad.select("post_id", "reject_reason"), allowMissingColumns=True)
+
+
+@register("v4_stream_answers_and_pages", v4_sql())
+def q_v4_both_streams(spark, sf_dir):
+    """Half of the answers arrive before their pages, half after; each part is read by a stream started anew on the same
+    folders.  Pages that are rejected never come: their answers wait a day, until the pages are crawled again ten days
+    on, and are kept as the batch plan keeps them."""
+    asked_at, facts_at, sink = (shared_path(spark, f"v4j-{kind}-{uuid.uuid4().hex}") for kind in ("answers", "facts", "out"))
+    at = lambda hours: F.timestamp_seconds(F.lit(hours * 3600 + 1_700_000_000))
+    answers = load_responses(spark, sf_dir).withColumn("answered_at", at(0))
+    facts = scrape_batch(pages_ext(read_table(spark, sf_dir, "pages")))[0].withColumn("scraped_at", at(1))
+    late = F.col("response_id") % 2 == 1
+
+    def run(name):
+        asked, scraped = (spark.readStream.schema(df.schema).parquet(f"{folder}/*") for df, folder in ((answers, asked_at), (facts, facts_at)))
+        met = meet_pages(asked, scraped, 24 * 3600, 5 * 24 * 3600, "answered_at", "scraped_at")
+        w = met.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-checkpoint")
+        start_with_rocksdb(spark, w.trigger(availableNow=True).queryName(f"v4j_{name}_{sink[-12:]}")).awaitTermination()
+        return met.schema
+
+    answers.filter(~late).write.parquet(f"{asked_at}/0")
+    facts.limit(0).write.parquet(f"{facts_at}/0")
+    run("before")
+    facts.write.parquet(f"{facts_at}/1")
+    run("pages")
+    answers.filter(late).withColumn("answered_at", at(2)).write.parquet(f"{asked_at}/2")
+    spark.read.parquet(f"{facts_at}/1").withColumn("scraped_at", at(240)).write.parquet(f"{facts_at}/2")
+    schema = run("after")
+    return enriched_rows(enrich_met(spark.read.schema(schema).parquet(sink), keep_without_page=True)[0])

@@ -11,9 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 LATE = "older than the watermark"
@@ -98,16 +98,21 @@ def write_first_seen(pages: DataFrame, sink: str, checkpoint: str, horizon_secon
                      name: str = "first_seen", available_now: bool = True):
     """Starts T2 with a horizon into Parquet under ``sink``; both folders are shared, and a stream restarted on them goes
     on where it stopped.  Only this stream gets the RocksDB state store.  Returns the StreamingQuery."""
-    conf, key = pages.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(key, None)
-    conf.set(key, ROCKSDB)
+    w = (first_seen_within(pages, horizon_seconds, time_col).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return start_with_rocksdb(pages.sparkSession, w.queryName(name))
+
+
+def start_with_rocksdb(spark: SparkSession, writer: DataStreamWriter):
+    """Starts the stream with the RocksDB state store; the session's own setting stays as it was."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
     try:
-        w = (first_seen_within(pages, horizon_seconds, time_col).writeStream.format("parquet").option("path", sink)
-             .option("checkpointLocation", checkpoint))
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-        return w.queryName(name).start()
+        return writer.start()
     finally:
         if before is None:
-            conf.unset(key)
+            spark.conf.unset(key)
         else:
-            conf.set(key, before)
+            spark.conf.set(key, before)

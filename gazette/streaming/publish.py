@@ -20,6 +20,8 @@ from gazette.config import DEFAULT_SITE, SiteConfig
 from gazette.plans.enrich import enrich_batch
 from gazette.plans.publish import prepare_publish
 from gazette.sources.sinks import write_postings
+from gazette.streaming.answers import enrich_met
+from gazette.streaming.first_seen import start_with_rocksdb
 
 LEDGER = "batch long, published long, quarantined long, postings_schema string, quarantine_schema string"
 # columns of a posting that an answer does not have
@@ -63,8 +65,8 @@ def published(spark: SparkSession, sink: str) -> tuple[DataFrame, DataFrame]:
 
 
 def stream_publish(rows: DataFrame, sink: str, checkpoint: str, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
-                   name: str = "stream_publish", available_now: bool = True):
-    """Starts the stream: each micro-batch of ``rows`` goes through ``prepare`` (V3, or V4 and V3) into two outputs
+                   name: str = "stream_publish", available_now: bool = True, keyed_state: bool = False):
+    """Starts the stream (``keyed_state``: with the state store that ``answers.meet_pages`` needs): each micro-batch of ``rows`` goes through ``prepare`` (V3, or V4 and V3) into two outputs
     under ``sink``.  ``sink`` and ``checkpoint`` are folders that all executors share.  Returns the StreamingQuery."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if ledger(batch.sparkSession, sink).filter(F.col("batch") == batch_id).isEmpty():
@@ -72,7 +74,8 @@ def stream_publish(rows: DataFrame, sink: str, checkpoint: str, prepare: Callabl
 
     w = rows.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.queryName(name).start()
+    w = w.queryName(name)
+    return start_with_rocksdb(rows.sparkSession, w) if keyed_state else w.start()
 
 
 def answers_to_postings(facts: Load, site: SiteConfig = DEFAULT_SITE, aggregators: Load | None = None,
@@ -84,9 +87,19 @@ def answers_to_postings(facts: Load, site: SiteConfig = DEFAULT_SITE, aggregator
     Quarantined rows are (post_id, reject_reason): answers that cannot be parsed, and postings that miss a field."""
     def prepare(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         spark = batch.sparkSession
-        posts, unreadable = enrich_batch(batch, facts(spark), site, dim_aggregator=aggregators and aggregators(spark))
-        posts = posts.withColumns({c: F.lit(None).cast(t) for c, t in NOT_ANSWERED.items() if c not in posts.columns}).drop("body", "parse_status")
-        ready, missing = prepare_publish(posts, site, categories and categories(spark))
-        return ready, missing.union(unreadable.select(F.col("response_id").alias("post_id"), "reject_reason"))
+        return _publishable(*enrich_batch(batch, facts(spark), site, dim_aggregator=aggregators and aggregators(spark)), site, categories)
 
     return prepare
+
+
+def met_to_postings(site: SiteConfig = DEFAULT_SITE, categories: Load | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """``prepare`` for a stream of answers that met their pages on the way (``answers.meet_pages``): S3, V4, V3.  Answers
+    whose page never came are quarantined."""
+    return lambda batch: _publishable(*enrich_met(batch, site), site, categories)
+
+
+def _publishable(posts: DataFrame, unreadable: DataFrame, site: SiteConfig, categories: Load | None) -> tuple[DataFrame, DataFrame]:
+    """V3 over what V4 gave, with V4's rejects among the quarantined."""
+    posts = posts.withColumns({c: F.lit(None).cast(t) for c, t in NOT_ANSWERED.items() if c not in posts.columns}).drop("body", "parse_status")
+    ready, missing = prepare_publish(posts, site, categories and categories(posts.sparkSession))
+    return ready, missing.union(unreadable.select(F.col("response_id").alias("post_id"), "reject_reason"))
