@@ -226,3 +226,23 @@ def q_link_class_counts(spark, sf_dir):
     from gazette.operators.validate import link_class_counts
     pages = _ext_links(spark, sf_dir, "l8").withColumnRenamed("_src_domain", "source_domain")
     return link_class_counts(pages, ["source_domain"], rollup=True)
+
+
+_SETS = [["source_domain", "detected_type", "link_class"], ["source_domain", "link_class"], ["detected_type", "link_class"], ["link_class"], []]
+_KEYED = PS.ext_links_sql(f"page_id, {PS.q.registrable_domain('page_url')} AS source_domain, link_class", "uniq_links")
+
+
+@register("v8_link_class_sets", f"""
+WITH l AS ({_KEYED}), f AS ({PS.page_facts_sql("pages_ext", prelude=pages_ext_cte())})
+SELECT source_domain, detected_type, link_class, CAST(GROUPING(source_domain, detected_type, link_class) AS BIGINT) AS level,
+       CAST(count(*) AS BIGINT) AS n_links
+FROM l JOIN f USING (page_id) GROUP BY GROUPING SETS ({", ".join("(" + ", ".join(x) + ")" for x in _SETS)})""")
+def q_link_class_sets(spark, sf_dir):
+    """The links of accepted pages by domain, type and class; the pages come in two parts, whose counts are merged."""
+    from gazette.operators.validate import link_class_parts, link_class_sets
+    types = scrape_batch(pages_ext(_pages(spark, sf_dir)))[0].select("page_id", "detected_type")
+    pages = _ext_links(spark, sf_dir, "l8").withColumnRenamed("_src_domain", "source_domain").join(types, "page_id")
+    first = F.pmod("page_id", F.lit(2)) == 0
+    keys = ["source_domain", "detected_type"]
+    parts = link_class_parts(pages.filter(first), keys).unionByName(link_class_parts(pages.filter(~first), keys))
+    return link_class_sets(parts, _SETS).drop("n_targets")
