@@ -8,6 +8,7 @@ from gazette.oracle import fixtures_sql as FS
 from gazette.oracle import sqlfn as q
 from gazette.plans.fixtures import load_responses
 from gazette.plans.registry import register
+from gazette.session import once
 from gazette.sources import responses as RS
 
 
@@ -30,7 +31,8 @@ _VALID = "(json_valid({x}) AND starts_with({x}, '{{'))"
     tail=f"WHERE NOT {_VALID.format(x='clean')}").replace(
     "base AS (SELECT * FROM responses)", f"base AS (SELECT *, {_CLEAN} AS clean FROM responses)"))
 def q_s4(spark, sf_dir):
-    r = load_responses(spark, sf_dir).withColumn("clean", RS.strip_fences("body"))
+    # the filter stays above the answers: pushed below, every use of the text would build the answer again
+    r = once(load_responses(spark, sf_dir), "clean", RS.strip_fences("body"))
     with RS.last_key_wins(spark):
         r = r.filter(~F.coalesce(RS.is_json_object(F.col("clean")), F.lit(False)))
     return r.select("response_id", RS.repair_truncated_json("clean").alias("repaired"))

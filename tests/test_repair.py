@@ -50,3 +50,21 @@ def test_read_responses_statuses(spark):
     assert got[2][0] == "repaired"
     assert got[3] == ("rejected", None)
     assert got[4][0] in ("repaired", "rejected")
+
+
+def test_repair_of_any_text(spark):
+    import random
+    rng = random.Random(11)
+    parts = ['"', '"', "\\", '\\"', "\\\\", "{", "}", "[", "]", ",", " ", ":", "a", "é", "\n", '"a"', "[[", "]]"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(4000)] + ["[" * 30 + "]" * 12, '{"a' + '\\"' * 20_000, "\\", '"\\']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = [r[0] for r in df.orderBy("i").select(repair_truncated_json(F.col("s"))).collect()]
+    assert [(t, g) for t, g in zip(texts, got) if g != repair_reference(t) and not t.endswith("\n")] == []
+
+
+def test_an_answer_is_built_once(spark):
+    """The test for whole answers was pushed below the answer, which every use of it then built again."""
+    from gazette.plans.registry import load_all
+    from helpers import SF_SMALL
+    plan = load_all()["s4_repair_truncated_json"][0](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("to_json") <= 2, plan.count("to_json")
