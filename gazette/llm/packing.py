@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ CACHED_WORDS = 600_000
 KEPT_WORDS = 250_000  # of a full table, and after a task: the first ones, among them the frequent ones
 LONGEST_CACHED = 64
 STEMS_AT_ONCE = 10_000
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 22
 MARKS = ".,;:!?$%&#*"
 LATIN_END = "\u0250"  # letters before it are never changed by Unicode normalisation
 PIECES_PER_WORKER = 20_000
@@ -89,12 +91,8 @@ class WordIds:
         return (low if low.isalpha() and (low.isascii() or max(low) < LATIN_END) else word), end
 
     def learn(self, words: set[str]) -> None:
-        """Fills the table with the words that it lacks."""
-        if len(self.known) > CACHED_WORDS:
-            self.known = kept(self.known)
-        if len(self.stems) > CACHED_WORDS:
-            self.stems = kept(self.stems)
-        new = list(words.difference(self.known))
+        """Adds words that the table lacks."""
+        new = list(words)
         cut = [self.stem(w) for w in new]
         need = set().union(*cut).difference(self.stems)
         plain = [s for s in need if s.isalpha() and (s.isascii() or max(s) < LATIN_END) and s.islower()]
@@ -111,15 +109,26 @@ class WordIds:
         self.known.update(zip(new, [stems[s] + stems[end] if end else stems[s] for s, end in cut]))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        open_ = [k for k, parts in enumerate(found) if None in parts]
-        missing = {w for k in open_ for w, part in zip(split[k], found[k]) if part is None}
-        self.learn({w for w in missing if len(w) <= LONGEST_CACHED})
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > CACHED_WORDS:
+            self.known = kept(self.known)
+        if len(self.stems) > CACHED_WORDS:
+            self.stems = kept(self.stems)
+        new = set(words).difference(self.known)
+        long = {w: self.direct(w) for w in new if len(w) > LONGEST_CACHED}
+        self.learn(new.difference(long))
         known = self.known
-        for k in open_:
-            found[k] = [part if part is not None else known[w] if w in known else self.direct(w) for w, part in zip(split[k], found[k])]
-        return [b"".join(parts) for parts in found]
+        found = [known[w] if w in known else long[w] for w in words]
+        # one look-up a distinct word; each word's ids are then copied from its place among the distinct ones' ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n) + np.arange(ends[-1])]
+        edges = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        return [ids[s:e].tobytes() for s, e in zip(edges, edges[1:])]
 
     def rest(self) -> None:
         """Gives back memory between tasks."""

@@ -138,3 +138,31 @@ def test_word_ids_equal_the_tokenizer():
              "word, Word. WORD! word? wörd: ǰ Ǆ K Å", "\u00a0x a\u00a0b. \u3000"]
     for t, got in zip(texts, words.ids(texts)):
         assert list(np.frombuffer(got, "<u4")) == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_are_looked_up_once_a_batch(monkeypatch):
+    """A word costs one look-up a batch however often it comes, and the ids are the library's, with tables that are cut too."""
+    import numpy as np
+    from gazette.llm import packing
+    from gazette.llm.queries import WORD_BPE, tokenizer_file
+    monkeypatch.setattr(packing, "CACHED_WORDS", 6)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+        def __contains__(self, k):
+            Counted.asked += 1
+            return super().__contains__(k)
+
+    words = packing.WordIds(tokenizer_file(WORD_BPE))
+    many = "one  two\nthree, " * 1000
+    for texts in (["", "\n", " "], [many, "", many + "x" * 100], ["Été straße 你好 one", "a b\tc   d!?", many], [many + "four five six seven"]):
+        words.known = Counted(words.known)
+        want = [np.asarray(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert words.ids(texts) == want
+    assert Counted.asked < 200
