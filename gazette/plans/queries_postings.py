@@ -21,8 +21,8 @@ SITE = DEFAULT_SITE
 W = S.with_postings
 
 
-def _p(spark, sf_dir):
-    return load_postings_raw(spark, sf_dir)
+def _p(spark, sf_dir, last="documents"):
+    return load_postings_raw(spark, sf_dir, last)
 
 
 def _links_text(c):
@@ -536,7 +536,7 @@ SELECT post_id, CAST(q_no AS INTEGER) AS q_no, {q.decode_entities(q.strip_tags(q
 
 @register("r7_faq_rows", _r7_sql())
 def q_r7(spark, sf_dir):
-    return R.faq_rows(_p(spark, sf_dir)).withColumn("q_no", F.col("q_no").cast("int"))
+    return R.faq_rows(_p(spark, sf_dir, "conversations")).withColumn("q_no", F.col("q_no").cast("int"))
 
 
 def _r11_sql():
