@@ -940,7 +940,7 @@ def _r8_sql():
 
 @register("r8_faq_jsonld", _r8_sql())
 def q_r8(spark, sf_dir):
-    return _p(spark, sf_dir).select("post_id", R.faq_jsonld("faq").alias("faq_jsonld"))
+    return _p(spark, sf_dir, "conversations").select("post_id", R.faq_jsonld("faq").alias("faq_jsonld"))
 
 
 def _r10_sql():
