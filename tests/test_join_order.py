@@ -17,7 +17,7 @@ def carried_by_joins(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["r7_faq_rows", "r8_faq_jsonld"])
+@pytest.mark.parametrize("name", ["r7_faq_rows", "r8_faq_jsonld", "s3_read_responses", "s4_repair_truncated_json"])
 def test_the_faq_is_shuffled_by_no_other_join(spark, name):
     assert not [c for c in carried_by_joins(load_all()[name][0](spark, SF_SMALL)) if "faq" in c]
 
