@@ -76,10 +76,11 @@ def date_rows(df: DataFrame) -> DataFrame:
     """Eight labelled dates; exam/result/interview/waitlist rows are left out when unknown."""
     nd = N.NO_DATE
     wait = F.when(is_blank_str("waitlist_date"), F.lit(nd)).otherwise(N.safe_date("waitlist_date"))
+    df = df.withColumn("_last", N.safe_date("last_date"))  # two rows show it
     items = [("Notification Released", N.safe_date("notification_date")),
              ("Online Apply Start", N.safe_date("start_date")),
-             ("Apply Last Date", N.deadline_text_table("last_date", "deadline_time")),
-             ("Fee Payment Deadline", N.safe_date("last_date")),
+             ("Apply Last Date", N.deadline_text_table("last_date", "deadline_time", F.col("_last"))),
+             ("Fee Payment Deadline", F.col("_last")),
              ("Interview Date", N.safe_date("interview_date_from")),
              ("Exam Date", N.safe_date("exam_date")),
              ("Result Date", N.safe_date("result_date")),
